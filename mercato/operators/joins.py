@@ -1,0 +1,19 @@
+"""Joins whose small side is proven small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame, bounded_by: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Send ``df`` to every task if the table that bounds its rows is small.
+
+    For aggregates the planner cannot know the size. ``bounded_by`` is a stored
+    table with at least as many rows; counting it reads file footers only, and
+    never more than ``max_rows``. A larger side is left to the planner.
+    """
+    small = bounded_by.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df
