@@ -47,4 +47,9 @@ def with_parts(sql: str) -> str:
             needed.add(name)
             todo |= uses(PARTS[name]) - needed
     parts = ",\n".join(f"{name} AS (\n{PARTS[name]}\n)" for name in PARTS if name in needed)
-    return f"WITH {parts}\n{sql.strip()}" if parts else sql.strip()
+    body = sql.strip()
+    if not parts:
+        return body
+    if body.startswith("WITH "):
+        return f"WITH {parts},\n{body.removeprefix('WITH ')}"
+    return f"WITH {parts}\n{body}"

@@ -1,9 +1,8 @@
-"""Command-line check: python tests/check_all.py [sf_dir] [name part ...]"""
+"""Command-line check: python tests/check_all.py [sf_dir] [query or @module ...]"""
 
 import pathlib
 import sys
 import time
-import traceback
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent.parent))
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parent))
@@ -23,7 +22,8 @@ def main() -> None:
     oracles = entry.oracle_sql()
     bad = 0
     for name, build in entry.queries().items():
-        if wanted and not any(w in name for w in wanted):
+        module = build.__module__.rsplit(".", 1)[-1]
+        if wanted and name not in wanted and f"@{module}" not in wanted:
             continue
         start = time.time()
         try:
@@ -33,8 +33,6 @@ def main() -> None:
                 n, problem = len(build(spark, sf_dir).collect()), ""
         except Exception as error:  # the next query must still run
             n, problem = -1, f"{type(error).__name__}: {str(error)[:1200]}"
-            if "-v" in wanted:
-                traceback.print_exc()
         bad += bool(problem)
         kind = "oracle" if name in oracles else "rows"
         print(f"{'FAIL' if problem else 'ok  '} {name:32s} {kind:6s} {n:8d} {time.time() - start:7.2f}s {problem}", flush=True)
