@@ -14,26 +14,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 4096
-LEVELS = 2
+
+
+def position_span(df: DataFrame, position: str) -> int:
+    """Number of positions between the first and the last; no group has more rows."""
+    row = df.agg((F.max(position) - F.min(position) + 1).cast("bigint").alias("span")).first()
+    return row["span"] or 0
+
+
+def levels_for(span: int, block_rows: int = BLOCK_ROWS) -> int:
+    """How often groups must be cut into blocks until no window exceeds a block."""
+    levels = 0
+    while span > block_rows ** (levels + 1):
+        levels += 1
+    return levels
 
 
 def running_total(
     df: DataFrame, keys: list[str], position: str, value: str, out: str,
-    block_rows: int = BLOCK_ROWS, levels: int = LEVELS,
+    block_rows: int = BLOCK_ROWS, levels: int | None = None,
 ) -> DataFrame:
-    """Sum of ``value`` up to and including the row, by integer ``position``."""
+    """Sum of ``value`` up to and including the row, by integer ``position``.
+
+    Positions are unique within ``keys``. Without ``levels`` their span is
+    looked up first, and groups that are proven small take one plain window.
+    """
     return _scan(
         df, keys, position, value, out,
         over=F.sum,
         summarize=lambda v, _: F.sum(v),
         merge=lambda before, here: F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0)),
-        block_rows=block_rows, levels=levels, end=Window.currentRow,
+        block_rows=block_rows, levels=_levels(df, position, block_rows, levels), end=Window.currentRow,
     )
 
 
 def carry_forward(
     df: DataFrame, keys: list[str], position: str, value: str, out: str,
-    block_rows: int = BLOCK_ROWS, levels: int = LEVELS,
+    block_rows: int = BLOCK_ROWS, levels: int | None = None,
 ) -> DataFrame:
     """Latest non-null ``value`` up to and including the row."""
     return _scan(
@@ -41,18 +58,22 @@ def carry_forward(
         over=lambda v: F.last(v, ignorenulls=True),
         summarize=lambda v, p: F.max_by(v, F.when(v.isNotNull(), p)),
         merge=lambda before, here: F.coalesce(here, before),
-        block_rows=block_rows, levels=levels, end=Window.currentRow,
+        block_rows=block_rows, levels=_levels(df, position, block_rows, levels), end=Window.currentRow,
     )
 
 
 def dense_index(
     df: DataFrame, keys: list[str], position: str, out: str,
-    block_rows: int = BLOCK_ROWS, levels: int = LEVELS,
+    block_rows: int = BLOCK_ROWS, levels: int | None = None,
 ) -> DataFrame:
     """0, 1, 2, … in the order of a unique integer ``position``."""
     one = "_one"
     counted = running_total(df.withColumn(one, F.lit(1)), keys, position, one, out, block_rows, levels)
-    return counted.withColumn(out, F.col(out) - 1).drop(one)
+    return counted.withColumn(out, (F.col(out) - 1).cast("bigint")).drop(one)
+
+
+def _levels(df: DataFrame, position: str, block_rows: int, levels: int | None) -> int:
+    return levels_for(position_span(df, position), block_rows) if levels is None else levels
 
 
 def _scan(

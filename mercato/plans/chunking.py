@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions import text
 from mercato.operators import sampling, scan
+from mercato.sources.files import materialize
 
 # Page footer, section headers, policy titles and the shortest chunk.
 FOOTER = r"(?:\S+ )?Internal Document - Strictly Confidential - Page \d+"
@@ -32,11 +33,17 @@ def sections(pages: DataFrame, footer: str, header: str) -> DataFrame:
 
     Pages are cut on their own. A running count of the headers on earlier
     pages numbers the sections, so no document is ever put together as a whole.
+    Documents of one page need no counting and no shuffle.
     """
     body = F.concat(F.lit("\n"), text.remove_pattern(F.col("text"), footer))
     cut = pages.select("doc_id", "page_no", text.split_before(body, header).alias("pieces"))
+    span = scan.position_span(pages, "page_no")
+    if span <= 1:
+        return cut.select("doc_id", F.posexplode("pieces").alias("section", "text")).withColumn(
+            "section", F.col("section").cast("bigint")
+        )
     headers = cut.select("doc_id", "page_no", (F.size("pieces") - 1).alias("headers"))
-    upto = scan.running_total(headers, ["doc_id"], "page_no", "headers", "upto")
+    upto = scan.running_total(headers, ["doc_id"], "page_no", "headers", "upto", levels=scan.levels_for(span))
     pieces = (
         cut.join(upto.select("doc_id", "page_no", (F.col("upto") - F.col("headers")).alias("before")),
                  ["doc_id", "page_no"])
@@ -49,14 +56,30 @@ def sections(pages: DataFrame, footer: str, header: str) -> DataFrame:
     )
 
 
-def title_carry_forward(chunks: DataFrame, title: str, default: str) -> DataFrame:
-    """Add ``own_title`` and ``title``: the latest title up to and including the chunk."""
-    found = chunks.withColumn("own_title", text.strip(text.capture_first(F.col("text"), title)))
+def titled_sections(pages: DataFrame, footer: str, header: str, title: str, min_length: int) -> DataFrame:
+    """Stripped sections of some length with the title they carry themselves, if any.
+
+    Written to the shared folder: titles and numbers are looked up from this
+    table several times, and only the small columns are read for it.
+    """
+    clean = sections(pages, footer, header).withColumn("text", text.strip(F.col("text")))
+    long_enough = clean.where(F.length("text") >= min_length)
+    found = long_enough.withColumn("own_title", text.strip(text.capture_first(F.col("text"), title)))
+    return materialize(found, "sections")
+
+
+def title_carry_forward(found: DataFrame, default: str = DEFAULT_TITLE) -> DataFrame:
+    """Add ``title``, the latest title up to and including the section, and ``chunk_no``."""
     slim = found.select("doc_id", "section", "own_title")
-    carried = scan.carry_forward(slim, ["doc_id"], "section", "own_title", "title")
-    return found.join(carried.drop("own_title"), ["doc_id", "section"]).withColumn(
-        "title", F.coalesce("title", F.lit(default))
-    )
+    levels = scan.levels_for(scan.position_span(slim, "section"))
+    if levels == 0:
+        carried = scan.carry_forward(found, ["doc_id"], "section", "own_title", "title", levels=0)
+        numbered = scan.dense_index(carried, ["doc_id"], "section", "chunk_no", levels=0)
+    else:
+        carried = scan.carry_forward(slim, ["doc_id"], "section", "own_title", "title", levels=levels)
+        indexed = scan.dense_index(slim.drop("own_title"), ["doc_id"], "section", "chunk_no", levels=levels)
+        numbered = found.join(carried.drop("own_title"), ["doc_id", "section"]).join(indexed, ["doc_id", "section"])
+    return numbered.withColumn("title", F.coalesce("title", F.lit(default)))
 
 
 def chunk_documents(
@@ -68,19 +91,13 @@ def chunk_documents(
     Short sections are dropped before titles are looked for. A chunk without a
     title of its own names its parent document first.
     """
-    clean = sections(pages, footer, header).withColumn("text", text.strip(F.col("text")))
-    long_enough = clean.where(F.length("text") >= min_length)
-    found = long_enough.withColumn("own_title", text.strip(text.capture_first(F.col("text"), title)))
-    slim = found.select("doc_id", "section", "own_title")
-    carried = scan.carry_forward(slim, ["doc_id"], "section", "own_title", "title")
-    numbered = scan.dense_index(carried, ["doc_id"], "section", "chunk_no").drop("own_title")
-    titled = F.coalesce("title", F.lit(default_title))
-    return found.join(numbered, ["doc_id", "section"]).select(
+    found = titled_sections(pages, footer, header, title, min_length)
+    return title_carry_forward(found, default_title).select(
         "doc_id",
         "chunk_no",
-        titled.alias("title"),
+        "title",
         F.when(F.col("own_title").isNotNull(), F.col("text"))
-        .otherwise(text.with_parent(titled, F.col("text")))
+        .otherwise(text.with_parent(F.col("title"), F.col("text")))
         .alias("text"),
     )
 

@@ -43,7 +43,9 @@ def expand_queries(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     per_variant = (
         tokens.join(by_term, F.col("token") == F.col("term"), "left")
         .groupBy("query_id")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "token", "by_variant"))).alias("tokens"))
+        .agg(F.array_sort(
+            F.collect_list(F.struct("pos", "token", "by_variant")), lambda a, b: a["pos"] - b["pos"]
+        ).alias("tokens"))
     )
 
     def reworded(v):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from mercato import schemas
@@ -356,13 +358,33 @@ def check_primary_key(spark, d):
     return quality.check_primary_key(bind(spark, d).order_items, schemas.PRIMARY_KEYS["order_items"])
 
 
-@query("check_foreign_key", """
-SELECT order_id, count(*) AS n_rows FROM r_reviews WHERE order_id NOT IN (SELECT order_id FROM r_orders) GROUP BY 1
-""")
+KEY_RULES = [
+    ("orders", "customer_id", "customers", "r_orders", "r_customers"),
+    ("order_items", "order_id", "orders", "r_items", "r_orders"),
+    ("order_items", "product_id", "products", "r_items", "r_products"),
+    ("order_items", "seller_id", "sellers", "r_items", "r_sellers"),
+    ("order_payments", "order_id", "orders", "r_payments", "r_orders"),
+    ("order_reviews", "order_id", "orders", "r_reviews", "r_orders"),
+    ("products", "product_category_name", "translation", "r_products", "r_translation"),
+]
+
+
+@query("check_foreign_key", "\nUNION ALL\n".join(
+    f"SELECT '{child}' AS child, '{column}' AS key_column, count(DISTINCT {column}) AS n_keys, count(*) AS n_rows "
+    f"FROM {child_part} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {column} FROM {parent_part})"
+    for child, column, _, child_part, parent_part in KEY_RULES
+))
 def check_foreign_key(spark, d):
-    """The reviews of small scales all have an order; the items' products are checked too."""
+    """Keys and rows without a parent, for every declared key and the category names."""
     r = bind(spark, d)
-    return quality.check_foreign_key(r.order_reviews, "order_id", r.orders, "order_id")
+    counts = [
+        quality.check_foreign_key(getattr(r, child), column, getattr(r, parent), column).agg(
+            F.lit(child).alias("child"), F.lit(column).alias("key_column"),
+            F.count(F.lit(1)).alias("n_keys"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"),
+        )
+        for child, column, parent, *_ in KEY_RULES
+    ]
+    return reduce(lambda a, b: a.unionByName(b), counts)
 
 
 @query("anti_orphans", """

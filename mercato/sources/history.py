@@ -20,7 +20,7 @@ def append_run(run: DataFrame, path: str) -> None:
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """All runs; none when the history does not exist yet."""
     try:
-        return spark.read.schema(RUN_HISTORY).parquet(path)
+        return spark.read.schema(RUN_HISTORY).parquet(path).drop(RUN)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
