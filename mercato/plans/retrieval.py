@@ -34,30 +34,28 @@ def expand_queries(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Queries with a reworded variant per synonym set.
 
     ``synonyms`` has ``(term, variant, replacement)``, one row per term and
-    variant from 1 on. A variant in which nothing was replaced is left out.
+    variant from 1 on. A variant in which nothing is replaced is left out.
     """
     replaced = F.map_from_entries(F.collect_list(F.struct("variant", "replacement")))
     by_term = synonyms.groupBy("term").agg(replaced.alias("by_variant"))
-    variant_numbers = synonyms.select("variant").distinct().agg(F.array_sort(F.collect_list("variant"))).scalar()
     tokens = queries.select("query_id", F.posexplode(F.split("query", " ")).alias("pos", "token"))
-    per_variant = (
+    in_order = F.array_sort(
+        F.collect_list(F.struct("pos", "token", "by_variant")), lambda a, b: a["pos"] - b["pos"]
+    )
+    per_query = (
         tokens.join(by_term, F.col("token") == F.col("term"), "left")
         .groupBy("query_id")
-        .agg(F.array_sort(
-            F.collect_list(F.struct("pos", "token", "by_variant")), lambda a, b: a["pos"] - b["pos"]
-        ).alias("tokens"))
+        .agg(in_order.alias("tokens"))
     )
+    known = F.flatten(F.transform("tokens", lambda t: F.coalesce(F.map_keys(t["by_variant"]), F.array())))
 
-    def reworded(v):
-        def new(t):
-            return F.try_element_at(t["by_variant"], v)
-
-        query = F.array_join(F.transform("tokens", lambda t: F.coalesce(new(t), t["token"])), " ")
-        changed = F.exists("tokens", lambda t: new(t).isNotNull())
-        return F.struct(v.alias("variant"), query.alias("query"), changed.alias("changed"))
+    def reworded(t):
+        return F.coalesce(F.try_element_at(t["by_variant"], F.col("variant")), t["token"])
 
-    changed = F.filter(F.transform(variant_numbers, reworded), lambda v: v["changed"])
-    variants = per_variant.select("query_id", F.inline(changed)).drop("changed")
+    variants = (
+        per_query.select("query_id", "tokens", F.explode(F.array_distinct(known)).alias("variant"))
+        .select("query_id", "variant", F.array_join(F.transform("tokens", reworded), " ").alias("query"))
+    )
     return queries.select("query_id", F.lit(0).alias("variant"), "query").unionByName(variants)
 
 
