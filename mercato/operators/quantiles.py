@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 20_000
+# Columns with fewer rows are counted value by value as a whole: there a
+# bracket could be narrower than the step to the next rank.
+WHOLE_BELOW = 100_000
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
@@ -42,8 +45,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> Da
             targets.append({
                 "id": len(targets), "column": column, "prob": prob,
                 "rank": math.floor(rank), "next": math.ceil(rank), "part": rank - math.floor(rank),
-                "low": first[f"min_{i}"] if low <= 0 else bracket[low],
-                "high": first[f"max_{i}"] if high >= 1 else bracket[high],
+                "low": first[f"min_{i}"] if low <= 0 or count < WHOLE_BELOW else bracket[low],
+                "high": first[f"max_{i}"] if high >= 1 or count < WHOLE_BELOW else bracket[high],
             })
     schema = "column string, prob double, value double"
     if not targets:
