@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 # Marks the places where a text is to be cut; a private-use character.
 CUT = "\ue000"
 
-_BLANK = r"[\s\x1c-\x1f]"
+# White space in the Unicode sense, with the four separator controls.
+BLANKS = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(value: Column) -> Column:
     """Remove white space of every kind, newlines too, from both ends."""
-    return F.regexp_replace(value, rf"(?U)\A{_BLANK}+|{_BLANK}+\z", "")
+    return F.btrim(value, F.lit(BLANKS))
 
 
 def normalize_category(value: Column) -> Column:

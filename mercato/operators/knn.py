@@ -17,10 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_QUERIES = 4096
+# A batch of queries goes to every task while its vectors have no more numbers
+# than this (64 MB); cells and blocks hold some thousand rows.
+BROADCAST_NUMBERS = 8_000_000
 PIVOTS = 64
 BLOCK_ROWS = 8192
 TILE = 256
+SPARE = 8
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -30,21 +33,32 @@ def _matrix(vectors) -> np.ndarray:
 def _best(queries: np.ndarray, ids: np.ndarray, corpus: np.ndarray, k: int):
     """Best ``k`` corpus rows per query by (distance, id), as flat arrays.
 
-    The product form picks the rows that can be among the best; their distance
-    is then taken from the differences, so equal vectors tie exactly.
+    Yields ``(query rows, corpus rows, distances)`` per tile of queries. The
+    product form picks the rows that can be among the best; their distance is
+    then taken from the differences, so equal vectors tie exactly. Where more
+    rows than the spare ones tie with the last place, all of them are looked at.
     """
     norms = (corpus * corpus).sum(axis=1)
-    keep = min(k, len(ids))
+    place = np.unique(ids, return_inverse=True)[1]
+    keep, wide = min(k, len(ids)), min(k + SPARE, len(ids))
     for start in range(0, len(queries), TILE):
         tile = queries[start:start + TILE]
         rough = (tile * tile).sum(axis=1)[:, None] + norms[None, :] - 2.0 * tile @ corpus.T
-        limit = np.partition(rough, keep - 1, axis=1)[:, keep - 1]
-        slack = 1e-9 * (1.0 + np.abs(limit))
-        for i, row in enumerate(rough):
-            near = np.flatnonzero(row <= limit[i] + slack[i])
-            exact = ((corpus[near] - tile[i]) ** 2).sum(axis=1)
-            order = np.lexsort((ids[near], exact))[:keep]
-            yield start + i, ids[near][order], exact[order]
+        near = np.argpartition(rough, wide - 1, axis=1)[:, :wide]
+        near_rough = np.sort(np.take_along_axis(rough, near, axis=1), axis=1)
+        limit = near_rough[:, keep - 1]
+        limit = limit + 1e-9 * (1.0 + np.abs(limit))
+        exact = ((corpus[near] - tile[:, None, :]) ** 2).sum(axis=2)
+        order = np.lexsort((place[near], exact), axis=1)[:, :keep]
+        docs = np.take_along_axis(near, order, axis=1)
+        dists = np.take_along_axis(exact, order, axis=1)
+        if wide < len(ids):
+            for i in np.flatnonzero(near_rough[:, -1] <= limit):
+                every = np.flatnonzero(rough[i] <= limit[i])
+                far = ((corpus[every] - tile[i]) ** 2).sum(axis=1)
+                first = np.lexsort((place[every], far))[:keep]
+                docs[i], dists[i] = every[first], far[first]
+        yield np.repeat(np.arange(start, start + len(tile)), keep), docs.ravel(), dists.ravel()
 
 
 def _keep_best(candidates: DataFrame, query_keys: list[str], doc: str, k: int) -> DataFrame:
@@ -58,15 +72,17 @@ def _keep_best(candidates: DataFrame, query_keys: list[str], doc: str, k: int) -
 
 def knn_topk(
     queries: DataFrame, corpus: DataFrame, query_keys: list[str], doc: str,
-    k: int = 5, vector: str = "embedding", broadcast_queries: int = BROADCAST_QUERIES,
+    k: int = 5, vector: str = "embedding", broadcast_numbers: int = BROADCAST_NUMBERS,
 ) -> DataFrame:
     """The ``k`` nearest corpus rows per query; ties by ``doc``.
 
-    Rows ``(*query_keys, doc, dist, rank)``. At most ``broadcast_queries``
-    queries are sent to the tasks; more of them take the join.
+    Rows ``(*query_keys, doc, dist, rank)``. Queries whose vectors have at most
+    ``broadcast_numbers`` numbers are sent to the tasks; more take the join.
     """
-    batch = queries.select(*query_keys, vector).limit(broadcast_queries + 1).toPandas()
-    if len(batch) > broadcast_queries:
+    sample = queries.select(F.size(vector).alias("n")).first()
+    most = broadcast_numbers // max(1, sample["n"]) if sample else 0
+    batch = queries.select(*query_keys, vector).limit(most + 1).toPandas()
+    if len(batch) > most:
         return knn_join(queries, corpus, query_keys, doc, k, vector)
 
     spark = corpus.sparkSession
@@ -96,13 +112,8 @@ def knn_topk(
 
 
 def _hits(keys: pd.DataFrame, points: np.ndarray, ids: np.ndarray, corpus: np.ndarray, k: int, doc: str):
-    rows, docs, dists = [], [], []
-    for i, near, dist in _best(points, ids, corpus, k):
-        rows.append(np.full(len(near), i))
-        docs.append(near)
-        dists.append(dist)
-    hits = keys.iloc[np.concatenate(rows)].reset_index(drop=True)
-    return hits.assign(**{doc: np.concatenate(docs), "dist": np.concatenate(dists)})
+    rows, docs, dists = (np.concatenate(parts) for parts in zip(*_best(points, ids, corpus, k)))
+    return keys.iloc[rows].reset_index(drop=True).assign(**{doc: ids[docs], "dist": dists})
 
 
 def _merge(found: list[pd.DataFrame], query_keys: list[str], doc: str, k: int) -> pd.DataFrame:
@@ -112,15 +123,18 @@ def _merge(found: list[pd.DataFrame], query_keys: list[str], doc: str, k: int) -
 
 def knn_join(
     queries: DataFrame, corpus: DataFrame, query_keys: list[str], doc: str,
-    k: int = 5, vector: str = "embedding", pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS,
+    k: int = 5, vector: str = "embedding", pivots: int | None = None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The same result for any number of queries, as a blocked join.
 
     The driver holds ``pivots`` vectors and one row of statistics per cell,
-    nothing that grows with the data.
+    nothing that grows with the data. By default there are as many cells as
+    blocks, 64 at most.
     """
     types = {f.name: f.dataType.simpleString() for f in queries.schema.fields + corpus.schema.fields}
-    first = corpus.select(vector).orderBy(F.xxhash64(doc), doc).limit(max(pivots, k)).toPandas()
+    if pivots is None:
+        pivots = max(1, min(PIVOTS, corpus.count() // block_rows))
+    first = corpus.select(vector).orderBy(F.xxhash64(doc), doc).limit(pivots).toPandas()
     centers = _matrix(first[vector]) if len(first) else np.zeros((1, 1))
 
     def distances(points: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ def weekly_resample(daily: DataFrame, key: str, day: str, sums: dict[str, Column
     real = F.col(week) == F.col(start)
     return (
         summed.withColumn(following, F.lead(start).over(by_week))
-        .withColumn(week, F.explode(F.sequence(F.col(start), last, F.expr("interval 7 days"))))
+        .withColumn(week, F.explode_outer(F.sequence(F.col(start), last, F.expr("interval 7 days"))))
         .select(key, week, *[F.when(real, F.col(c)).otherwise(F.lit(0)).alias(c) for c in sums])
     )
 
@@ -57,6 +57,7 @@ def ewma_state(weekly: DataFrame, key: str, week: str, averages: dict[str, str],
         f"'{out}', {1 - alpha!r}D * element_at(acc, -1).{out} + {alpha!r}D * cast(x.{c} as double)"
         for c, out in averages.items()
     )
+    # inline_outer: plain inline adds filters on the array and so folds it three times.
     folded = (
         "aggregate(slice(_points, 2, size(_points) - 1), "
         f"transform(slice(_points, 1, 1), x -> {row(opening)}), "
@@ -65,7 +66,7 @@ def ewma_state(weekly: DataFrame, key: str, week: str, averages: dict[str, str],
     return (
         weekly.groupBy(key)
         .agg(points.alias("_points"))
-        .select(key, F.inline(F.expr(folded)))
+        .select(key, F.inline_outer(F.expr(folded)))
         .select(*weekly.columns, *averages.values())
     )
 

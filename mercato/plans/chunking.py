@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions import text
@@ -28,6 +28,18 @@ def min_length_filter(chunks: DataFrame, column: str = "text", least: int = MIN_
     return chunks.where(F.length(text.strip(F.col(column))) >= least)
 
 
+def _cut(pages: DataFrame, footer: str, header: str) -> DataFrame:
+    """Pages with their pieces; all but the first piece of a page start with a header."""
+    body = F.concat(F.lit("\n"), text.remove_pattern(F.coalesce("text", F.lit("")), footer))
+    return pages.select("doc_id", "page_no", text.split_before(body, header).alias("pieces"))
+
+
+def _numbered(pieces: str) -> Column:
+    # There is always a piece. Unlike posexplode, this adds no filter on the
+    # array, for which the patterns would be searched twice more.
+    return F.posexplode_outer(pieces)
+
+
 def sections(pages: DataFrame, footer: str, header: str) -> DataFrame:
     """Text between two headers, also when it runs over several pages.
 
@@ -35,11 +47,10 @@ def sections(pages: DataFrame, footer: str, header: str) -> DataFrame:
     pages numbers the sections, so no document is ever put together as a whole.
     Documents of one page need no counting and no shuffle.
     """
-    body = F.concat(F.lit("\n"), text.remove_pattern(F.col("text"), footer))
-    cut = pages.select("doc_id", "page_no", text.split_before(body, header).alias("pieces"))
+    cut = _cut(pages, footer, header)
     span = scan.position_span(pages, "page_no")
     if span <= 1:
-        return cut.select("doc_id", F.posexplode("pieces").alias("section", "text")).withColumn(
+        return cut.select("doc_id", _numbered("pieces").alias("section", "text")).withColumn(
             "section", F.col("section").cast("bigint")
         )
     headers = cut.select("doc_id", "page_no", (F.size("pieces") - 1).alias("headers"))
@@ -47,7 +58,7 @@ def sections(pages: DataFrame, footer: str, header: str) -> DataFrame:
     pieces = (
         cut.join(upto.select("doc_id", "page_no", (F.col("upto") - F.col("headers")).alias("before")),
                  ["doc_id", "page_no"])
-        .select("doc_id", "page_no", "before", F.posexplode("pieces").alias("nth", "piece"))
+        .select("doc_id", "page_no", "before", _numbered("pieces").alias("nth", "piece"))
         .withColumn("section", F.col("before") + F.col("nth"))
     )
     in_order = F.array_sort(F.collect_list(F.struct("page_no", "piece")))
@@ -56,26 +67,44 @@ def sections(pages: DataFrame, footer: str, header: str) -> DataFrame:
     )
 
 
-def titled_sections(pages: DataFrame, footer: str, header: str, title: str, min_length: int) -> DataFrame:
-    """Stripped sections of some length with the title they carry themselves, if any.
+def section_span(pages: DataFrame, footer: str, header: str) -> int:
+    """A bound on the sections of any document.
 
-    Written to the shared folder: titles and numbers are looked up from this
-    table several times, and only the small columns are read for it.
+    No document has more sections than lines; only where that says too little
+    are the headers counted.
     """
+
+    def most(rows: DataFrame, amount: Column) -> int:
+        per_doc = rows.groupBy("doc_id").agg(F.sum(amount).alias("n"))
+        return per_doc.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()["most"]
+
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    lines = most(pages, breaks + 1)
+    if lines <= scan.BLOCK_ROWS:
+        return lines
+    return most(_cut(pages, footer, header), F.size("pieces") - 1) + 1
+
+
+def titled_sections(pages: DataFrame, footer: str, header: str, title: str, min_length: int) -> DataFrame:
+    """Stripped sections of some length with the title they carry themselves, if any."""
     clean = sections(pages, footer, header).withColumn("text", text.strip(F.col("text")))
     long_enough = clean.where(F.length("text") >= min_length)
-    found = long_enough.withColumn("own_title", text.strip(text.capture_first(F.col("text"), title)))
-    return materialize(found, "sections")
+    return long_enough.withColumn("own_title", text.strip(text.capture_first(F.col("text"), title)))
+
 
+def title_carry_forward(found: DataFrame, levels: int, default: str = DEFAULT_TITLE) -> DataFrame:
+    """Add ``title``, the latest title up to and including the section, and ``chunk_no``.
 
-def title_carry_forward(found: DataFrame, default: str = DEFAULT_TITLE) -> DataFrame:
-    """Add ``title``, the latest title up to and including the section, and ``chunk_no``."""
-    slim = found.select("doc_id", "section", "own_title")
-    levels = scan.levels_for(scan.position_span(slim, "section"))
+    ``levels`` 0 means that no document has more sections than fit a window.
+    Beyond that the sections are written to the shared folder first, as the
+    blocked scans read their small columns several times.
+    """
     if levels == 0:
         carried = scan.carry_forward(found, ["doc_id"], "section", "own_title", "title", levels=0)
         numbered = scan.dense_index(carried, ["doc_id"], "section", "chunk_no", levels=0)
     else:
+        found = materialize(found, "sections")
+        slim = found.select("doc_id", "section", "own_title")
         carried = scan.carry_forward(slim, ["doc_id"], "section", "own_title", "title", levels=levels)
         indexed = scan.dense_index(slim.drop("own_title"), ["doc_id"], "section", "chunk_no", levels=levels)
         numbered = found.join(carried.drop("own_title"), ["doc_id", "section"]).join(indexed, ["doc_id", "section"])
@@ -91,8 +120,9 @@ def chunk_documents(
     Short sections are dropped before titles are looked for. A chunk without a
     title of its own names its parent document first.
     """
+    levels = scan.levels_for(section_span(pages, footer, header))
     found = titled_sections(pages, footer, header, title, min_length)
-    return title_carry_forward(found, default_title).select(
+    return title_carry_forward(found, levels, default_title).select(
         "doc_id",
         "chunk_no",
         "title",

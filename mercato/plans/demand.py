@@ -15,10 +15,10 @@ LAGS = {"weekly_revenue": "lag_1_revenue", "weekly_units": "lag_1_units"}
 AVERAGES = {"weekly_revenue": "ewma_4_revenue", "weekly_units": "ewma_4_units"}
 
 
-def english_items(r: Retail) -> DataFrame:
+def english_items(r: Retail, items: DataFrame | None = None) -> DataFrame:
     """Items with the English category; items without a translation drop out."""
     names = r.products.select("product_id", "product_category_name").join(r.translation, "product_category_name")
-    return r.order_items.join(
+    return (r.order_items if items is None else items).join(
         names.select("product_id", F.col("product_category_name_english").alias(KEY)), "product_id"
     )
 
@@ -28,10 +28,9 @@ def daily_category_sales(r: Retail) -> DataFrame:
     sold_on = r.orders.where(is_delivered()).select(
         "order_id", F.to_date("order_purchase_timestamp").alias("sale_date")
     )
+    sold = r.order_items.select("order_id", "product_id", "order_item_id", "price").join(sold_on, "order_id")
     return (
-        english_items(r)
-        .select("order_id", KEY, "order_item_id", "price")
-        .join(sold_on, "order_id")
+        english_items(r, sold)
         .groupBy("sale_date", KEY)
         .agg(
             F.count("order_item_id").alias("units_sold"),

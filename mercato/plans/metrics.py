@@ -74,11 +74,8 @@ def relative_window(r: Retail, period: str, recent_days: int = 30) -> DataFrame:
 
 def top_categories_revenue(r: Retail, n: int = 5) -> DataFrame:
     """The best-selling English categories; ties by name."""
-    delivered = r.orders.where(is_delivered()).select("order_id")
     return (
-        english_items(r)
-        .select("order_id", KEY, "price")
-        .join(delivered, "order_id")
+        english_items(r, _delivered_items(r).select("product_id", "price"))
         .groupBy(KEY)
         .agg(numbers.money_sum(F.col("price")).alias("revenue"))
         .orderBy(F.desc("revenue"), KEY)

@@ -26,7 +26,7 @@ def union_query_variants(queries: DataFrame) -> DataFrame:
     stripped = F.transform(F.coalesce("variants", F.array().cast("array<string>")), text.strip)
     filled = F.filter(stripped, lambda v: v != "")
     return queries.select(
-        "query_id", F.posexplode(F.concat(F.array("query"), filled)).alias("variant", "query")
+        "query_id", F.posexplode_outer(F.concat(F.array("query"), filled)).alias("variant", "query")
     )
 
 
@@ -38,7 +38,7 @@ def expand_queries(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """
     replaced = F.map_from_entries(F.collect_list(F.struct("variant", "replacement")))
     by_term = synonyms.groupBy("term").agg(replaced.alias("by_variant"))
-    tokens = queries.select("query_id", F.posexplode(F.split("query", " ")).alias("pos", "token"))
+    tokens = queries.select("query_id", F.posexplode_outer(F.split("query", " ")).alias("pos", "token"))
     in_order = F.array_sort(
         F.collect_list(F.struct("pos", "token", "by_variant")), lambda a, b: a["pos"] - b["pos"]
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mercato.binding import bind, table
 from mercato.functions import scores
 from mercato.ml import embed
-from mercato.operators import knn, sampling
+from mercato.operators import knn, sampling, scan
 from mercato.plans import chunking, evaluation, retrieval
 from mercato.plans.delivery import is_delivered
 from mercato.registry.base import part, query
@@ -66,8 +66,10 @@ def src_text_docs(spark, d):
 
 @query("title_carry_forward", "SELECT doc_id, section, own_title, title FROM page_titles")
 def title_carry_forward(spark, d):
-    found = chunking.titled_sections(conversation_pages(spark, d), FOOTER, HEADER, TITLE, chunking.MIN_LENGTH)
-    return chunking.title_carry_forward(found).select("doc_id", "section", "own_title", "title")
+    pages = conversation_pages(spark, d)
+    levels = scan.levels_for(chunking.section_span(pages, FOOTER, HEADER))
+    found = chunking.titled_sections(pages, FOOTER, HEADER, TITLE, chunking.MIN_LENGTH)
+    return chunking.title_carry_forward(found, levels).select("doc_id", "section", "own_title", "title")
 
 
 @query("chunk_documents", CHUNKS.format("doc_titles"))

@@ -130,7 +130,7 @@ def test_nearest_neighbours_equal_brute_force(spark, way):
     if way == "broadcast":
         found = knn.knn_topk(left, right, ["query_id"], "doc_id", 5)
     elif way == "join":
-        found = knn.knn_topk(left, right, ["query_id"], "doc_id", 5, broadcast_queries=10)
+        found = knn.knn_topk(left, right, ["query_id"], "doc_id", 5, broadcast_numbers=60)
     else:
         found = knn.knn_join(left, right, ["query_id"], "doc_id", 5, pivots=8, block_rows=16)
     got = [(q, c, round(d, 9), n) for q, c, d, n in rows(found, "query_id", "rank")]
