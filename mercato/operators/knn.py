@@ -10,16 +10,21 @@ blocks and send on the best ``k`` rows per query, never all pairs.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# The functions below travel with the tasks: executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # A batch of queries goes to every task while its vectors have no more numbers
-# than this (64 MB); cells and blocks hold some thousand rows.
-BROADCAST_NUMBERS = 8_000_000
+# than this (16 MB); cells and blocks hold some thousand rows.
+BROADCAST_NUMBERS = 2_000_000
 PIVOTS = 64
 BLOCK_ROWS = 8192
 TILE = 256

@@ -24,22 +24,24 @@ def customer_orders_items(r: Retail) -> DataFrame:
     return r.order_items.join(bought.join(who, "customer_id"), "order_id")
 
 
-def _order_spend(r: Retail) -> DataFrame:
-    """Delivered orders with items: one row per order."""
+def order_reviews(r: Retail) -> DataFrame:
+    """Delivered orders with the sums of their items and, where there are any, reviews.
+
+    One row per order. A join of items with reviews has ``n_items`` times
+    ``n_reviews`` rows for an order; every sum over that join is a product of
+    the sums here, so it need not be made.
+    """
     spend = r.order_items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("n_items"),
         F.sum((F.col("price") + F.col("freight_value")).cast("decimal(18,4)")).alias("spent"),
     )
-    orders = r.orders.where(is_delivered()).select("order_id", "customer_id", "order_purchase_timestamp")
-    return orders.join(spend, "order_id")
-
-
-def _review_sums(r: Retail) -> DataFrame:
-    return r.order_reviews.groupBy("order_id").agg(
+    reviews = r.order_reviews.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("n_reviews"),
         F.count("review_score").alias("n_scores"),
         F.sum("review_score").alias("score_sum"),
     )
+    orders = r.orders.where(is_delivered()).select("order_id", "customer_id", "order_purchase_timestamp")
+    return orders.join(spend, "order_id").join(reviews, "order_id", "left")
 
 
 def churn_profile(r: Retail, repeat_items_per_review: bool = True) -> DataFrame:
@@ -51,7 +53,7 @@ def churn_profile(r: Retail, repeat_items_per_review: bool = True) -> DataFrame:
     the rows never multiply. ``repeat_items_per_review=False`` counts every
     item and every review once.
     """
-    orders = _order_spend(r).join(_review_sums(r), "order_id", "left")
+    orders = order_reviews(r)
     if repeat_items_per_review:
         spend_times = F.greatest(F.coalesce("n_reviews", F.lit(1)), F.lit(1))
         review_times = F.col("n_items")

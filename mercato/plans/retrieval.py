@@ -71,14 +71,16 @@ def retrieve_dedupe(
 
 
 def lexical_scores(candidates: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Add ``score`` 0–10: the share of the query's words found in the chunk."""
-    asked = queries.select("query_id", text.words(F.col("query")).alias("query_words"))
-    known = corpus.select("doc_id", text.words(F.col("text")).alias("text_words"))
+    """Add ``score`` 0–10: the share of the query's words found in the chunk.
+
+    Texts are taken apart after the joins, so only texts that were found are.
+    """
+    score = scores.lexical_score(text.words(F.col("query")), text.words(F.col("text")))
     return (
-        candidates.join(asked, "query_id")
-        .join(known, "doc_id")
-        .withColumn("score", scores.lexical_score(F.col("query_words"), F.col("text_words")))
-        .drop("query_words", "text_words")
+        candidates.join(queries.select("query_id", "query"), "query_id")
+        .join(corpus.select("doc_id", "text"), "doc_id")
+        .withColumn("score", score)
+        .drop("query", "text")
     )
 
 
@@ -135,12 +137,18 @@ def retrieval_status(queries: DataFrame, candidates: DataFrame, best: DataFrame,
     )
 
 
-def build_context(best: DataFrame, reviews: bool = False) -> DataFrame:
+def _numbered(best: DataFrame, top_k: int) -> DataFrame:
+    """The first ``top_k`` chunks per query, numbered from 1."""
+    order = Window.partitionBy("query_id").orderBy("position")
+    return best.withColumn("number", F.row_number().over(order)).where(F.col("number") <= top_k)
+
+
+def build_context(best: DataFrame, reviews: bool = False, top_k: int = TOP_K) -> DataFrame:
     """One context text per query: its chunks by position under numbered headings.
 
     ``best`` has ``(query_id, position, text)`` and, for reviews, ``stars``.
     """
-    number = F.row_number().over(Window.partitionBy("query_id").orderBy("position")).cast("string")
+    number = F.col("number").cast("string")
     excerpt = F.concat(F.lit("--- Document Excerpt "), number, F.lit(" ---\n"), "text", F.lit("\n\n"))
     if reviews:
         rated = F.concat(
@@ -148,17 +156,16 @@ def build_context(best: DataFrame, reviews: bool = False) -> DataFrame:
             F.lit(" stars) ---\n"), "text", F.lit("\n\n"),
         )
         excerpt = F.when(F.col("stars").isNotNull(), rated).otherwise(excerpt)
-    blocks = best.withColumn("block", excerpt)
-    ordered = F.array_sort(F.collect_list(F.struct("position", "block")))
-    return blocks.groupBy("query_id").agg(
+    ordered = F.array_sort(F.collect_list(F.struct("number", excerpt.alias("block"))))
+    return _numbered(best, top_k).groupBy("query_id").agg(
         F.array_join(F.transform(ordered, lambda b: b["block"]), "").alias("context")
     )
 
 
-def plain_context(queries: DataFrame, best: DataFrame) -> DataFrame:
+def plain_context(queries: DataFrame, best: DataFrame, top_k: int = TOP_K) -> DataFrame:
     """Chunks by position, one per line, or the fixed text when there is none."""
-    ordered = F.array_sort(F.collect_list(F.struct("position", "text")))
-    joined = best.groupBy("query_id").agg(
+    ordered = F.array_sort(F.collect_list(F.struct("number", "text")))
+    joined = _numbered(best, top_k).groupBy("query_id").agg(
         F.array_join(F.transform(ordered, lambda b: b["text"]), "\n").alias("context")
     )
     return queries.select("query_id").join(joined, "query_id", "left").na.fill({"context": NO_CONTEXT})

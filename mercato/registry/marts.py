@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from mercato.binding import bind
 from mercato.functions import numbers
+from mercato.operators import series
 from mercato.plans import churn, delivery, demand, metrics
 from mercato.registry.base import query
+from mercato.sources.files import materialize
 
 
 @query("filter_delivered", "SELECT order_id, order_delivered_customer_date, order_estimated_delivery_date FROM dated_orders")
@@ -91,15 +93,21 @@ def join_customer_orders_items(spark, d):
 
 
 @query("join_left_reviews", """
-SELECT o.order_id, order_item_id, review_id, review_score
+SELECT o.order_id, count(*) AS joined_rows, count(review_id) AS rows_with_review,
+       CAST(sum(CAST(price + freight_value AS DECIMAL(18,4))) AS DOUBLE) AS joined_spend,
+       CAST(sum(review_score) AS BIGINT) AS joined_score
 FROM r_orders o JOIN r_items i ON o.order_id = i.order_id LEFT JOIN r_reviews v ON o.order_id = v.order_id
-WHERE order_status = 'delivered'
+WHERE order_status = 'delivered' GROUP BY o.order_id
 """)
 def join_left_reviews(spark, d):
-    r = bind(spark, d)
-    items = churn.customer_orders_items(r).select("order_id", "order_item_id")
-    return items.join(r.order_reviews, "order_id", "left").select(
-        "order_id", "order_item_id", "review_id", "review_score"
+    """What the join of items and reviews gives per order, from one row per order and side."""
+    n_items, n_reviews = F.col("n_items"), F.coalesce("n_reviews", F.lit(0))
+    return churn.order_reviews(bind(spark, d)).select(
+        "order_id",
+        (n_items * F.greatest(n_reviews, F.lit(1))).alias("joined_rows"),
+        (n_items * n_reviews).alias("rows_with_review"),
+        (F.col("spent") * F.greatest(n_reviews, F.lit(1))).cast("double").alias("joined_spend"),
+        (F.col("score_sum") * n_items).alias("joined_score"),
     )
 
 
@@ -189,9 +197,13 @@ def cross_scalar(spark, d):
 
 
 def clustered(spark, d):
-    """Profiles with a rule in place of k-means, so that SQL can follow."""
+    """Profiles with a rule in place of k-means, so that SQL can follow.
+
+    Written once: the reports on the groups read them several times.
+    """
     rule = F.when(F.col("avg_review_score") < 2, 0).when(F.col("total_orders") > 3, 1).otherwise(2)
-    return churn.rfm_recency(churn.churn_profile(bind(spark, d))).withColumn("cluster", rule)
+    profile = materialize(churn.churn_profile(bind(spark, d)), "churn")
+    return churn.rfm_recency(profile).withColumn("cluster", rule)
 
 
 def profiles(spark, d):
@@ -255,8 +267,6 @@ def ewma_features(spark, d):
 SELECT * FROM weekly_state QUALIFY row_number() OVER (PARTITION BY category ORDER BY week_ending_date DESC) = 1
 """)
 def latest_state(spark, d):
-    from mercato.operators import series
-
     return series.latest_state(ewma_state(spark, d), demand.KEY, demand.WEEK)
 
 
@@ -270,8 +280,6 @@ SELECT category, week_ending_date, CASE WHEN t.week_ending_date IN (SELECT week_
 FROM train_rows t
 """)
 def time_cutoff_split(spark, d):
-    from mercato.operators import series
-
     train, test = series.time_cutoff_split(drop_incomplete(spark, d), demand.WEEK)
     columns = ["category", "week_ending_date"]
     return train.select(*columns, F.lit("train").alias("part")).unionByName(
@@ -284,8 +292,6 @@ SELECT category, CAST(sum(CAST(weekly_revenue AS DECIMAL(18,4))) AS DOUBLE) AS t
 FROM test_rows GROUP BY category ORDER BY total DESC, category LIMIT 5
 """)
 def topk_categories(spark, d):
-    from mercato.operators import series
-
     _, test = series.time_cutoff_split(drop_incomplete(spark, d), demand.WEEK)
     return demand.top_categories(test, "weekly_revenue")
 

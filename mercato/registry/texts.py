@@ -254,10 +254,10 @@ def build_context(spark, d):
 SELECT order_id AS query_id, string_agg('--- Review ' || nth || ' (Rating: ' || review_score || ' stars) ---' || chr(10) ||
        review_comment_message || chr(10) || chr(10), '' ORDER BY review_id) AS context
 FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY review_id) AS nth FROM r_reviews WHERE review_comment_message IS NOT NULL)
-GROUP BY order_id
+WHERE nth <= 5 GROUP BY order_id
 """)
 def str_context(spark, d):
-    """The reviews of each order as the context of a question about it."""
+    """The first reviews of each order as the context of a question about it."""
     best = bind(spark, d).order_reviews.dropna(subset=["review_comment_message"]).select(
         F.col("order_id").alias("query_id"), F.col("review_id").alias("position"),
         F.col("review_score").alias("stars"), F.col("review_comment_message").alias("text"),
