@@ -98,7 +98,7 @@ def encode_onehot(spark, d):
 @query("assemble_features")
 def assemble_features(spark, d):
     """The prepared feature vector of every training row."""
-    rows = delivery.delivery_features(bind(spark, d))
+    rows = materialize(delivery.delivery_features(bind(spark, d)), "features")
     preparer = preprocess.FeaturePreparer(delivery.FEATURES, delivery.BINARY_FEATURES)
     return preparer.fit(rows).transform(rows).select("order_id", F.array(*preparer.outputs).alias("features"))
 
@@ -123,22 +123,26 @@ def confusion_matrix(spark, d):
     return matrix(spark, d)
 
 
+# A measure without any row to measure on is 0.
 @query("classification_report", """
 WITH per_class AS (
-  SELECT c AS class, CAST(sum(n) FILTER (actual = c) AS BIGINT) AS support, sum(n) FILTER (predicted = c) AS guessed,
-         sum(n) FILTER (actual = c AND predicted = c) AS hits FROM matrix, (VALUES (0), (1)) v(c) GROUP BY c),
+  SELECT c AS class, CAST(coalesce(sum(n) FILTER (actual = c), 0) AS BIGINT) AS support,
+         coalesce(sum(n) FILTER (predicted = c), 0) AS guessed,
+         coalesce(sum(n) FILTER (actual = c AND predicted = c), 0) AS hits
+  FROM matrix, (SELECT actual AS c FROM matrix UNION SELECT predicted FROM matrix) GROUP BY c),
 scored AS (
-  SELECT CAST(class AS VARCHAR) AS class, CAST(hits AS DOUBLE) / CAST(guessed AS DOUBLE) AS "precision",
-         CAST(hits AS DOUBLE) / support AS recall, CAST(2 * hits AS DOUBLE) / CAST(support + guessed AS DOUBLE) AS f1, support, hits
-  FROM per_class)
-SELECT * EXCLUDE (hits) FROM (
-SELECT class, "precision", recall, f1, support, hits FROM scored
-UNION ALL SELECT 'accuracy', sum(hits) / CAST(sum(support) AS DOUBLE), sum(hits) / CAST(sum(support) AS DOUBLE),
-  sum(hits) / CAST(sum(support) AS DOUBLE), CAST(sum(support) AS BIGINT), 0 FROM scored
-UNION ALL SELECT 'macro avg', avg("precision"), avg(recall), avg(f1), CAST(sum(support) AS BIGINT), 0 FROM scored
-UNION ALL SELECT 'weighted avg', sum("precision" * support) / CAST(sum(support) AS DOUBLE),
-  sum(recall * support) / CAST(sum(support) AS DOUBLE), sum(f1 * support) / CAST(sum(support) AS DOUBLE), CAST(sum(support) AS BIGINT), 0 FROM scored)
-""".replace('"precision", recall, f1, support, hits FROM scored', '"precision", recall, f1, support, hits FROM scored'))
+  SELECT CAST(class AS VARCHAR) AS class,
+         coalesce(CAST(hits AS DOUBLE) / nullif(CAST(guessed AS DOUBLE), 0), 0) AS "precision",
+         coalesce(CAST(hits AS DOUBLE) / nullif(support, 0), 0) AS recall,
+         coalesce(CAST(2 * hits AS DOUBLE) / nullif(CAST(support + guessed AS DOUBLE), 0), 0) AS f1, support, hits
+  FROM per_class),
+total AS (SELECT CAST(sum(support) AS DOUBLE) AS n, CAST(sum(support) AS BIGINT) AS support, CAST(sum(hits) AS DOUBLE) AS hits FROM scored)
+SELECT class, "precision", recall, f1, support FROM scored
+UNION ALL SELECT 'accuracy', hits / n, hits / n, hits / n, support FROM total
+UNION ALL SELECT 'macro avg', avg("precision"), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM scored
+UNION ALL SELECT 'weighted avg', sum("precision" * support) / (SELECT n FROM total), sum(recall * support) / (SELECT n FROM total),
+  sum(f1 * support) / (SELECT n FROM total), CAST(sum(support) AS BIGINT) FROM scored
+""")
 def classification_report(spark, d):
     return evaluate.classification_report(matrix(spark, d))
 

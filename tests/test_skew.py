@@ -9,9 +9,9 @@ import __spark_entry__ as entry
 # Every third row gets the key of the first row.
 SKEWED = {
     "lineitem": """
-        SELECT * REPLACE (CASE WHEN n % 3 = 0 THEN 1 ELSE l_orderkey END AS l_orderkey,
+        SELECT * EXCLUDE (n) REPLACE (CASE WHEN n % 3 = 0 THEN 1 ELSE l_orderkey END AS l_orderkey,
                           CASE WHEN n % 3 = 1 THEN 1 ELSE l_partkey END AS l_partkey,
-                          CASE WHEN n % 3 = 2 THEN 1 ELSE l_suppkey END AS l_suppkey) EXCLUDE (n)
+                          CASE WHEN n % 3 = 2 THEN 1 ELSE l_suppkey END AS l_suppkey)
         FROM (SELECT *, row_number() OVER () AS n FROM src)""",
     "orders": """
         SELECT * REPLACE (CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE o_custkey END AS o_custkey,
