@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 20_000
@@ -33,55 +33,66 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> Da
         *[F.max(c).alias(f"max_{i}") for i, c in enumerate(columns)],
     ).first()
 
-    targets = []
+    # Targets per bracket: a bracket is counted once, however many ranks it is wanted for.
+    brackets: dict[tuple, list] = {}
     for i, column in enumerate(columns):
         count = first[f"n_{i}"]
         if not count:
             continue
-        bracket = dict(zip(cuts, first[f"cut_{i}"]))
+        cut = dict(zip(cuts, first[f"cut_{i}"]))
+        whole = count < WHOLE_BELOW
         for prob in probs:
-            rank = (count - 1) * prob
             low, high = prob - margin, prob + margin
-            targets.append({
-                "id": len(targets), "column": column, "prob": prob,
-                "rank": math.floor(rank), "next": math.ceil(rank), "part": rank - math.floor(rank),
-                "low": first[f"min_{i}"] if low <= 0 or count < WHOLE_BELOW else bracket[low],
-                "high": first[f"max_{i}"] if high >= 1 or count < WHOLE_BELOW else bracket[high],
-            })
-    schema = "column string, prob double, value double"
-    if not targets:
-        return spark.createDataFrame([], schema)
+            ends = (
+                first[f"min_{i}"] if whole or low <= 0 else cut[low],
+                first[f"max_{i}"] if whole or high >= 1 else cut[high],
+            )
+            brackets.setdefault((column, *ends), []).append((prob, (count - 1) * prob))
+    if not brackets:
+        return spark.createDataFrame([], "column string, prob double, value double")
 
     below = values.agg(*[
-        F.count_if(F.col(t["column"]) < t["low"]).alias(f"below_{t['id']}") for t in targets
+        F.count_if(F.col(column) < low).alias(f"below_{i}") for i, (column, low, _) in enumerate(brackets)
     ]).first()
     wanted = F.array(*[
         F.struct(
-            F.lit(t["id"]).alias("id"), F.lit(t["column"]).alias("column"), F.lit(t["prob"]).alias("prob"),
-            F.lit(t["rank"] - below[f"below_{t['id']}"]).cast("bigint").alias("rank"),
-            F.lit(t["next"] - below[f"below_{t['id']}"]).cast("bigint").alias("next"),
-            F.lit(t["part"]).alias("part"),
-            F.when(F.col(t["column"]).between(t["low"], t["high"]), F.col(t["column"])).alias("value"),
+            F.lit(i).alias("bracket"),
+            F.when(F.col(column).between(low, high), F.col(column)).alias("value"),
         )
-        for t in targets
+        for i, (column, low, high) in enumerate(brackets)
     ])
-    target = ["id", "column", "prob", "rank", "next", "part"]
     counted = (
         values.select(F.explode(wanted).alias("w"))
         .select("w.*")
         .where(F.col("value").isNotNull())
-        .groupBy(*target, "value")
+        .groupBy("bracket", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    upto = Window.partitionBy(*target).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    targets = F.array(*[
+        F.array(*[
+            F.struct(
+                F.lit(column).alias("column"),
+                F.lit(prob).alias("prob"),
+                F.lit(math.floor(rank) - below[i]).cast("bigint").alias("rank"),
+                F.lit(math.ceil(rank) - below[i]).cast("bigint").alias("next"),
+                F.lit(rank - math.floor(rank)).alias("part"),
+            )
+            for prob, rank in ranks
+        ])
+        for i, ((column, _, _), ranks) in enumerate(brackets.items())
+    ])
+    running = Window.partitionBy("bracket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    from_rank, to_rank = F.col("upto") - F.col("n"), F.col("upto")
+    touched = F.filter(targets[F.col("bracket")], lambda t: (t["next"] >= from_rank) & (t["rank"] < to_rank))
+    lower, upper = F.col("lower"), F.col("upper")
 
-    def value_at(rank: str):
-        return F.max(F.when((F.col("upto") > F.col(rank)) & (F.col("upto") - F.col("n") <= F.col(rank)), F.col("value")))
+    def value_at(rank: str) -> Column:
+        return F.max(F.when((F.col(rank) >= from_rank) & (F.col(rank) < to_rank), F.col("value")))
 
-    lower, upper = F.col("lower"), F.col("upper")
     return (
-        counted.withColumn("upto", F.sum("n").over(upto))
-        .groupBy(*target)
+        counted.withColumn("upto", F.sum("n").over(running))
+        .select("value", "n", "upto", F.inline(touched))
+        .groupBy("column", "prob", "part")
         .agg(value_at("rank").alias("lower"), value_at("next").alias("upper"))
         .select("column", "prob", (lower + (upper - lower) * F.col("part")).alias("value"))
     )
