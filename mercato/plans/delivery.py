@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.binding import Retail
@@ -70,19 +70,45 @@ def seller_delay_rates(stats: DataFrame) -> DataFrame:
     return stats.select("seller_id", rate.alias("delay_rate"))
 
 
-def order_lines(items: DataFrame, products: DataFrame, sellers: DataFrame, rates: DataFrame) -> DataFrame:
-    """Item measures summed to one row per order and seller state.
+def seller_rates_before(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """Delay rate of a seller over deliveries before the day of a purchase.
+
+    Rows ``(seller_id, purchase_day, delay_rate)`` for every day on which a
+    seller sold something. Items are summed per seller and day first, so the
+    running sums see at most one row per calendar day.
+    """
+    sold = items.select("order_id", "seller_id").join(
+        filter_delivered(orders).select(
+            "order_id",
+            F.to_date("order_delivered_customer_date").alias("delivered_on"),
+            F.to_date("order_purchase_timestamp").alias("bought_on"),
+            delayed_flag().alias(LABEL),
+        ),
+        "order_id",
+    )
+    zero = F.lit(0).cast("bigint")
+    delivered = sold.groupBy("seller_id", F.col("delivered_on").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(LABEL).alias("late"), zero.alias("asked")
+    )
+    bought = sold.groupBy("seller_id", F.col("bought_on").alias("day")).agg(
+        zero.alias("n"), zero.alias("late"), F.count(F.lit(1)).alias("asked")
+    )
+    by_day = delivered.unionByName(bought).groupBy("seller_id", "day").agg(
+        *[F.sum(c).alias(c) for c in ("n", "late", "asked")]
+    )
+    earlier = Window.partitionBy("seller_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    rate = numbers.safe_ratio(F.sum("late").over(earlier), F.sum("n").over(earlier))
+    return by_day.withColumn("delay_rate", rate).where(F.col("asked") > 0).select(
+        "seller_id", F.col("day").alias("purchase_day"), "delay_rate"
+    )
+
+
+def _sum_lines(lines: DataFrame) -> DataFrame:
+    """One row per order and seller state.
 
     Summing before the join with the orders leaves at most one row per state
     of an order, so an order with very many items stays small.
     """
-    volume = numbers.volume(F.col("product_length_cm"), F.col("product_height_cm"), F.col("product_width_cm"))
-    rated = sellers.select("seller_id", "seller_state").join(rates, "seller_id", "left")
-    lines = (
-        items.select("order_id", "product_id", "seller_id", "freight_value")
-        .join(products.select("product_id", "product_weight_g", volume.alias("volume")), "product_id")
-        .join(broadcast_if_small(rated, bounded_by=sellers), "seller_id")
-    )
     return lines.groupBy("order_id", "seller_state").agg(
         numbers.money_sum(F.col("freight_value")).alias("total_freight_value"),
         F.sum("product_weight_g").alias("total_weight_g"),
@@ -91,6 +117,26 @@ def order_lines(items: DataFrame, products: DataFrame, sellers: DataFrame, rates
     )
 
 
+def _measured(items: DataFrame, products: DataFrame) -> DataFrame:
+    volume = numbers.volume(F.col("product_length_cm"), F.col("product_height_cm"), F.col("product_width_cm"))
+    sizes = products.select("product_id", "product_weight_g", volume.alias("volume"))
+    return items.select("order_id", "product_id", "seller_id", "freight_value").join(sizes, "product_id")
+
+
+def order_lines(items: DataFrame, products: DataFrame, sellers: DataFrame, rates: DataFrame) -> DataFrame:
+    """Item measures and seller delay rates per order and seller state."""
+    rated = sellers.select("seller_id", "seller_state").join(rates, "seller_id", "left")
+    return _sum_lines(_measured(items, products).join(broadcast_if_small(rated, bounded_by=sellers), "seller_id"))
+
+
+def order_lines_before(r: Retail) -> DataFrame:
+    """The same with the rates known before the day of the purchase."""
+    days = filter_delivered(r.orders).select("order_id", F.to_date("order_purchase_timestamp").alias("purchase_day"))
+    lines = _measured(r.order_items, r.products).join(r.sellers.select("seller_id", "seller_state"), "seller_id")
+    rates = seller_rates_before(r.orders, r.order_items)
+    return _sum_lines(lines.join(days, "order_id").join(rates, ["seller_id", "purchase_day"], "left"))
+
+
 def _features(orders: DataFrame, lines: DataFrame, customers: DataFrame) -> DataFrame:
     bought = F.col("order_purchase_timestamp")
     dated = orders.select(
@@ -116,10 +162,18 @@ def _features(orders: DataFrame, lines: DataFrame, customers: DataFrame) -> Data
     )
 
 
-def delivery_features(r: Retail) -> DataFrame:
-    """Training rows: one per delivered order and seller state."""
-    rates = seller_delay_rates(seller_delay_stats(r.orders, r.order_items))
-    lines = order_lines(r.order_items, r.products, r.sellers, rates)
+def delivery_features(r: Retail, point_in_time: bool = False) -> DataFrame:
+    """Training rows: one per delivered order and seller state.
+
+    As in the training data, a seller's delay rate covers all its deliveries,
+    later ones and the order itself included. ``point_in_time`` takes only
+    deliveries before the day of the purchase, and NULL where there are none.
+    """
+    if point_in_time:
+        lines = order_lines_before(r)
+    else:
+        rates = seller_delay_rates(seller_delay_stats(r.orders, r.order_items))
+        lines = order_lines(r.order_items, r.products, r.sellers, rates)
     return _features(filter_delivered(r.orders), lines, r.customers).drop("seller_state")
 
 

@@ -158,6 +158,32 @@ def delivery_features(spark, d):
     return delivery.delivery_features(bind(spark, d))
 
 
+@query("delivery_features_point_in_time", """
+WITH lines AS (
+  SELECT o.order_id, o.order_purchase_timestamp, o.order_estimated_delivery_date, o.is_delayed, customer_state, seller_state,
+         i.seller_id, freight_value, product_weight_g, product_length_cm * product_height_cm * product_width_cm AS volume
+  FROM dated_orders o JOIN r_customers c ON o.customer_id = c.customer_id JOIN r_items i ON o.order_id = i.order_id
+  JOIN r_products p ON i.product_id = p.product_id JOIN r_sellers s ON i.seller_id = s.seller_id),
+per_day AS (
+  SELECT seller_id, CAST(order_delivered_customer_date AS DATE) AS day, count(*) AS n, sum(is_delayed) AS late
+  FROM dated_orders o JOIN r_items i ON o.order_id = i.order_id GROUP BY 1, 2),
+asked AS (SELECT DISTINCT seller_id, CAST(order_purchase_timestamp AS DATE) AS day FROM lines),
+rates AS (
+  SELECT a.seller_id, a.day, CAST(sum(late) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS delay_rate
+  FROM asked a LEFT JOIN per_day d ON a.seller_id = d.seller_id AND d.day < a.day GROUP BY 1, 2)
+SELECT order_id, CAST(month(order_purchase_timestamp) AS INTEGER) AS purchase_month,
+       CAST(dayofweek(order_purchase_timestamp) + 1 AS INTEGER) AS purchase_day_of_week,
+       CAST(date_diff('day', order_purchase_timestamp, order_estimated_delivery_date) AS INTEGER) AS estimated_days_to_deliver,
+       is_delayed, CAST(sum(freight_value) AS DOUBLE) AS total_freight_value, sum(product_weight_g) AS total_weight_g,
+       sum(volume) AS total_volume_cm3, CASE WHEN customer_state <> seller_state THEN 1 ELSE 0 END AS is_interstate,
+       max(delay_rate) AS seller_historical_delay_rate
+FROM lines JOIN rates ON lines.seller_id = rates.seller_id AND day = CAST(order_purchase_timestamp AS DATE)
+GROUP BY order_id, order_purchase_timestamp, order_estimated_delivery_date, is_delayed, customer_state, seller_state
+""")
+def delivery_features_point_in_time(spark, d):
+    return delivery.delivery_features(bind(spark, d), point_in_time=True)
+
+
 @query("baseline_delay_rate", "SELECT avg(is_delayed) * 100 AS baseline_delay_rate FROM features")
 def baseline_delay_rate(spark, d):
     return delivery.baseline_delay_rate(delivery.delivery_features(bind(spark, d)))

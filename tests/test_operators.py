@@ -233,6 +233,13 @@ def test_random_sample_takes_all_of_a_small_group(spark):
     assert again.exceptAll(sampling.random_sample(df, "g", "id", 10)).count() == 0
 
 
+def test_large_samples_are_ranked_in_parts(spark, monkeypatch):
+    df = spark.range(500).select(F.lit("hot").alias("g"), "id")
+    plain = sampling.random_sample(df, "g", "id", 40)
+    monkeypatch.setattr(sampling, "CUT_BY_PLANNER", 10)
+    assert rows(sampling.random_sample(df, "g", "id", 40), "id") == rows(plain, "id")
+
+
 def test_split_random_is_a_partition(spark):
     df = spark.range(2000)
     train, test = sampling.split_random(df, "id")

@@ -42,6 +42,12 @@ def test_features_split_an_order_by_seller_state(shop):
     ]
 
 
+def test_rates_known_before_the_purchase(shop):
+    found = delivery.delivery_features(shop, point_in_time=True).select(
+        "order_id", "is_interstate", "seller_historical_delay_rate")
+    assert rows(found, "order_id", "is_interstate") == [("o1", 0, None), ("o1", 1, None), ("o2", 1, 1.0)]
+
+
 def test_serving_takes_the_first_state_and_reports_unknown_orders(spark, shop):
     asked = spark.createDataFrame([("o1",), ("o4",), ("nope",), ("o1",)], "order_id string")
     found = delivery.serving_features(shop, asked).select(

@@ -27,7 +27,7 @@ SKEWED = {
                role, text FROM src""",
 }
 QUERIES = [
-    "delivery_features", "seller_delay_stats", "order_lookup", "churn_profile", "join_left_reviews", "cluster_risk_map",
+    "delivery_features", "delivery_features_point_in_time", "seller_delay_stats", "order_lookup", "churn_profile", "join_left_reviews", "cluster_risk_map",
     "daily_category_sales", "drop_incomplete", "forecast_features", "revenue_share_by_city", "repeat_rate_basket",
     "aov_by_tier", "seasonal_anomaly", "customer_deviation", "profile_table", "random_sample", "dedupe_first_seen",
     "check_primary_key", "check_foreign_key", "chunk_pages", "title_carry_forward", "src_text_docs", "expand_queries",
