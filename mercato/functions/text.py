@@ -40,8 +40,11 @@ def split_before(value: Column, header: str) -> Column:
 
 
 def capture_first(value: Column, pattern: str) -> Column:
-    """First group of the first match, or NULL; ``.`` stops at newlines only."""
-    return F.nullif(F.regexp_extract(value, rf"(?d){pattern}", 1), F.lit(""))
+    """First group of the first match, or NULL.
+
+    ``.`` stops at newlines only, and ``\\s`` is white space of every kind.
+    """
+    return F.nullif(F.regexp_extract(value, rf"(?dU){pattern}", 1), F.lit(""))
 
 
 def review_text(title: Column, message: Column) -> Column:

@@ -38,35 +38,47 @@ def lag_features(weekly: DataFrame, key: str, week: str, lags: dict[str, str]) -
     return weekly.withColumns({out: F.lag(source, 1).over(order) for source, out in lags.items()})
 
 
+# Points folded into one short array at a time.
+FOLD = 64
+
+
 def ewma_state(weekly: DataFrame, key: str, week: str, averages: dict[str, str], span: int = 4) -> DataFrame:
     """Add the exponential average of each column in ``averages``, this week included.
 
     With ``alpha = 2 / (span + 1)``: the first value as it is, then
-    ``(1 - alpha) * previous + alpha * value``.
+    ``(1 - alpha) * previous + alpha * value``. Growing an array copies it, so
+    the fold runs over short pieces of a series and collects the pieces.
     """
     alpha = 2.0 / (span + 1)
     carried = [c for c in weekly.columns if c != key]
+    types = {f.name: f.dataType.simpleString() for f in weekly.schema.fields}
+    fields = [f"`{c}`: {types[c]}" for c in carried] + [f"`{out}`: double" for out in averages.values()]
+    row_type = f"struct<{', '.join(fields)}>"
     points = F.array_sort(F.collect_list(F.struct(week, *[c for c in carried if c != week])))
-    point = ", ".join(f"x.{c} as {c}" for c in carried)
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_points") - 1) / FOLD).cast("int")),
+        lambda i: F.slice(F.col("_points"), i * FOLD + 1, F.lit(FOLD)),
+    )
 
-    def row(value) -> str:
-        return f"named_struct({', '.join(f'{c!r}, x.{c}' for c in carried)}, {value})"
+    def fold(done: Column, piece: Column) -> Column:
+        def step(part: Column, point: Column) -> Column:
+            before = F.coalesce(
+                F.try_element_at(part, F.lit(-1)), F.try_element_at(F.try_element_at(done, F.lit(-1)), F.lit(-1))
+            )
+            smoothed = [
+                F.coalesce(before[out] * (1 - alpha) + point[c].cast("double") * alpha, point[c].cast("double")).alias(out)
+                for c, out in averages.items()
+            ]
+            return F.concat(part, F.array(F.struct(*[point[c].alias(c) for c in carried], *smoothed)))
 
-    opening = ", ".join(f"'{out}', cast(x.{c} as double)" for c, out in averages.items())
-    step = ", ".join(
-        f"'{out}', {1 - alpha!r}D * element_at(acc, -1).{out} + {alpha!r}D * cast(x.{c} as double)"
-        for c, out in averages.items()
-    )
+        return F.concat(done, F.array(F.aggregate(piece, F.array().cast(f"array<{row_type}>"), step)))
+
+    folded = F.aggregate(pieces, F.array().cast(f"array<array<{row_type}>>"), fold)
     # inline_outer: plain inline adds filters on the array and so folds it three times.
-    folded = (
-        "aggregate(slice(_points, 2, size(_points) - 1), "
-        f"transform(slice(_points, 1, 1), x -> {row(opening)}), "
-        f"(acc, x) -> concat(acc, array({row(step)})))"
-    )
     return (
         weekly.groupBy(key)
         .agg(points.alias("_points"))
-        .select(key, F.inline_outer(F.expr(folded)))
+        .select(key, F.inline_outer(F.flatten(folded)))
         .select(*weekly.columns, *averages.values())
     )
 

@@ -228,12 +228,12 @@ def score_delay(spark, d):
     return delay.score_delay(model, asked).select("order_id", "status", "delay_probability", "risk_level", "recommendation")
 
 
-@query("persist_pipeline")
-def persist_pipeline(spark, d):
+@query("persist_model")
+def persist_model(spark, d):
     """Scores of a classifier that was saved and loaded."""
     train, test = delay_parts(spark, d)
     model = delay.train_delay_classifier(train, small_classifier())
-    loaded = PipelineModel.load(delay.save_pipeline(model, scratch_path(spark, "delay-model")))
+    loaded = PipelineModel.load(delay.save_model(model, scratch_path(spark, "delay-model")))
     return delay.score_delay(loaded, test).select("order_id", "probability_delayed", "risk_level")
 
 

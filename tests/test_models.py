@@ -33,7 +33,7 @@ def test_delay_classifier_learns_saves_and_scores(spark, orders, tmp_path):
     model = delay.train_delay_classifier(orders, delay.boosted_trees(trees=5, depth=3))
     auc = BinaryClassificationEvaluator(labelCol="is_delayed").evaluate(model.transform(orders))
     assert auc > 0.9
-    loaded = PipelineModel.load(delay.save_pipeline(model, str(tmp_path / "model")))
+    loaded = PipelineModel.load(delay.save_model(model, str(tmp_path / "model")))
     first, second = [
         [r["probability_delayed"] for r in delay.score_delay(m, orders).orderBy("order_id").collect()] for m in (model, loaded)]
     assert first == second and all(0 <= p <= 1 for p in first)

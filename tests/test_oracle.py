@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # Fitting takes its time; test_models.py looks at these on small frames.
 FITTED = {
-    "train_delay_classifier", "tune_random_search", "score_delay", "persist_pipeline",
+    "train_delay_classifier", "tune_random_search", "score_delay", "persist_model",
     "train_rfm_clusters", "train_revenue_model", "train_units_model", "forecast_next_week",
 }
 
