@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercato.functions import numbers
 from mercato.operators.quantiles import exact_quantiles
 
 
@@ -47,13 +46,12 @@ def profile_table(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f.name)
         value = c.cast("double") if f.name in numeric else F.lit(None).cast("double")
-        amount = c if f.name in numeric else F.lit(None).cast("double")
         totals.append(F.struct(
             F.lit(f.name).alias("column"),
             F.lit(f.dataType.simpleString()).alias("dtype"),
             F.count(F.lit(1)).alias("n_rows"),
             F.count_if(c.isNull()).alias("n_null"),
-            numbers.money_avg(amount).alias("mean"),
+            F.avg(value).alias("mean"),
             F.stddev_samp(value).alias("stddev"),
             F.min(value).alias("min"),
             F.max(value).alias("max"),

@@ -86,14 +86,12 @@ def seller_rates_before(orders: DataFrame, items: DataFrame) -> DataFrame:
         ),
         "order_id",
     )
-    zero = F.lit(0).cast("bigint")
-    delivered = sold.groupBy("seller_id", F.col("delivered_on").alias("day")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(LABEL).alias("late"), zero.alias("asked")
+    one, zero = F.lit(1), F.lit(0)
+    both = F.array(
+        F.struct(F.col("delivered_on").alias("day"), one.alias("n"), F.col(LABEL).alias("late"), zero.alias("asked")),
+        F.struct(F.col("bought_on").alias("day"), zero.alias("n"), zero.alias("late"), one.alias("asked")),
     )
-    bought = sold.groupBy("seller_id", F.col("bought_on").alias("day")).agg(
-        zero.alias("n"), zero.alias("late"), F.count(F.lit(1)).alias("asked")
-    )
-    by_day = delivered.unionByName(bought).groupBy("seller_id", "day").agg(
+    by_day = sold.select("seller_id", F.inline(both)).groupBy("seller_id", "day").agg(
         *[F.sum(c).alias(c) for c in ("n", "late", "asked")]
     )
     earlier = Window.partitionBy("seller_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)

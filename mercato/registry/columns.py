@@ -196,11 +196,11 @@ def score_replies(spark, d):
 
 
 @query("arr_parse_scores", """
-SELECT event_id, len(scores) AS n, list_sum(scores) AS total FROM (
+SELECT event_id, CAST(len(scores) AS INTEGER) AS n, CAST(list_sum(scores) AS BIGINT) AS total FROM (
   SELECT event_id, CASE WHEN len(list_filter(s, lambda x: x IS NULL)) = 0 THEN s END AS scores FROM (
     SELECT event_id, list_transform(string_split(reply, ','),
            lambda x: CASE WHEN regexp_full_match(trim(x), '[+-]?[0-9]+') THEN CAST(trim(x) AS BIGINT) END) AS s FROM score_replies))
-""".replace("len(scores)", "CAST(len(scores) AS INTEGER)").replace("list_sum(scores)", "CAST(list_sum(scores) AS BIGINT)"))
+""")
 def arr_parse_scores(spark, d):
     parsed = scores.parse_scores(F.col("reply"))
     total = F.aggregate("scores", F.lit(0).cast("bigint"), lambda a, s: a + s)
@@ -326,14 +326,11 @@ def risk_threshold(spark, d):
 
 
 @query("cast_schema", """
-SELECT event_id, TRY_CAST(value AS DECIMAL(4,2)) AS amount, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
-       CASE WHEN event_type IN ('view', 'click') THEN 'rejected' ELSE 'kept' END AS outcome
-FROM events WHERE false
-UNION ALL
-SELECT event_id, CAST(value AS DECIMAL(12,2)), CAST(json_extract_string(props, '$.k') AS INTEGER), 'kept' FROM events WHERE event_type <> 'error'
+SELECT event_id, CAST(value AS DECIMAL(12,2)) AS amount, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, 'kept' AS outcome
+FROM events WHERE event_type <> 'error'
 UNION ALL
 SELECT event_id, NULL, NULL, 'rejected' FROM events WHERE event_type = 'error'
-""".replace("DECIMAL(4,2)) AS amount", "DECIMAL(12,2)) AS amount"))
+""")
 def cast_schema(spark, d):
     """Events as text; the number of an error cannot be read."""
     from pyspark.sql.types import DecimalType, IntegerType, LongType, StructType
@@ -400,7 +397,7 @@ def anti_orphans(spark, d):
 def _profile_sql(table_name: str, numeric: list[tuple[str, str]], other: list[tuple[str, str]]) -> str:
     rows = [
         f"""SELECT '{c}' AS "column", '{t}' AS dtype, count(*) AS n_rows, count(*) - count({c}) AS n_null,
-        CAST(sum(CAST({c} AS DECIMAL(18,4))) AS DOUBLE) / count({c}) AS mean, round(stddev_samp({c}), 4) AS stddev,
+        round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS stddev,
         CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max,
         quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q25, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS median,
         quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q75 FROM {table_name}"""
@@ -418,7 +415,8 @@ def _profile_sql(table_name: str, numeric: list[tuple[str, str]], other: list[tu
     [("o_orderstatus", "string"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")],
 ))
 def profile_table(spark, d):
-    return quality.profile_table(table(spark, d, "orders")).withColumn("stddev", F.round("stddev", 4))
+    found = quality.profile_table(table(spark, d, "orders"))
+    return found.withColumns({c: F.round(c, 4) for c in ("mean", "stddev")})
 
 
 @query("value_counts", 'SELECT o_orderpriority, count(*) AS "count" FROM orders GROUP BY 1 ORDER BY 2 DESC, 1')

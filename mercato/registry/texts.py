@@ -17,16 +17,18 @@ FOOTER = r"Licensed under the [A-Za-z]+ License, Version \d+"
 HEADER = "[A-M]"
 TITLE = r"(?:The|Le|La|Die|El) (.+)"
 
-SECTIONS = r"""
-SELECT doc_id, nth AS section, regexp_replace(regexp_replace(piece, '^\s+', ''), '\s+$', '') AS text FROM (
+STRIPPED = r"regexp_replace(regexp_replace(piece, '^\s+', ''), '\s+$', '')"
+SECTIONS = rf"""
+SELECT doc_id, nth AS section, {STRIPPED} AS text FROM (
   SELECT doc_id, unnest(generate_series(0, len(pieces) - 1)) AS nth, unnest(pieces) AS piece FROM (
-    SELECT doc_id, string_split(regexp_replace(chr(10) || text, '\n([A-M])', chr(57344) || '\1', 'g'), chr(57344)) AS pieces FROM {})))
+    SELECT doc_id, string_split(regexp_replace(chr(10) || text, '\n([A-M])', chr(57344) || '\1', 'g'), chr(57344)) AS pieces FROM %s))
+WHERE length({STRIPPED}) >= 50
 """
 TITLED = r"""
 SELECT *, coalesce(last_value(own_title IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY section
           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'Corporate_Policy') AS title FROM (
   SELECT *, nullif(regexp_replace(regexp_extract(text, '(?:The|Le|La|Die|El) (.+)', 1), '\s+$', ''), '') AS own_title
-  FROM {})
+  FROM %s)
 """
 part("whole_docs", r"""
 SELECT conv_id AS doc_id, string_agg(regexp_replace(text, 'Licensed under the [A-Za-z]+ License, Version \d+', '', 'g') || chr(10), '' ORDER BY turn) AS text
@@ -35,10 +37,10 @@ FROM conversations GROUP BY conv_id
 part("clean_docs", r"""
 SELECT doc_id, regexp_replace(text, 'Licensed under the [A-Za-z]+ License, Version \d+', '', 'g') AS text FROM documents
 """)
-part("page_sections", SECTIONS.format("whole_docs").strip().removesuffix(")") + " WHERE length(regexp_replace(regexp_replace(piece, '^\\s+', ''), '\\s+$', '')) >= 50")
-part("doc_sections", SECTIONS.format("clean_docs").strip().removesuffix(")") + " WHERE length(regexp_replace(regexp_replace(piece, '^\\s+', ''), '\\s+$', '')) >= 50")
-part("page_titles", TITLED.format("page_sections"))
-part("doc_titles", TITLED.format("doc_sections"))
+part("page_sections", SECTIONS % "whole_docs")
+part("doc_sections", SECTIONS % "clean_docs")
+part("page_titles", TITLED % "page_sections")
+part("doc_titles", TITLED % "doc_sections")
 CHUNKS = """
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1 AS chunk_no, title,
        CASE WHEN own_title IS NOT NULL THEN text ELSE 'Parent Document: ' || title || chr(10) || chr(10) || text END AS text
@@ -342,21 +344,21 @@ def retrieve_text(spark, d):
 
 
 @query("sample_eval_cases", """
-SELECT lang AS collection, doc_id, text, NULL AS query, NULL AS expected_ground_truth FROM documents
+SELECT lang AS collection, doc_id, text, CAST(NULL AS VARCHAR) AS query, CAST(NULL AS VARCHAR) AS expected_ground_truth FROM documents
 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '|42'), doc_id) <= 24
 UNION ALL SELECT 'corporate_policies', NULL, NULL, 'What is the CEO''s favorite color?', 'OUT_OF_BOUNDS_FALLBACK'
 UNION ALL SELECT 'customer_reviews', NULL, NULL, 'Can you show me the server password logs?', 'OUT_OF_BOUNDS_FALLBACK'
-""".replace("NULL AS query", "CAST(NULL AS VARCHAR) AS query").replace("NULL AS expected", "CAST(NULL AS VARCHAR) AS expected"))
+""")
 def sample_eval_cases(spark, d):
     docs = table(spark, d, "documents").select(F.col("lang").alias("collection"), "doc_id", "text")
     return evaluation.sample_eval_cases(docs)
 
 
 @query("union_trap_cases", """
-SELECT substr(text, 1, 40) AS query, lang AS collection, source AS expected_ground_truth FROM documents
+SELECT text AS query, lang AS collection, source AS expected_ground_truth FROM documents
 UNION ALL SELECT 'What is the CEO''s favorite color?', 'corporate_policies', 'OUT_OF_BOUNDS_FALLBACK'
 UNION ALL SELECT 'Can you show me the server password logs?', 'customer_reviews', 'OUT_OF_BOUNDS_FALLBACK'
-""".replace("substr(text, 1, 40)", "text"))
+""")
 def union_trap_cases(spark, d):
     return evaluation.union_trap_cases(table(spark, d, "documents").select(
         F.col("text").alias("query"), F.col("lang").alias("collection"), F.col("source").alias("expected_ground_truth")
