@@ -39,6 +39,19 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     return path
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """Replace the catalog table ``name``, cut into buckets by its join keys.
+
+    Tables with the same buckets are joined and grouped by these keys without
+    a shuffle; worth it for orders, items, payments and reviews by order.
+    """
+    (
+        df.write.mode("overwrite").option("path", path)
+        .bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    )
+    return df.sparkSession.table(name)
+
+
 def read_json(spark: SparkSession, path: str, schema: StructType | str, array: bool = False) -> DataFrame:
     """JSON lines, or files that each hold one JSON ``array``."""
     return spark.read.schema(schema).json(path, multiLine=array, mode="FAILFAST")

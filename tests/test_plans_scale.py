@@ -8,6 +8,7 @@ from shop import store
 
 from mercato.operators import sampling
 from mercato.plans import churn, delivery, demand, metrics, retrieval
+from mercato.sources.files import write_bucketed
 
 
 @pytest.fixture(scope="module")
@@ -71,6 +72,18 @@ def test_top_k_is_cut_before_the_shuffle(spark, stored):
     assert plan(retrieval.rerank(scored)).count("WindowGroupLimit") == 2
 
 
+def test_bucketed_tables_meet_without_a_shuffle(spark, stored, tmp_path):
+    names = ["orders", "order_items", "order_reviews"]
+    bucketed = {n: write_bucketed(getattr(stored, n), f"b_{n}", str(tmp_path / n), ["order_id"], 4) for n in names}
+    try:
+        found = churn.order_reviews(SimpleNamespace(**bucketed))
+        assert "Exchange" not in plan(found) and "Exchange" in plan(churn.order_reviews(stored))
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, churn.order_reviews(stored).collect()))
+    finally:
+        for n in names:
+            spark.sql(f"DROP TABLE b_{n}")
+
+
 def test_whole_stage_codegen_covers_the_joins(stored):
     text = plan(metrics.revenue(stored))
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
