@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -31,19 +29,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it.
-
-    Only a local master may fall back to a folder of this machine; there the
-    setting is filled in, so that later calls and checkpoints agree on it.
-    """
-    configured = spark.conf.get(CHECKPOINT_CONF, None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
-    local = tempfile.mkdtemp(prefix="mercato-", dir=os.environ.get("TMPDIR"))
-    spark.conf.set(CHECKPOINT_CONF, local)
-    return local
+    """The folder all executors can reach: ``spark.checkpoint.dir``, or else the warehouse."""
+    configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.conf.get("spark.sql.warehouse.dir")
+    return configured.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:

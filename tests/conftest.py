@@ -11,8 +11,9 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session(shuffle_partitions=4)
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    session = build_session(shuffle_partitions=4, **{"spark.checkpoint.dir": str(shared)})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

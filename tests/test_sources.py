@@ -74,13 +74,12 @@ def test_shared_folder_is_read_from_the_session(spark):
     assert session.scratch_path(spark, "x").startswith(f"{root}/mercato/x-")
 
 
-def test_a_cluster_must_name_the_shared_folder():
+def test_without_a_setting_the_warehouse_is_shared():
     class Conf:
         def get(self, key, default=None):
-            return {"spark.master": "yarn"}.get(key, default)
+            return {"spark.sql.warehouse.dir": "hdfs://store/warehouse/"}.get(key, default)
 
     class Cluster:
         conf = Conf()
 
-    with pytest.raises(ValueError):
-        session.shared_root(Cluster())
+    assert session.shared_root(Cluster()) == "hdfs://store/warehouse"
