@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from mercato.llm import exact_dedup
+from pyspark.sql import functions as F
+
+from mercato.llm import exact_dedup, sharding
 from mercato.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -29,3 +31,12 @@ FROM plain JOIN groups USING (t)
 """)
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("mark")
+
+
+@query("op3_hypergeometric_shards")
+def op3_hypergeometric_shards(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"))
+    return sharding.uniform_shards(docs, 8).withColumn("grown_shard", F.lit(None).cast("int"))
