@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 from collections.abc import Iterator
 
@@ -47,9 +48,26 @@ def uniform(*parts: Column | int | str) -> Column:
     return F.shiftrightunsigned(hashed, 11) * F.lit(2.0**-53)
 
 
+# Rows and bytes that pass between Spark and a Python worker at once: texts may be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    before = {name: spark.conf.get(name, None) for name in BATCH}
+    for name, value in BATCH.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Written once to the shared folder and read back."""
-    return materialize(df, f"llm-{purpose}")
+    """Written once to the shared folder and read back. Python functions in ``df`` get small batches."""
+    with small_batches(df.sparkSession):
+        return materialize(df, f"llm-{purpose}")
 
 
 def runs(rows: Iterator, key) -> Iterator[tuple[object, list]]:
