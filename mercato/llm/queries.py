@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mercato.llm import exact_dedup, sharding
+from mercato.llm import exact_dedup, quality, sharding
 from mercato.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -20,6 +20,57 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+SPACES = r"[\x20\x09-\x0D]"
+RULES = [("symbols", "n_symbols / greatest(n_words, 1)"), ("marks", "n_marks / greatest(n_words, 1)"),
+         ("dup_lines", "n_dup_lines / greatest(n_lines, 1)"), ("repeats", "n_repeat_words / greatest(n_words, 1)")]
+TRIED = " UNION ALL ".join(
+    f"SELECT stratum, '{rule}' AS rule, {i} AS step, {cut} AS cutoff, count(*) AS n, "
+    f"count(*) FILTER (WHERE {value} >= {cut}::DOUBLE) AS k FROM held GROUP BY stratum"
+    for rule, value in RULES for i, cut in enumerate(quality.CUTOFFS[rule]))
+REJECTED = " OR ".join(f"coalesce({value} >= cut_{rule}, false)" for rule, value in RULES)
+CUT_COLUMNS = ", ".join(f"min(cutoff::DOUBLE) FILTER (WHERE rule = '{rule}' AND accepted) AS cut_{rule}" for rule, _ in RULES)
+
+
+@query("op1_quality_rules", rf"""
+WITH plain AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+worded AS (
+  SELECT doc_id, lang AS stratum, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM plain),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS piece
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 6, 1))) AS i FROM worded)),
+twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, piece) AS c FROM windows) WHERE c > 1),
+repeats AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS place FROM twice) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, stratum, len(w) AS n_words, length(regexp_replace(t, '{SPACES}+', '', 'g')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+         len(lines) AS n_lines, length(t) - length(replace(t, '!', '')) AS n_marks
+  FROM worded LEFT JOIN repeats USING (doc_id)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM found),
+held AS (
+  SELECT * FROM judged WHERE NOT base_failed
+  AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1)),
+tried AS ({TRIED}),
+tested AS (
+  SELECT *, CASE WHEN k >= n * 0.0125 THEN 1.0 ELSE (
+    SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.0125::DOUBLE) + (n - i) * ln(0.9875::DOUBLE)))
+    FROM (SELECT unnest(range(0, k + 1)) AS i)) END AS p
+  FROM tried),
+sequenced AS (
+  SELECT *, min(CASE WHEN p <= 0.05 / (4 * (SELECT count(DISTINCT stratum) FROM held)) THEN 1 ELSE 0 END)
+            OVER (PARTITION BY stratum, rule ORDER BY step) = 1 AS accepted FROM tested),
+chosen AS (SELECT stratum, {CUT_COLUMNS} FROM sequenced GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT ({REJECTED}) AS kept
+FROM judged LEFT JOIN chosen ON judged.stratum IS NOT DISTINCT FROM chosen.stratum
+""")
+def op1_quality_rules(spark, sf_dir):
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("rejected_by", "stratum")
+
+
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
