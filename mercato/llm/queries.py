@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mercato.llm import exact_dedup, quality, sharding
-from mercato.llm.common import table
+from mercato.llm import exact_dedup, mixing, packing, quality, sharding
+from mercato.llm.common import table, word_count
 
 QUERIES, ORACLES = {}, {}
 
@@ -91,3 +91,41 @@ def op3_hypergeometric_shards(spark, sf_dir):
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         F.lit("rows").alias("law"))
     return sharding.uniform_shards(docs, 8).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query("op9_mix_sources", r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')) || '|0'), 1, 13))::BIGINT AS r
+  FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w, 3.0::DOUBLE * source_size AS cap FROM sources),
+levels AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+targets AS (
+  SELECT source, source_size, least(cap, coalesce(max(level) FILTER (WHERE level * w <= cap) OVER () * w, cap)) AS target FROM levels),
+placed AS (
+  SELECT s.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes,
+         floor(r / 4503599627370496.0::DOUBLE * greatest(1, least(65536, ceil(source_size / 20000::DOUBLE))))::BIGINT AS block
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+blocks AS (SELECT source, block, sum(size) AS words FROM placed GROUP BY source, block),
+summed AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY block) AS up_to FROM blocks),
+ranked AS (
+  SELECT p.*, up_to, words, target - passes * source_size AS rest,
+         sum(size) OVER (PARTITION BY p.source, p.block ORDER BY r RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+         - sum(size) OVER (PARTITION BY p.source, p.block, r) / 2.0::DOUBLE AS middle
+  FROM placed p JOIN summed b ON p.source IS NOT DISTINCT FROM b.source AND p.block = b.block)
+SELECT doc_id, size, source_size, target,
+       (size * (passes + CASE WHEN up_to <= rest OR (up_to - words < rest AND middle <= rest - up_to + words) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM ranked
+""")
+def op9_mix_sources(spark, sf_dir):
+    return mixing.words_taken(table(spark, sf_dir, "documents")).drop("shards")
+
+
+@query("op10_best_fit_packing")
+def op10_best_fit_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", word_count(F.col("text")).alias("length"))
+    return packing.pack(docs)
