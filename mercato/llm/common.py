@@ -49,13 +49,14 @@ def uniform(*parts: Column | int | str) -> Column:
 
 
 # Rows and bytes that pass between Spark and a Python worker at once: texts may be long.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    before = {name: spark.conf.get(name, None) for name in BATCH}
-    for name, value in BATCH.items():
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {name: spark.conf.get(name, None) for name in limits}
+    for name, value in limits.items():
         spark.conf.set(name, value)
     try:
         yield
@@ -64,9 +65,9 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+def stored(df: DataFrame, purpose: str, rows: int = BATCH_ROWS) -> DataFrame:
     """Written once to the shared folder and read back. Python functions in ``df`` get small batches."""
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession, rows):
         return materialize(df, f"llm-{purpose}")
 
 

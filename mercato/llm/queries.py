@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mercato.llm import exact_dedup, mixing, packing, quality, sharding
+from mercato.llm import exact_dedup, mixing, packing, quality, sharding, urls, warc
 from mercato.llm.common import table, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -129,3 +129,23 @@ def op9_mix_sources(spark, sf_dir):
 def op10_best_fit_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", word_count(F.col("text")).alias("length"))
     return packing.pack(docs)
+
+
+@query("op2_warc_salvage", """
+WITH plain AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+sized AS (SELECT page_id, strlen(t) AS payload_bytes, sha1(t) AS payload_digest, max(page_id) OVER (PARTITION BY t) AS first FROM plain)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first THEN first END AS refers_to
+FROM sized
+""")
+def op2_warc_salvage(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query("op8_link_trust")
+def op8_link_trust(spark, sf_dir):
+    return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
