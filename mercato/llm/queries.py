@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mercato.llm import exact_dedup, mixing, packing, quality, sharding, urls, warc
+from mercato.llm import exact_dedup, html, mixing, packing, quality, sharding, urls, warc
 from mercato.llm.common import table, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -149,3 +149,8 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 @query("op8_link_trust")
 def op8_link_trust(spark, sf_dir):
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op4_wrapper_induction")
+def op4_wrapper_induction(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
