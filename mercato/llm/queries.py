@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mercato.llm import exact_dedup, html, mixing, packing, quality, sharding, urls, warc
+from mercato.llm import exact_dedup, html, mixing, near_duplicates, packing, quality, sharding, urls, warc
 from mercato.llm.common import table, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -154,3 +154,8 @@ def op8_link_trust(spark, sf_dir):
 @query("op4_wrapper_induction")
 def op4_wrapper_induction(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op7_lsh_forest_join")
+def op7_lsh_forest_join(spark, sf_dir):
+    return near_duplicates.similar_texts(table(spark, sf_dir, "documents")).drop("mark")
