@@ -30,7 +30,8 @@ VERSION = re.compile(rb"WARC/\d\.\d+\r?\n")
 # A place where a record or a gzip member may begin; a cut one need not end with its line.
 START = re.compile(rb"WARC/\d\.\d+\r?\n|\x1f\x8b\x08")
 GZIP = b"\x1f\x8b\x08"
-FILE_BYTES = 16 << 20
+# Size of a file on average, and at most (but for a single larger record).
+FILE_BYTES, MOST_BYTES = 16 << 20, 256 << 20
 # Payloads from this size on are stored once; equal ones become revisit records.
 REVISIT_BYTES = 1000
 PAGE, REFERS_PAGE = "WARC-Page-ID", "WARC-Refers-To-Page-ID"
@@ -60,7 +61,7 @@ def write_warc(
     largest page is the response (all with it, if the page is repeated), the
     others revisit it. NULL html is an empty payload. The files are uncompressed
     WARC 1.1 text, so Spark's own writer puts them where the cluster stores
-    things. A payload travels to its file and nowhere else.
+    things. Records are written where their rows are read, without a shuffle.
     """
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(
@@ -86,10 +87,10 @@ def write_warc(
         header("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.sha1(F.encode("block", "UTF-8")))),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), header("Content-Length", F.octet_length("block")),
         F.lit("\r\n"), F.col("block"), F.lit("\r\n"))
-    total = pages.agg(F.sum(F.octet_length(html).cast("long") + 1000)).first()[0] or 0
-    files = max(1, -(-total // file_bytes))
+    sizes = pages.agg(F.avg(F.octet_length(payload) + 1000).alias("mean"), F.max(F.octet_length(payload) + 1000).alias("most")).first()
+    records = max(1, int(min(file_bytes / (sizes["mean"] or 1), MOST_BYTES / (sizes["most"] or 1))))
     # The line separator is the second of the two line ends behind a record.
-    rows.select(text.alias("value"), "rid").repartition(files, "rid").select("value").write.option("lineSep", "\r\n").text(path)
+    rows.select(text.alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", records).text(path)
     return path
 
 
