@@ -74,13 +74,41 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every run of ``n`` words; runs may cross texts, callers pick those that do not."""
+    """Hash of every run of ``n`` words; runs may cross texts, callers pick those that do not.
+
+    A run's polynomial is put together from those of 1, 2, 4... words.
+    """
+    size, part, length, out = 1, words, 0, None
     if len(words) < n:
         return np.zeros(0, np.uint64)
-    out = np.zeros(len(words) - n + 1, np.uint64)
-    for i in range(n):
-        out = out * ODD + words[i : len(out) + i]
-    return mixed(out)
+    while True:
+        if n & size:
+            if out is None:
+                out = part
+            else:
+                room = len(part) - length
+                out = out[:room] * power(size) + part[length:]
+            length += size
+        if 2 * size > n:
+            return mixed(out)
+        part = part[:-size] * power(size) + part[size:]
+        size *= 2
+
+
+def power(n: int) -> np.uint64:
+    return np.uint64(pow(int(ODD), n, 2**64))
+
+
+def sliding_min(values: np.ndarray, n: int) -> np.ndarray:
+    """Least of every ``n`` values in a row."""
+    size, part = 1, values
+    if len(values) < n:
+        return values[:0]
+    while 2 * size <= n:
+        part = np.minimum(part[:-size], part[size:])
+        size *= 2
+    rest = n - size
+    return np.minimum(part[: len(part) - rest], part[rest:])
 
 
 def shingles(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
