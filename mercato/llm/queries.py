@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mercato.llm import exact_dedup, html, mixing, near_duplicates, packing, quality, sharding, urls, warc
+import corpus_pipeline
+from mercato.llm import exact_dedup, html, mixing, near_duplicates, packing, passages, quality, sharding, urls, warc
 from mercato.llm.common import table, word_count
 
 QUERIES, ORACLES = {}, {}
@@ -159,3 +160,13 @@ def op4_wrapper_induction(spark, sf_dir):
 @query("op7_lsh_forest_join")
 def op7_lsh_forest_join(spark, sf_dir):
     return near_duplicates.similar_texts(table(spark, sf_dir, "documents")).drop("mark")
+
+
+@query("op5_repeated_passages")
+def op5_repeated_passages(spark, sf_dir):
+    return passages.repeated_passages(table(spark, sf_dir, "documents")).drop("mark")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
