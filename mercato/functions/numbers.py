@@ -40,4 +40,5 @@ def dollar_label(amount: Column) -> Column:
 
 
 def units_label(amount: Column) -> Column:
-    return F.concat(whole_part(amount).cast("string"), F.lit(" units"))
+    """12.7 → ``12 units``; NULL where there is no number."""
+    return F.concat(amount.try_cast("bigint").cast("string"), F.lit(" units"))

@@ -21,15 +21,17 @@ def parse_scores(reply: Column) -> Column:
 
 
 def parse_judge_reply(reply: Column) -> Column:
-    """Judge JSON → struct; the fixed low scores when a field is missing."""
-    parsed = F.from_json(reply, JUDGE_REPLY)
-    complete = parsed.isNotNull()
-    for field in JUDGE_REPLY.fieldNames():
-        complete = complete & parsed[field].isNotNull()
+    """Judge JSON → struct; fixed values where the reply or a field cannot be read.
+
+    Scores may be written as 8 or as 8.0.
+    """
     scores = [f for f in JUDGE_REPLY.fieldNames() if f != "reasoning"]
+    schema = ", ".join(f"{f} double" for f in scores) + ", reasoning string, _unread string"
+    parsed = F.from_json(reply, schema, {"columnNameOfCorruptRecord": "_unread"})
+    readable = parsed.isNotNull() & parsed["_unread"].isNull()
     return F.struct(
-        *[F.when(complete, parsed[f]).otherwise(UNREADABLE_SCORE).alias(f) for f in scores],
-        F.when(complete, parsed["reasoning"]).otherwise(UNREADABLE_REASON).alias("reasoning"),
+        *[F.coalesce(F.when(readable, parsed[f].try_cast("int")), F.lit(UNREADABLE_SCORE)).alias(f) for f in scores],
+        F.coalesce(F.when(readable, parsed["reasoning"]), F.lit(UNREADABLE_REASON)).alias("reasoning"),
     )
 
 

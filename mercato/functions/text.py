@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Marks the places where a text is to be cut; a private-use character.
-CUT = "\ue000"
-
 # White space in the Unicode sense, with the four separator controls.
 BLANKS = (
     " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
@@ -29,14 +26,9 @@ def remove_pattern(value: Column, pattern: str) -> Column:
     return F.regexp_replace(value, pattern, "")
 
 
-def mark_headers(value: Column, header: str) -> Column:
-    """Turn the newline before each header line into a cut mark."""
-    return F.regexp_replace(value, rf"\n(?={header})", CUT)
-
-
 def split_before(value: Column, header: str) -> Column:
     """Pieces of a text, each piece after the first starting with a header line."""
-    return F.split(mark_headers(value, header), CUT, -1)
+    return F.split(value, rf"\n(?={header})", -1)
 
 
 def capture_first(value: Column, pattern: str) -> Column:

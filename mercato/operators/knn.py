@@ -1,38 +1,41 @@
-"""Exact nearest neighbours by squared Euclidean distance.
-
-Two ways, same result. A batch of queries whose size has been checked goes to
-every task, and the corpus is read where it lies. A larger set of queries is
-joined with the corpus cell by cell: vectors belong to the cell of their
-nearest pivot, a query visits only the cells that the triangle inequality does
-not rule out, and cells are cut into blocks of limited size. Tasks compare
-blocks and send on the best ``k`` rows per query, never all pairs.
+"""Exact nearest neighbours by squared Euclidean distance, for any number of queries.
+
+Corpus vectors belong to the cell of their nearest pivot, and there are about
+as many cells as a cell has vectors. A query first searches the cells next to
+it, which bounds how far its ``k``-th neighbour can be, and then only those
+cells that the triangle inequality does not rule out. Cells are cut into blocks
+of limited size; a block is held by one task while the queries that visit it
+stream by. Corpus vectors are never copied, queries never pass the driver, and
+tasks send on the best ``k`` rows per query and block.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercato.sources.files import materialize
+
 # The functions below travel with the tasks: executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# A batch of queries goes to every task while its vectors have no more numbers
-# than this (16 MB); cells and blocks hold some thousand rows.
-BROADCAST_NUMBERS = 2_000_000
-PIVOTS = 64
 BLOCK_ROWS = 8192
 TILE = 256
 SPARE = 8
 
 
 def _matrix(vectors) -> np.ndarray:
-    return np.array([np.asarray(v, dtype=np.float64) for v in vectors])
+    rows = [np.asarray(v, dtype=np.float64) for v in vectors]
+    if len({len(r) for r in rows}) > 1:
+        raise ValueError("vectors have different lengths")
+    return np.array(rows)
 
 
 def _best(queries: np.ndarray, ids: np.ndarray, corpus: np.ndarray, k: int):
@@ -75,136 +78,136 @@ def _keep_best(candidates: DataFrame, query_keys: list[str], doc: str, k: int) -
     )
 
 
-def knn_topk(
-    queries: DataFrame, corpus: DataFrame, query_keys: list[str], doc: str,
-    k: int = 5, vector: str = "embedding", broadcast_numbers: int = BROADCAST_NUMBERS,
-) -> DataFrame:
-    """The ``k`` nearest corpus rows per query; ties by ``doc``.
-
-    Rows ``(*query_keys, doc, dist, rank)``. Queries whose vectors have at most
-    ``broadcast_numbers`` numbers are sent to the tasks; more take the join.
-    """
-    sample = queries.select(F.size(vector).alias("n")).first()
-    most = broadcast_numbers // max(1, sample["n"]) if sample else 0
-    batch = queries.select(*query_keys, vector).limit(most + 1).toPandas()
-    if len(batch) > most:
-        return knn_join(queries, corpus, query_keys, doc, k, vector)
-
-    spark = corpus.sparkSession
-    if batch.empty:
-        return _keep_best(
-            queries.select(*query_keys).join(corpus.select(doc).limit(0), F.lit(False))
-            .withColumn("dist", F.lit(0.0)), query_keys, doc, k,
-        )
-    keys, points = batch[query_keys], _matrix(batch[vector])
-    shared = spark.sparkContext.broadcast((keys, points))
-
-    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, points = shared.value
-        found: list[pd.DataFrame] = []
-        for part in parts:
-            if len(part):
-                found.append(_hits(keys, points, part[doc].to_numpy(), _matrix(part[vector]), k, doc))
-            if len(found) >= 8:
-                found = [_merge(found, query_keys, doc, k)]
-        if found:
-            yield _merge(found, query_keys, doc, k)
-
-    types = {f.name: f.dataType.simpleString() for f in queries.schema.fields + corpus.schema.fields}
-    schema = ", ".join(f"`{c}` {types[c]}" for c in [*query_keys, doc]) + ", dist double"
-    near = corpus.select(doc, vector).mapInPandas(search, schema)
-    return _keep_best(near, query_keys, doc, k)
-
-
 def _hits(keys: pd.DataFrame, points: np.ndarray, ids: np.ndarray, corpus: np.ndarray, k: int, doc: str):
     rows, docs, dists = (np.concatenate(parts) for parts in zip(*_best(points, ids, corpus, k)))
     return keys.iloc[rows].reset_index(drop=True).assign(**{doc: ids[docs], "dist": dists})
 
 
-def _merge(found: list[pd.DataFrame], query_keys: list[str], doc: str, k: int) -> pd.DataFrame:
-    every = pd.concat(found, ignore_index=True).sort_values(["dist", doc])
-    return every.groupby(query_keys, sort=False).head(k)
+class Cells:
+    """Pivots, and size and radius of the cell of each that has vectors: nothing that grows with the rows."""
+
+    def __init__(self, centers: np.ndarray):
+        self.centers = centers
+        self.names = self.sizes = self.radius = self.blocks = np.zeros(0)
+
+    def distances(self, points: np.ndarray, wanted=slice(None)) -> np.ndarray:
+        centers = self.centers[wanted]
+        squared = (points * points).sum(axis=1)[:, None] + (centers * centers).sum(axis=1)[None, :]
+        return np.sqrt(np.maximum(squared - 2.0 * points @ centers.T, 0.0))
+
+    def tiles(self, points: np.ndarray):
+        for start in range(0, len(points), TILE):
+            yield start, points[start:start + TILE]
+
+    def place(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [(far.argmin(axis=1), far.min(axis=1)) for far in (self.distances(t) for _, t in self.tiles(points))]
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def near(self, points: np.ndarray, k: int) -> list[np.ndarray]:
+        """Per point: the nearest cells that hold ``k`` vectors together."""
+        out = []
+        for _, tile in self.tiles(points):
+            order = np.argsort(self.distances(tile, self.names), axis=1, kind="stable")
+            held = np.cumsum(self.sizes[order], axis=1)
+            out += [row[: int(np.searchsorted(h, k)) + 1] for row, h in zip(order, held)]
+        return out
+
+    def possible(self, points: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
+        """Per point: the other cells that may hold a vector within its bound."""
+        done, out = self.near(points, k), []
+        for start, tile in self.tiles(points):
+            far = self.distances(tile, self.names) - self.radius[None, :]
+            limit = bounds[start:start + TILE]
+            for i, row in enumerate(far <= (limit + 1e-6 * (1.0 + np.where(np.isinf(limit), 0, limit)))[:, None]):
+                row[done[start + i]] = False
+                out.append(np.flatnonzero(row))
+        return out
 
 
-def knn_join(
+def knn_topk(
     queries: DataFrame, corpus: DataFrame, query_keys: list[str], doc: str,
     k: int = 5, vector: str = "embedding", pivots: int | None = None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """The same result for any number of queries, as a blocked join.
+    """The ``k`` nearest corpus rows per query; ties by ``doc``.
 
-    The driver holds ``pivots`` vectors and one row of statistics per cell,
-    nothing that grows with the data. By default there are as many cells as
-    blocks, 64 at most.
+    Rows ``(*query_keys, doc, dist, rank)``. Rows without a vector take no part;
+    vectors of different lengths are an error. Both sides are written to the
+    shared folder once, so what computes the vectors runs once.
     """
     types = {f.name: f.dataType.simpleString() for f in queries.schema.fields + corpus.schema.fields}
+    asked = materialize(queries.where(F.col(vector).isNotNull()).select(*query_keys, vector), "queries")
+    known = materialize(corpus.where(F.col(vector).isNotNull()).select(doc, vector), "vectors")
+    rows = known.count()
     if pivots is None:
-        pivots = max(1, min(PIVOTS, corpus.count() // block_rows))
-    first = corpus.select(vector).orderBy(F.xxhash64(doc), doc).limit(pivots).toPandas()
-    centers = _matrix(first[vector]) if len(first) else np.zeros((1, 1))
-
-    def distances(points: np.ndarray) -> np.ndarray:
-        squared = (points * points).sum(axis=1)[:, None] + (centers * centers).sum(axis=1)[None, :]
-        return np.sqrt(np.maximum(squared - 2.0 * points @ centers.T, 0.0))
+        pivots = math.ceil(math.sqrt(rows))
+    first = known.select(vector).orderBy(F.xxhash64(doc), doc).limit(max(1, pivots)).toPandas()
+    cells = Cells(_matrix(first[vector]) if len(first) else np.zeros((1, 1)))
 
     def to_cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             if len(part):
-                far = distances(_matrix(part[vector]))
-                yield part.assign(cell=far.argmin(axis=1), radius=far.min(axis=1))
+                cell, radius = cells.place(_matrix(part[vector]))
+                yield part.assign(cell=cell, radius=radius)
 
     doc_columns = f"`{doc}` {types[doc]}, `{vector}` {types[vector]}"
-    placed = corpus.select(doc, vector).mapInPandas(to_cells, f"{doc_columns}, cell int, radius double")
-    cells = placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("radius").alias("radius")
-    ).toPandas().sort_values("cell")
-    cell_ids = cells["cell"].to_numpy()
-    radius = cells["radius"].to_numpy()
-    blocks = {int(c): max(1, -(-int(n) // block_rows)) for c, n in zip(cells["cell"], cells["n"])}
-    query_blocks = max(1, -(-queries.count() // block_rows))
-
-    def to_visits(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if not len(part) or not len(cell_ids):
-                continue
-            far = distances(_matrix(part[vector]))
-            kth = min(k, far.shape[1]) - 1
-            bound = np.partition(far, kth, axis=1)[:, kth] if far.shape[1] >= k else np.full(len(far), np.inf)
-            near = far[:, cell_ids] - radius[None, :] <= bound[:, None] + 1e-6 * (1.0 + np.abs(bound))[:, None]
-            yield part.assign(cell=[cell_ids[row].tolist() for row in near])
-
-    key_columns = ", ".join(f"`{c}` {types[c]}" for c in query_keys)
-    visits = queries.select(*query_keys, vector).mapInPandas(
-        to_visits, f"{key_columns}, `{vector}` {types[vector]}, cell array<int>"
-    )
+    placed = materialize(known.mapInPandas(to_cells, f"{doc_columns}, cell int, radius double"), "placed")
+    counted = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("radius")).toPandas().sort_values("cell")
+    cells.names, cells.sizes, cells.radius = (counted[c].to_numpy() for c in ("cell", "n", "radius"))
+    cells.blocks = np.maximum(1, -(-cells.sizes // block_rows))
+    sizes = placed.sparkSession.createDataFrame(
+        [(int(c), int(b)) for c, b in zip(cells.names, cells.blocks)], "cell int, blocks int")
+    blocked = placed.drop("radius").join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64(doc), F.col("blocks")).cast("int"))
 
-    def block_count(cell):
-        return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), cell), F.lit(1)) \
-            if blocks else F.lit(1)
+    key_types = ", ".join(f"`{c}` {types[c]}" for c in query_keys)
+    visit = f"{key_types}, `{vector}` {types[vector]}, visits array<struct<cell:int,blocks:int>>"
 
-    def every(count):
-        return F.explode(F.sequence(F.lit(0), count - 1))
+    def listed(found: list[np.ndarray]) -> list[list[dict]]:
+        return [[{"cell": int(cells.names[i]), "blocks": int(cells.blocks[i])} for i in row] for row in found]
 
-    left = (
-        placed.select(doc, vector, "cell")
-        .withColumn("block", F.pmod(F.xxhash64(doc), block_count(F.col("cell"))).cast("int"))
-        .withColumn("query_block", every(F.lit(query_blocks)))
-    )
-    right = (
-        visits.withColumn("cell", F.explode("cell"))
-        .withColumn("block", every(block_count(F.col("cell"))))
-        .withColumn("query_block", F.pmod(F.xxhash64(*query_keys), F.lit(query_blocks)).cast("int"))
-    )
+    def to_near(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part) and len(cells.names):
+                yield part.assign(visits=listed(cells.near(_matrix(part[vector]), k)))
 
-    def compare(docs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(docs) or not len(asked):
-            return pd.DataFrame(columns=[*query_keys, doc, "dist"])
-        return _hits(
-            asked[query_keys].reset_index(drop=True), _matrix(asked[vector]),
-            docs[doc].to_numpy(), _matrix(docs[vector]), k, doc,
-        )
-
-    group = ["cell", "block", "query_block"]
-    near = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(
-        compare, f"{key_columns}, `{doc}` {types[doc]}, dist double"
-    )
-    return _keep_best(near, query_keys, doc, k)
+    def to_possible(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part) and len(cells.names):
+                bounds = np.sqrt(part["bound"].fillna(np.inf).to_numpy(dtype=np.float64))
+                found = cells.possible(_matrix(part[vector]), bounds, k)
+                yield part.drop(columns="bound").assign(visits=listed(found))
+
+    def search(visits: DataFrame) -> DataFrame:
+        exploded = visits.select(*query_keys, vector, F.explode("visits").alias("v")).select(
+            *query_keys, vector, "v.cell", F.explode(F.sequence(F.lit(0), F.col("v.blocks") - 1)).alias("block"))
+        # What the other side lacks is filled, as NULLs would turn whole numbers into fractions in pandas.
+        def filled(names: list[str]) -> list[Column]:
+            return [F.lit("0").cast(types[c]).alias(c) for c in names]
+
+        sides = blocked.select("cell", "block", F.lit(0).alias("side"), doc, vector, *filled(query_keys)).unionByName(
+            exploded.select("cell", "block", F.lit(1).alias("side"), *filled([doc]), vector, *query_keys))
+        dealt = sides.repartition("cell", "block").sortWithinPartitions("cell", "block", "side")
+        return dealt.mapInPandas(compare, f"{key_types}, `{doc}` {types[doc]}, dist double")
+
+    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks come first, then the queries that visit them, batch by batch."""
+        held_key, held = None, []
+        for part in parts:
+            for key, group in part.groupby(["cell", "block"], sort=True):
+                if key != held_key:
+                    held_key, held = key, []
+                own, visitors = group[group["side"] == 0], group[group["side"] == 1]
+                if len(own):
+                    held.append((own[doc].to_numpy(), _matrix(own[vector])))
+                if len(visitors) and held:
+                    if len(held) > 1:
+                        held = [tuple(np.concatenate(x) for x in zip(*held))]
+                    ids, points = held[0]
+                    keys = visitors[query_keys].reset_index(drop=True)
+                    yield _hits(keys, _matrix(visitors[vector]), ids, points, k, doc)
+
+    near = materialize(search(asked.mapInPandas(to_near, visit)), "near")
+    order = Window.partitionBy(*query_keys).orderBy("dist", doc)
+    bound = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(*query_keys, F.col("dist").alias("bound"))
+    bounded = asked.join(bound, query_keys, "left")
+    more = search(bounded.mapInPandas(to_possible, visit))
+    return _keep_best(near.unionByName(more), query_keys, doc, k)

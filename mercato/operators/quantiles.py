@@ -2,8 +2,8 @@
 
 ``percentile`` keeps every distinct value of a column in one task. Here an
 approximate pass only brackets each wanted rank; the rows between the brackets
-(a share of about 1e-4) are then counted value by value, and the exact value
-is the one at the wanted rank.
+(a share of about 2e-4, or some rows of a short column) are then counted value
+by value, and the exact value is the one at the wanted rank.
 """
 
 from __future__ import annotations
@@ -14,39 +14,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 20_000
-# Columns with fewer rows are counted value by value as a whole: there a
-# bracket could be narrower than the step to the next rank.
-WHOLE_BELOW = 100_000
+# Ranks that a bracket reaches to either side at least.
+SPARE = 4
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
     """Rows ``(column, prob, value)``, linearly interpolated, NULLs left out."""
     spark = df.sparkSession
     values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    margin = 2.0 / ACCURACY
-    cuts = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)})
-
+    counts = values.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)]).first()
+    margins = [max(2.0 / ACCURACY, SPARE / max(1, counts[f"n_{i}"])) for i in range(len(columns))]
+    cuts = [sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-m, m)}) for m in margins]
     first = values.agg(
-        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
-        *[F.percentile_approx(c, cuts, ACCURACY).alias(f"cut_{i}") for i, c in enumerate(columns)],
-        *[F.min(c).alias(f"min_{i}") for i, c in enumerate(columns)],
-        *[F.max(c).alias(f"max_{i}") for i, c in enumerate(columns)],
-    ).first()
+        *[F.percentile_approx(c, cuts[i], ACCURACY).alias(f"cut_{i}") for i, c in enumerate(columns)]).first()
 
     # Targets per bracket: a bracket is counted once, however many ranks it is wanted for.
     brackets: dict[tuple, list] = {}
     for i, column in enumerate(columns):
-        count = first[f"n_{i}"]
+        count = counts[f"n_{i}"]
         if not count:
             continue
-        cut = dict(zip(cuts, first[f"cut_{i}"]))
-        whole = count < WHOLE_BELOW
+        cut = dict(zip(cuts[i], first[f"cut_{i}"]))
         for prob in probs:
-            low, high = prob - margin, prob + margin
-            ends = (
-                first[f"min_{i}"] if whole or low <= 0 else cut[low],
-                first[f"max_{i}"] if whole or high >= 1 else cut[high],
-            )
+            ends = cut[max(0.0, prob - margins[i])], cut[min(1.0, prob + margins[i])]
             brackets.setdefault((column, *ends), []).append((prob, (count - 1) * prob))
     if not brackets:
         return spark.createDataFrame([], "column string, prob double, value double")
@@ -99,6 +89,10 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> Da
 
 
 def quantile_map(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float]]:
-    """Quantiles on the driver: one number per column and probability."""
+    """Quantiles on the driver: one number per column and probability, None for columns without values."""
     found = {(r["column"], r["prob"]): r["value"] for r in exact_quantiles(df, columns, probs).collect()}
-    return {c: [found.get((c, p)) for p in probs] for c in columns}
+    out = {c: [found.get((c, p)) for p in probs] for c in columns}
+    for column, values in out.items():
+        if None in values and not df.where(F.col(column).isNotNull()).isEmpty():
+            raise RuntimeError(f"a quantile of {column} lies outside its bracket")
+    return out

@@ -16,21 +16,17 @@ def shuffle_key(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))
 
 
-# Up to this many rows per group the planner cuts each group before the shuffle.
-CUT_BY_PLANNER = 1000
 SALTS = 64
 
 
 def random_sample(df: DataFrame, group: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows per group without replacement, all of a smaller group.
 
-    The rank filter lets each task keep ``n`` rows per group before anything
-    moves, so a very large group costs no more than a small one. For samples
-    too large for that, a group is ranked in salted parts first.
+    A group is ranked in salted parts first, so that a very large one is spread
+    over many tasks; ``n`` rows of each part are left for the second ranking.
     """
     order = [shuffle_key(F.col(key), seed), F.col(key)]
-    if n > CUT_BY_PLANNER:
-        df = _first(df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS))), [group, "_salt"], order, n).drop("_salt")
+    df = _first(df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS))), [group, "_salt"], order, n).drop("_salt")
     return _first(df, [group], order, n)
 
 

@@ -13,44 +13,33 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 4096
+from mercato.sources.files import materialize
 
-
-def position_span(df: DataFrame, position: str) -> int:
-    """Number of positions between the first and the last; no group has more rows."""
-    row = df.agg((F.max(position) - F.min(position) + 1).cast("bigint").alias("span")).first()
-    return row["span"] or 0
-
-
-def levels_for(span: int, block_rows: int = BLOCK_ROWS) -> int:
-    """How often groups must be cut into blocks until no window exceeds a block."""
-    levels = 0
-    while span > block_rows ** (levels + 1):
-        levels += 1
-    return levels
+# With two levels of blocks no window exceeds a block up to 4096 ** 2 positions
+# in a group; beyond that the windows over block summaries grow slowly.
+BLOCK_ROWS, LEVELS = 4096, 1
 
 
 def running_total(
     df: DataFrame, keys: list[str], position: str, value: str, out: str,
-    block_rows: int = BLOCK_ROWS, levels: int | None = None,
+    block_rows: int = BLOCK_ROWS, levels: int = LEVELS,
 ) -> DataFrame:
     """Sum of ``value`` up to and including the row, by integer ``position``.
 
-    Positions are unique within ``keys``. Without ``levels`` their span is
-    looked up first, and groups that are proven small take one plain window.
+    Positions are unique within ``keys``.
     """
     return _scan(
         df, keys, position, value, out,
         over=F.sum,
         summarize=lambda v, _: F.sum(v),
         merge=lambda before, here: F.coalesce(before, F.lit(0)) + F.coalesce(here, F.lit(0)),
-        block_rows=block_rows, levels=_levels(df, position, block_rows, levels), end=Window.currentRow,
+        block_rows=block_rows, levels=levels, end=Window.currentRow,
     )
 
 
 def carry_forward(
     df: DataFrame, keys: list[str], position: str, value: str, out: str,
-    block_rows: int = BLOCK_ROWS, levels: int | None = None,
+    block_rows: int = BLOCK_ROWS, levels: int = LEVELS,
 ) -> DataFrame:
     """Latest non-null ``value`` up to and including the row."""
     return _scan(
@@ -58,13 +47,13 @@ def carry_forward(
         over=lambda v: F.last(v, ignorenulls=True),
         summarize=lambda v, p: F.max_by(v, F.when(v.isNotNull(), p)),
         merge=lambda before, here: F.coalesce(here, before),
-        block_rows=block_rows, levels=_levels(df, position, block_rows, levels), end=Window.currentRow,
+        block_rows=block_rows, levels=levels, end=Window.currentRow,
     )
 
 
 def dense_index(
     df: DataFrame, keys: list[str], position: str, out: str,
-    block_rows: int = BLOCK_ROWS, levels: int | None = None,
+    block_rows: int = BLOCK_ROWS, levels: int = LEVELS,
 ) -> DataFrame:
     """0, 1, 2, … in the order of a unique integer ``position``."""
     one = "_one"
@@ -72,8 +61,19 @@ def dense_index(
     return counted.withColumn(out, (F.col(out) - 1).cast("bigint")).drop(one)
 
 
-def _levels(df: DataFrame, position: str, block_rows: int, levels: int | None) -> int:
-    return levels_for(position_span(df, position), block_rows) if levels is None else levels
+def ordered_index(df: DataFrame, order: str, out: str) -> DataFrame:
+    """0, 1, 2, … over the whole table in the order of a unique column of any type.
+
+    Rows are dealt to ranges of ``order`` and numbered there; the sizes of the
+    ranges, one number each, give the first number of a range.
+    """
+    part, first = "_part", "_first"
+    ranged = materialize(df.repartitionByRange(order).withColumn(part, F.spark_partition_id()), "ranges")
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("_n")).select(
+        part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(first))
+    rank = F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1
+    return ranged.withColumn(out, rank).join(firsts, part).withColumn(out, (F.col(out) + F.col(first)).cast("bigint")).drop(part, first)
 
 
 def _scan(

@@ -17,10 +17,11 @@ def weekly_resample(daily: DataFrame, key: str, day: str, sums: dict[str, Column
 
     ``sums`` maps output names to aggregates. Each week with rows is stretched
     up to the next one of its series, which fills the gaps without a join.
+    Rows without a day belong to no week.
     """
     start, following = "_start", "_next"
     by_week = Window.partitionBy(key).orderBy(start)
-    summed = daily.groupBy(key, dates.week_ending(F.col(day)).alias(start)).agg(
+    summed = daily.where(F.col(day).isNotNull()).groupBy(key, dates.week_ending(F.col(day)).alias(start)).agg(
         *[total.alias(out) for out, total in sums.items()]
     )
     last = F.coalesce(F.date_sub(F.col(following), 7), F.col(start))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,17 +11,31 @@ from mercato.functions import text
 from mercato.operators import sampling, scan
 from mercato.sources.files import materialize
 
-# Page footer, section headers, policy titles and the shortest chunk.
-FOOTER = r"(?:\S+ )?Internal Document - Strictly Confidential - Page \d+"
+# What follows the company's name in a page footer, section headers,
+# policy titles and the shortest chunk.
+FOOTER_END = r" Internal Document - Strictly Confidential - Page \d+"
 HEADER = r"(?U)(?:[1-9]\.0(?:\s|\z)|Policy ID:)"
 TITLE = r"Title:\s*(.+)"
 DEFAULT_TITLE = "Corporate_Policy"
 MIN_LENGTH = 50
 
 
+def footer_pattern(company: str) -> str:
+    """The page footer of a company's documents."""
+    return re.escape(company) + FOOTER_END
+
+
+def page_number() -> Column:
+    """The page number; an error where it is missing, as the page then has no place."""
+    return F.coalesce("page_no", F.raise_error(F.lit("a page has no number")).cast("bigint"))
+
+
 def src_text_docs(pages: DataFrame) -> DataFrame:
-    """Whole text per document: its pages in order, a newline after each."""
-    ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))
+    """Whole text per document: its pages in order, a newline after each.
+
+    The result of one document is one row; what has to scale works on pages.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct(page_number().alias("page_no"), "text")))
     lines = F.transform(ordered, lambda page: F.concat(page["text"], F.lit("\n")))
     return pages.groupBy("doc_id").agg(F.array_join(lines, "").alias("text"))
 
@@ -31,7 +47,7 @@ def min_length_filter(chunks: DataFrame, column: str = "text", least: int = MIN_
 def _cut(pages: DataFrame, footer: str, header: str) -> DataFrame:
     """Pages with their pieces; all but the first piece of a page start with a header."""
     body = F.concat(F.lit("\n"), text.remove_pattern(F.coalesce("text", F.lit("")), footer))
-    return pages.select("doc_id", "page_no", text.split_before(body, header).alias("pieces"))
+    return pages.select("doc_id", page_number().alias("page_no"), text.split_before(body, header).alias("pieces"))
 
 
 def _numbered(pieces: str) -> Column:
@@ -45,16 +61,10 @@ def sections(pages: DataFrame, footer: str, header: str) -> DataFrame:
 
     Pages are cut on their own. A running count of the headers on earlier
     pages numbers the sections, so no document is ever put together as a whole.
-    Documents of one page need no counting and no shuffle.
     """
     cut = _cut(pages, footer, header)
-    span = scan.position_span(pages, "page_no")
-    if span <= 1:
-        return cut.select("doc_id", _numbered("pieces").alias("section", "text")).withColumn(
-            "section", F.col("section").cast("bigint")
-        )
     headers = cut.select("doc_id", "page_no", (F.size("pieces") - 1).alias("headers"))
-    upto = scan.running_total(headers, ["doc_id"], "page_no", "headers", "upto", levels=scan.levels_for(span))
+    upto = scan.running_total(headers, ["doc_id"], "page_no", "headers", "upto")
     pieces = (
         cut.join(upto.select("doc_id", "page_no", (F.col("upto") - F.col("headers")).alias("before")),
                  ["doc_id", "page_no"])
@@ -67,24 +77,6 @@ def sections(pages: DataFrame, footer: str, header: str) -> DataFrame:
     )
 
 
-def section_span(pages: DataFrame, footer: str, header: str) -> int:
-    """A bound on the sections of any document.
-
-    No document has more sections than lines; only where that says too little
-    are the headers counted.
-    """
-
-    def most(rows: DataFrame, amount: Column) -> int:
-        per_doc = rows.groupBy("doc_id").agg(F.sum(amount).alias("n"))
-        return per_doc.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()["most"]
-
-    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    lines = most(pages, breaks + 1)
-    if lines <= scan.BLOCK_ROWS:
-        return lines
-    return most(_cut(pages, footer, header), F.size("pieces") - 1) + 1
-
-
 def titled_sections(pages: DataFrame, footer: str, header: str, title: str, min_length: int) -> DataFrame:
     """Stripped sections of some length with the title they carry themselves, if any."""
     clean = sections(pages, footer, header).withColumn("text", text.strip(F.col("text")))
@@ -92,27 +84,21 @@ def titled_sections(pages: DataFrame, footer: str, header: str, title: str, min_
     return long_enough.withColumn("own_title", text.strip(text.capture_first(F.col("text"), title)))
 
 
-def title_carry_forward(found: DataFrame, levels: int, default: str = DEFAULT_TITLE) -> DataFrame:
+def title_carry_forward(found: DataFrame, default: str = DEFAULT_TITLE) -> DataFrame:
     """Add ``title``, the latest title up to and including the section, and ``chunk_no``.
 
-    ``levels`` 0 means that no document has more sections than fit a window.
-    Beyond that the sections are written to the shared folder first, as the
-    blocked scans read their small columns several times.
+    The sections are written to the shared folder first, as the blocked scans
+    read their small columns several times.
     """
-    if levels == 0:
-        carried = scan.carry_forward(found, ["doc_id"], "section", "own_title", "title", levels=0)
-        numbered = scan.dense_index(carried, ["doc_id"], "section", "chunk_no", levels=0)
-    else:
-        found = materialize(found, "sections")
-        slim = found.select("doc_id", "section", "own_title")
-        carried = scan.carry_forward(slim, ["doc_id"], "section", "own_title", "title", levels=levels)
-        indexed = scan.dense_index(slim.drop("own_title"), ["doc_id"], "section", "chunk_no", levels=levels)
-        numbered = found.join(carried.drop("own_title"), ["doc_id", "section"]).join(indexed, ["doc_id", "section"])
-    return numbered.withColumn("title", F.coalesce("title", F.lit(default)))
+    found = materialize(found, "sections")
+    slim = found.select("doc_id", "section", "own_title")
+    carried = scan.carry_forward(slim, ["doc_id"], "section", "own_title", "title").drop("own_title")
+    indexed = scan.dense_index(carried, ["doc_id"], "section", "chunk_no")
+    return found.join(indexed, ["doc_id", "section"]).withColumn("title", F.coalesce("title", F.lit(default)))
 
 
 def chunk_documents(
-    pages: DataFrame, footer: str = FOOTER, header: str = HEADER, title: str = TITLE,
+    pages: DataFrame, footer: str, header: str = HEADER, title: str = TITLE,
     default_title: str = DEFAULT_TITLE, min_length: int = MIN_LENGTH,
 ) -> DataFrame:
     """Chunks ``(doc_id, chunk_no, title, text)``; ``chunk_no`` counts from 0 per document.
@@ -120,9 +106,8 @@ def chunk_documents(
     Short sections are dropped before titles are looked for. A chunk without a
     title of its own names its parent document first.
     """
-    levels = scan.levels_for(section_span(pages, footer, header))
     found = titled_sections(pages, footer, header, title, min_length)
-    return title_carry_forward(found, levels, default_title).select(
+    return title_carry_forward(found, default_title).select(
         "doc_id",
         "chunk_no",
         "title",
@@ -140,11 +125,10 @@ def chunk_header_summary(chunks: DataFrame) -> DataFrame:
     }).withColumn("document", text.enhanced_document(F.col("header"), F.col("summary"), body))
 
 
-def prepare_reviews(reviews: DataFrame, order: str = "review_id", sample_size: int = 1000) -> DataFrame:
-    """The last reviews with a message, as ``(id, text, score, review_id)``."""
+def prepare_reviews(reviews: DataFrame, order: str = "review_id") -> DataFrame:
+    """All reviews with a message, as ``(id, text, score, review_id)``; see ``tail_sample`` for the last ones only."""
     with_text = reviews.dropna(subset=["review_comment_message"])
-    last = sampling.tail_sample(with_text, order, sample_size)
-    numbered = scan.dense_index(last, [], order, "_index", levels=0)
+    numbered = scan.ordered_index(with_text, order, "_index")
     return sampling.row_ids(numbered, "doc_", "_index").select(
         "id",
         text.review_text(F.col("review_comment_title"), F.col("review_comment_message")).alias("text"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from mercato.binding import Retail
 from mercato.functions import dates, numbers
-from mercato.operators.joins import broadcast_if_small
 
 FEATURES = [
     "estimated_days_to_deliver", "total_freight_value", "total_weight_g", "total_volume_cm3",
@@ -124,7 +123,7 @@ def _measured(items: DataFrame, products: DataFrame) -> DataFrame:
 def order_lines(items: DataFrame, products: DataFrame, sellers: DataFrame, rates: DataFrame) -> DataFrame:
     """Item measures and seller delay rates per order and seller state."""
     rated = sellers.select("seller_id", "seller_state").join(rates, "seller_id", "left")
-    return _sum_lines(_measured(items, products).join(broadcast_if_small(rated, bounded_by=sellers), "seller_id"))
+    return _sum_lines(_measured(items, products).join(rated, "seller_id"))
 
 
 def order_lines_before(r: Retail) -> DataFrame:

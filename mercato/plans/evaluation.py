@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,11 +58,12 @@ def guardrail_status(cases: DataFrame) -> DataFrame:
 def eval_summary(judged: DataFrame) -> DataFrame:
     """Run averages over all cases, failed ones included, and the guardrail share.
 
-    A case that failed has NULL scores; it still counts as a case.
+    A case that failed has NULL scores; it still counts as a case, but not as a trap.
     """
     total = F.count(F.lit(1))
-    traps = F.count_if(F.col("fallback_status") != "N/A")
-    passed = F.count_if(F.col("fallback_status") == "PASSED")
+    done = functools.reduce(operator.and_, [F.col(c).isNotNull() for c in SCORES])
+    traps = F.count_if(done & (F.col("fallback_status") != "N/A"))
+    passed = F.count_if(done & (F.col("fallback_status") == "PASSED"))
     return judged.agg(
         total.alias("total_test_cases"),
         *[
@@ -70,20 +74,31 @@ def eval_summary(judged: DataFrame) -> DataFrame:
     )
 
 
-def eval_report(cases: DataFrame, replies: DataFrame) -> DataFrame:
-    """One row per case with its judge scores and guardrail status.
+def eval_report(cases: DataFrame, replies: DataFrame, execution_time) -> DataFrame:
+    """One row per judged case with its scores and guardrail status.
 
     ``replies``: ``(id, judge)`` with the struct made by ``parse_judge_reply``.
+    Cases that failed before they were judged have no reply and no row.
     """
-    judged = guardrail_status(cases).join(replies, "id", "left")
+    judged = guardrail_status(cases).join(replies, "id")
     return judged.select(
-        "id", "query", "collection", "expected_ground_truth", "generated_answer",
+        "id", F.lit(execution_time).cast("timestamp_ntz").alias("timestamp"), "query", "collection", "expected_ground_truth", "generated_answer",
         *[F.col("judge")[c].alias(c) for c in SCORES],
         "fallback_status",
         F.col("judge")["reasoning"].alias("reasoning"),
     )
 
 
+def eval_run(cases: DataFrame, replies: DataFrame, history: DataFrame, execution_time) -> tuple[DataFrame, DataFrame]:
+    """The detail report of a run, and the run history with its summary appended.
+
+    The averages are over all cases, those without a reply included.
+    """
+    report = eval_report(cases, replies, execution_time)
+    every = guardrail_status(cases).join(report.select("id", *SCORES), "id", "left")
+    return report, union_history(history, history_row(eval_summary(every), execution_time))
+
+
 def history_row(summary: DataFrame, execution_time) -> DataFrame:
     """The summary as one row of the run history."""
     return summary.select(F.lit(execution_time).cast("timestamp_ntz").alias("execution_time"), "*")

@@ -155,10 +155,18 @@ def aov_by_tier(r: Retail, profiles: DataFrame) -> DataFrame:
 
 
 def declining_categories(daily: DataFrame, periods: int = 3) -> DataFrame:
-    """Categories whose monthly revenue fell in each of the last ``periods`` months or more."""
+    """Categories whose monthly revenue fell in each of the last ``periods`` months or more.
+
+    Months run from a category's first sale to the month of the latest sale of
+    all; months without sales have a revenue of 0.
+    """
     monthly = daily.groupBy(KEY, F.trunc("sale_date", "month").alias("month")).agg(
         numbers.money_sum(F.col("daily_revenue")).alias("revenue")
     )
+    latest = monthly.agg(F.max("month")).scalar()
+    spine = monthly.groupBy(KEY).agg(F.min("month").alias("start")).select(
+        KEY, F.explode(F.sequence("start", latest, F.expr("interval 1 month"))).alias("month"))
+    monthly = spine.join(monthly, [KEY, "month"], "left").na.fill({"revenue": 0.0})
     order = Window.partitionBy(KEY).orderBy("month")
     fell = F.coalesce(F.col("revenue") < F.lag("revenue").over(order), F.lit(False))
     steady = monthly.withColumn("fell", fell).withColumn(
@@ -174,31 +182,39 @@ def declining_categories(daily: DataFrame, periods: int = 3) -> DataFrame:
     )
 
 
+def _moments(n, total, squares):
+    """Mean and sample deviation from a count and exact decimal sums; NULL where there are too few values."""
+    mean = F.try_divide(total.cast("double"), n)
+    left = squares.cast("double") - total.cast("double") * mean
+    return mean, F.sqrt(F.greatest(F.try_divide(left, n - 1), F.lit(0.0)))
+
+
 def seasonal_anomaly(r: Retail, threshold: float = 1.5) -> DataFrame:
-    """Seller months far from the same calendar month of the seller's other years."""
+    """Seller months far from the same calendar month of the seller's other years (two of them at least)."""
     sold = _delivered_items(r, "order_purchase_timestamp")
     bought = F.col("order_purchase_timestamp")
     monthly = sold.groupBy("seller_id", F.year(bought).alias("year"), F.month(bought).alias("month")).agg(
         numbers.money_sum(F.col("price")).alias("revenue")
     )
     same_month = Window.partitionBy("seller_id", "month")
-    spread = F.stddev_samp("revenue").over(same_month)
-    z = F.try_divide(F.col("revenue") - F.avg("revenue").over(same_month), spread)
+    own = F.col("revenue").cast("decimal(18,4)")
+    others = F.count(F.lit(1)).over(same_month) - 1
+    mean, spread = _moments(
+        others, F.sum(own).over(same_month) - own, F.sum(own * own).over(same_month) - own * own)
+    z = F.when(others > 1, F.try_divide(F.col("revenue") - mean, spread))
     return monthly.withColumn("z_score", F.round(z, 4)).where(F.abs("z_score") >= threshold)
 
 
 def customer_deviation(r: Retail, sigmas: float = 1.5) -> DataFrame:
-    """Customers whose last basket lies outside their own mean ± ``sigmas`` deviations."""
+    """Customers whose last basket lies outside the mean ± ``sigmas`` deviations of their earlier ones (two at least)."""
     last = F.struct("order_purchase_timestamp", "order_id")
-    value = F.col("value").cast("double")
-    return (
-        order_baskets(r)
-        .groupBy("customer_unique_id")
-        .agg(
-            F.count(F.lit(1)).alias("n_orders"),
-            F.max_by(value, last).alias("last_basket"),
-            F.round(numbers.money_avg(F.col("value")), 4).alias("mean_basket"),
-            F.round(F.stddev_samp(value), 4).alias("sd_basket"),
-        )
-        .where(F.abs(F.col("last_basket") - F.col("mean_basket")) > sigmas * F.col("sd_basket"))
-    )
+    value = F.col("value").cast("decimal(18,4)")
+    summed = order_baskets(r).groupBy("customer_unique_id").agg(
+        F.count(F.lit(1)).alias("n_orders"), F.max_by(value, last).alias("newest"),
+        F.sum(value).alias("total"), F.sum(value * value).alias("squares"))
+    newest = F.col("newest")
+    mean, spread = _moments(F.col("n_orders") - 1, F.col("total") - newest, F.col("squares") - newest * newest)
+    return summed.where(F.col("n_orders") > 2).select(
+        "customer_unique_id", "n_orders", newest.cast("double").alias("last_basket"),
+        mean.alias("mean_basket"), F.round(spread, 4).alias("sd_basket"),
+    ).where(F.abs(F.col("last_basket") - F.col("mean_basket")) > sigmas * F.col("sd_basket"))

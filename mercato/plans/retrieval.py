@@ -137,13 +137,12 @@ def retrieval_status(queries: DataFrame, candidates: DataFrame, best: DataFrame,
     )
 
 
-def _numbered(best: DataFrame, top_k: int) -> DataFrame:
-    """The first ``top_k`` chunks per query, numbered from 1."""
-    order = Window.partitionBy("query_id").orderBy("position")
-    return best.withColumn("number", F.row_number().over(order)).where(F.col("number") <= top_k)
+def _numbered(best: DataFrame) -> DataFrame:
+    """The chunks of each query, numbered from 1; ``rerank`` has cut them already."""
+    return best.withColumn("number", F.row_number().over(Window.partitionBy("query_id").orderBy("position")))
 
 
-def build_context(best: DataFrame, reviews: bool = False, top_k: int = TOP_K) -> DataFrame:
+def build_context(best: DataFrame, reviews: bool = False) -> DataFrame:
     """One context text per query: its chunks by position under numbered headings.
 
     ``best`` has ``(query_id, position, text)`` and, for reviews, ``stars``.
@@ -157,15 +156,15 @@ def build_context(best: DataFrame, reviews: bool = False, top_k: int = TOP_K) ->
         )
         excerpt = F.when(F.col("stars").isNotNull(), rated).otherwise(excerpt)
     ordered = F.array_sort(F.collect_list(F.struct("number", excerpt.alias("block"))))
-    return _numbered(best, top_k).groupBy("query_id").agg(
+    return _numbered(best).groupBy("query_id").agg(
         F.array_join(F.transform(ordered, lambda b: b["block"]), "").alias("context")
     )
 
 
-def plain_context(queries: DataFrame, best: DataFrame, top_k: int = TOP_K) -> DataFrame:
+def plain_context(queries: DataFrame, best: DataFrame) -> DataFrame:
     """Chunks by position, one per line, or the fixed text when there is none."""
     ordered = F.array_sort(F.collect_list(F.struct("number", "text")))
-    joined = _numbered(best, top_k).groupBy("query_id").agg(
+    joined = _numbered(best).groupBy("query_id").agg(
         F.array_join(F.transform(ordered, lambda b: b["text"]), "\n").alias("context")
     )
     return queries.select("query_id").join(joined, "query_id", "left").na.fill({"context": NO_CONTEXT})

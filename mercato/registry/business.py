@@ -130,10 +130,14 @@ def aov_by_tier(spark, d):
 
 
 @query("declining_categories", """
-WITH monthly AS (
+WITH sold AS (
   SELECT category, CAST(date_trunc('month', sale_date) AS DATE) AS month,
          CAST(sum(CAST(daily_revenue AS DECIMAL(18,4))) AS DOUBLE) AS revenue
   FROM daily GROUP BY 1, 2),
+months AS (
+  SELECT category, CAST(unnest(generate_series(min(month), (SELECT max(month) FROM sold), INTERVAL 1 MONTH)) AS DATE) AS month
+  FROM sold GROUP BY category),
+monthly AS (SELECT category, month, coalesce(revenue, 0) AS revenue FROM months LEFT JOIN sold USING (category, month)),
 moves AS (SELECT *, coalesce(revenue < lag(revenue) OVER (PARTITION BY category ORDER BY month), false) AS fell FROM monthly),
 steady AS (SELECT category, max(month) AS last_steady FROM moves WHERE NOT fell GROUP BY 1)
 SELECT category, count(*) FILTER (month > last_steady) AS falling_months, arg_max(revenue, month) AS last_revenue
@@ -147,10 +151,17 @@ def declining_categories(spark, d):
 WITH monthly AS (
   SELECT seller_id, CAST(year(order_purchase_timestamp) AS INTEGER) AS year,
          CAST(month(order_purchase_timestamp) AS INTEGER) AS month, CAST(sum(price) AS DOUBLE) AS revenue
-  FROM delivered_items GROUP BY ALL)
+  FROM delivered_items GROUP BY ALL),
+sums AS (
+  SELECT *, count(*) OVER w - 1 AS others, CAST(revenue AS DECIMAL(19,4)) AS own,
+         sum(CAST(revenue AS DECIMAL(18,4))) OVER w AS total,
+         sum(CAST(revenue AS DECIMAL(19,4)) * CAST(revenue AS DECIMAL(19,4))) OVER w AS squares
+  FROM monthly WINDOW w AS (PARTITION BY seller_id, month)),
+moments AS (
+  SELECT *, CAST(total - own AS DOUBLE) AS rest, CAST(squares - own * own AS DOUBLE) AS rest_squares FROM sums WHERE others > 1)
 SELECT seller_id, year, month, revenue, z_score FROM (
-  SELECT *, round((revenue - avg(revenue) OVER w) / nullif(stddev_samp(revenue) OVER w, 0), 4) AS z_score
-  FROM monthly WINDOW w AS (PARTITION BY seller_id, month))
+  SELECT *, round((revenue - rest / others) / nullif(sqrt(greatest((rest_squares - rest * (rest / others)) / (others - 1), 0)), 0), 4) AS z_score
+  FROM moments)
 WHERE abs(z_score) >= 1.5
 """)
 def seasonal_anomaly(spark, d):
@@ -158,12 +169,16 @@ def seasonal_anomaly(spark, d):
 
 
 @query("customer_deviation", """
+WITH summed AS (
+  SELECT customer_unique_id, count(*) AS n_orders, arg_max(CAST(value AS DECIMAL(19,4)), (order_purchase_timestamp, order_id)) AS newest,
+         sum(CAST(value AS DECIMAL(18,4))) AS total, sum(CAST(value AS DECIMAL(19,4)) * CAST(value AS DECIMAL(19,4))) AS squares
+  FROM baskets GROUP BY customer_unique_id),
+rests AS (
+  SELECT *, CAST(total - newest AS DOUBLE) AS rest, CAST(squares - newest * newest AS DOUBLE) AS rest_squares FROM summed WHERE n_orders > 2)
 SELECT * FROM (
-  SELECT customer_unique_id, count(*) AS n_orders,
-         arg_max(CAST(value AS DOUBLE), (order_purchase_timestamp, order_id)) AS last_basket,
-         round(CAST(sum(value) AS DOUBLE) / count(*), 4) AS mean_basket,
-         round(stddev_samp(CAST(value AS DOUBLE)), 4) AS sd_basket
-  FROM baskets GROUP BY customer_unique_id)
+  SELECT customer_unique_id, n_orders, CAST(newest AS DOUBLE) AS last_basket, rest / (n_orders - 1) AS mean_basket,
+         round(sqrt(greatest((rest_squares - rest * (rest / (n_orders - 1))) / (n_orders - 2), 0)), 4) AS sd_basket
+  FROM rests)
 WHERE abs(last_basket - mean_basket) > 1.5 * sd_basket
 """)
 def customer_deviation(spark, d):

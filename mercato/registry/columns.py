@@ -452,7 +452,7 @@ SELECT review_id, 'doc_' || (row_number() OVER (ORDER BY review_id) - 1) AS id F
 """)
 def row_index_id(spark, d):
     reviews = bind(spark, d).order_reviews.dropna(subset=["review_comment_message"]).select("review_id")
-    numbered = scan.dense_index(reviews, [], "review_id", "nth", block_rows=512)
+    numbered = scan.ordered_index(reviews, "review_id", "nth")
     return sampling.row_ids(numbered, "doc_", "nth").select("review_id", "id")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -15,9 +15,6 @@ from mercato.registry.columns import scenarios
 from mercato.session import scratch_path
 from mercato.sources.files import materialize
 
-# Smaller than the default models, so that a check of all queries stays short.
-FEW_TREES, LOW_DEPTH = 8, 4
-
 # Orders whose price is unknown while they are being processed.
 part("priced", "SELECT o_orderkey AS order_id, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS price FROM orders")
 
@@ -192,39 +189,22 @@ def delay_parts(spark, d):
     return sampling.split_random(rows, "order_id")
 
 
-def small_classifier():
-    return delay.boosted_trees(FEW_TREES, LOW_DEPTH)
-
-
 @query("train_delay_classifier")
 def train_delay_classifier(spark, d):
     """Report of the classifier on the test rows."""
     train, test = delay_parts(spark, d)
-    model = delay.train_delay_classifier(train, small_classifier())
+    model = delay.train_delay_classifier(train)
     return evaluate.classification_report(
         evaluate.confusion_matrix(model.transform(test), delivery.LABEL, "prediction")
     )
 
 
-@query("tune_random_search")
-def tune_random_search(spark, d):
-    """Cross-validated score of each drawn setting."""
-    train, _ = delay_parts(spark, d)
-    bounds = delay.SEARCH | {"maxIter": (2, 4), "maxDepth": (3, 5)}
-    found = delay.tune_random_search(train, draws=2, folds=3, bounds=bounds, make=small_classifier)
-    rows = [
-        (i, {p.name: float(v) for p, v in setting.items()}, float(score))
-        for i, (setting, score) in enumerate(zip(found.getEstimatorParamMaps(), found.avgMetrics))
-    ]
-    return spark.createDataFrame(rows, "draw int, setting map<string,double>, f1 double")
-
-
 @query("score_delay")
 def score_delay(spark, d):
     """All what-if rows scored by a classifier trained on the training rows."""
     train, _ = delay_parts(spark, d)
-    model = delay.train_delay_classifier(train, small_classifier())
-    asked = delivery.scenario_defaults(scenarios(spark, d)).where("valid").drop("valid")
+    model = delay.train_delay_classifier(train)
+    asked = delivery.scenario_defaults(scenarios(spark, d))
     return delay.score_delay(model, asked).select("order_id", "status", "delay_probability", "risk_level", "recommendation")
 
 
@@ -232,16 +212,16 @@ def score_delay(spark, d):
 def persist_model(spark, d):
     """Scores of a classifier that was saved and loaded."""
     train, test = delay_parts(spark, d)
-    model = delay.train_delay_classifier(train, small_classifier())
-    loaded = PipelineModel.load(delay.save_model(model, scratch_path(spark, "delay-model")))
-    return delay.score_delay(loaded, test).select("order_id", "probability_delayed", "risk_level")
+    model = delay.train_delay_classifier(train)
+    path = delay.save_model(model, scratch_path(spark, "delay-model"))
+    return delay.score_saved(path, test).select("order_id", "probability_delayed", "risk_level")
 
 
 @query("train_rfm_clusters")
 def train_rfm_clusters(spark, d):
-    """Every customer with cluster and risk profile, the best of three starts."""
+    """Every customer with cluster and risk profile, the best of ten starts."""
     profiles = materialize(churn.rfm_recency(churn.churn_profile(bind(spark, d))), "profiles")
-    model = rfm.train_rfm_clusters(profiles, starts=3)
+    model = rfm.train_rfm_clusters(profiles)
     return rfm.risk_profiles(model, profiles).select("customer_unique_id", "cluster", "risk_profile")
 
 
@@ -251,21 +231,17 @@ def demand_models(spark, d):
     return daily, train, test
 
 
-def small_regressor():
-    return forecast.boosted_trees(FEW_TREES, LOW_DEPTH, step=0.3)
-
-
 @query("train_revenue_model")
 def train_revenue_model(spark, d):
     _, train, test = demand_models(spark, d)
-    predicted = forecast.predict(forecast.train_revenue_model(train, small_regressor()), test, "predicted")
+    predicted = forecast.predict(forecast.train_revenue_model(train), test, "predicted")
     return evaluate.segment_metrics(predicted, demand.KEY, "weekly_revenue", "predicted")
 
 
 @query("train_units_model")
 def train_units_model(spark, d):
     _, train, test = demand_models(spark, d)
-    predicted = forecast.predict(forecast.train_units_model(train, small_regressor()), test, "predicted")
+    predicted = forecast.predict(forecast.train_units_model(train), test, "predicted")
     return evaluate.segment_metrics(predicted, demand.KEY, "weekly_units", "predicted")
 
 
@@ -279,5 +255,5 @@ def forecast_next_week(spark, d):
     ).distinct().withColumn("forecast_type", kinds)
     return forecast.forecast_next_week(
         asked, demand.next_week_features(daily),
-        forecast.train_revenue_model(train, small_regressor()), forecast.train_units_model(train, small_regressor()),
+        forecast.train_revenue_model(train), forecast.train_units_model(train),
     )

@@ -43,7 +43,7 @@ def src_manifest(spark, d):
         path = files.write_csv(rows, f"{root}/{name}.csv")
         manifest[path] = (name, "event_id date, ts int" if name == "events" else rows.schema)
     manifest[f"{root}/returns.csv"] = ("returns", "order_id long")
-    return files.ingest_manifest(spark, manifest, f"{root}/tables")
+    return files.ingest_manifest(spark, manifest, f"{root}/tables").drop("message")
 
 
 @query("sink_overwrite", "SELECT * FROM customer")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mercato import schemas
 from mercato.binding import bind, table
 from mercato.functions import scores
 from mercato.ml import embed
-from mercato.operators import knn, sampling, scan
+from mercato.operators import knn, sampling
 from mercato.plans import chunking, evaluation, retrieval
 from mercato.plans.delivery import is_delivered
 from mercato.registry.base import part, query
@@ -69,9 +70,8 @@ def src_text_docs(spark, d):
 @query("title_carry_forward", "SELECT doc_id, section, own_title, title FROM page_titles")
 def title_carry_forward(spark, d):
     pages = conversation_pages(spark, d)
-    levels = scan.levels_for(chunking.section_span(pages, FOOTER, HEADER))
     found = chunking.titled_sections(pages, FOOTER, HEADER, TITLE, chunking.MIN_LENGTH)
-    return chunking.title_carry_forward(found, levels).select("doc_id", "section", "own_title", "title")
+    return chunking.title_carry_forward(found).select("doc_id", "section", "own_title", "title")
 
 
 @query("chunk_documents", CHUNKS.format("doc_titles"))
@@ -98,7 +98,7 @@ def chunk_header_summary(spark, d):
 SELECT 'doc_' || (row_number() OVER (ORDER BY review_id) - 1) AS id,
        'Title: ' || coalesce(review_comment_title, '') || chr(10) || 'Message: ' || review_comment_message AS text,
        review_score AS score, CAST(review_id AS VARCHAR) AS review_id
-FROM (SELECT * FROM r_reviews WHERE review_comment_message IS NOT NULL ORDER BY review_id DESC LIMIT 1000)
+FROM r_reviews WHERE review_comment_message IS NOT NULL
 """)
 def prepare_reviews(spark, d):
     return chunking.prepare_reviews(bind(spark, d).order_reviews)
@@ -131,7 +131,7 @@ def knn_topk(spark, d):
 @query("cross_vectors", NEAREST.format(10))
 def cross_vectors(spark, d):
     """Every vector against every other, by the join made for large query sets."""
-    hits = knn.knn_join(vectors(spark, d, "query_id"), vectors(spark, d, "doc_id"), ["query_id"], "doc_id", 10)
+    hits = knn.knn_topk(vectors(spark, d, "query_id"), vectors(spark, d, "doc_id"), ["query_id"], "doc_id", 10)
     return hits.withColumn("dist", F.round("dist", 6))
 
 
@@ -256,10 +256,10 @@ def build_context(spark, d):
 SELECT order_id AS query_id, string_agg('--- Review ' || nth || ' (Rating: ' || review_score || ' stars) ---' || chr(10) ||
        review_comment_message || chr(10) || chr(10), '' ORDER BY review_id) AS context
 FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY review_id) AS nth FROM r_reviews WHERE review_comment_message IS NOT NULL)
-WHERE nth <= 5 GROUP BY order_id
+GROUP BY order_id
 """)
 def str_context(spark, d):
-    """The first reviews of each order as the context of a question about it."""
+    """The reviews of each order as the context of a question about it."""
     best = bind(spark, d).order_reviews.dropna(subset=["review_comment_message"]).select(
         F.col("order_id").alias("query_id"), F.col("review_id").alias("position"),
         F.col("review_score").alias("stars"), F.col("review_comment_message").alias("text"),
@@ -267,6 +267,20 @@ def str_context(spark, d):
     return retrieval.build_context(best, reviews=True)
 
 
+@query("plain_context", """
+SELECT c_custkey AS query_id, coalesce(string_agg(order_status || ' ' || order_id, chr(10) ORDER BY order_id),
+       'NO CONTEXT FOUND') AS context
+FROM customer LEFT JOIN r_orders ON c_custkey = customer_id GROUP BY 1
+""")
+def plain_context(spark, d):
+    """The orders of each customer, one per line."""
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("query_id"))
+    best = bind(spark, d).orders.select(
+        F.col("customer_id").alias("query_id"), F.col("order_id").alias("position"),
+        F.concat_ws(" ", "order_status", "order_id").alias("text"))
+    return retrieval.plain_context(asked, best)
+
+
 @query("retrieval_status", """
 SELECT query_id, found, kept, CASE WHEN found = 0 THEN 'no_candidates' WHEN kept = 0 THEN 'not_relevant' ELSE 'ok' END AS status,
        CASE WHEN found = 0 THEN 'No relevant information found in orders for this query.'
@@ -412,7 +426,8 @@ def guardrail_status(spark, d):
 SELECT count(*) AS total_test_cases, CAST(sum(context_relevance) AS DOUBLE) / count(*) AS avg_context_relevance,
        CAST(sum(faithfulness) AS DOUBLE) / count(*) AS avg_faithfulness,
        CAST(sum(answer_relevance) AS DOUBLE) / count(*) AS avg_answer_relevance,
-       count(*) FILTER (fallback_status = 'PASSED') / count(*) FILTER (fallback_status <> 'N/A') * 100 AS guardrail_accuracy
+       count(*) FILTER (fallback_status = 'PASSED' AND faithfulness IS NOT NULL)
+       / count(*) FILTER (fallback_status <> 'N/A' AND faithfulness IS NOT NULL) * 100 AS guardrail_accuracy
 FROM guarded
 """)
 def eval_summary(spark, d):
@@ -420,13 +435,34 @@ def eval_summary(spark, d):
 
 
 @query("eval_report", """
-SELECT id, query, collection, expected_ground_truth, generated_answer, coalesce(context_relevance, 1) AS context_relevance,
-       coalesce(faithfulness, 1) AS faithfulness, coalesce(answer_relevance, 1) AS answer_relevance, fallback_status,
-       CASE WHEN context_relevance IS NULL THEN 'Failed to judge.' ELSE collection END AS reasoning FROM guarded
+SELECT id, TIMESTAMP '2026-06-17 21:43:20' AS timestamp, query, collection, expected_ground_truth, generated_answer, context_relevance,
+       faithfulness, answer_relevance, fallback_status, collection AS reasoning FROM guarded WHERE context_relevance IS NOT NULL
 """)
 def eval_report(spark, d):
-    """Cases joined with judge replies; the replies to failed cases lack the scores."""
+    """Cases joined with judge replies; failed cases have none."""
+    return evaluation.eval_report(*asked_and_judged(spark, d), RUN_TIME)
+
+
+@query("eval_run", """
+SELECT TIMESTAMP '2026-06-17 21:43:20' AS execution_time, count(*) AS total_test_cases,
+       CAST(sum(context_relevance) AS DOUBLE) / count(*) AS avg_context_relevance,
+       CAST(sum(faithfulness) AS DOUBLE) / count(*) AS avg_faithfulness,
+       CAST(sum(answer_relevance) AS DOUBLE) / count(*) AS avg_answer_relevance,
+       count(*) FILTER (fallback_status = 'PASSED' AND faithfulness IS NOT NULL)
+       / count(*) FILTER (fallback_status <> 'N/A' AND faithfulness IS NOT NULL) * 100 AS guardrail_accuracy
+FROM guarded
+""")
+def eval_run(spark, d):
+    """A run from cases and raw replies to the history, which was empty before."""
+    history = spark.createDataFrame([], schemas.RUN_HISTORY)
+    return evaluation.eval_run(*asked_and_judged(spark, d), history, RUN_TIME)[1]
+
+
+def asked_and_judged(spark, d):
     rows = cases(spark, d)
     reply = F.to_json(F.struct(*evaluation.SCORES, F.col("collection").alias("reasoning")))
-    replies = rows.select("id", scores.parse_judge_reply(reply).alias("judge"))
-    return evaluation.eval_report(rows.drop(*evaluation.SCORES), replies)
+    replies = rows.dropna(subset=evaluation.SCORES).select("id", scores.parse_judge_reply(reply).alias("judge"))
+    return rows.drop(*evaluation.SCORES), replies
+
+
+RUN_TIME = "2026-06-17 21:43:20"

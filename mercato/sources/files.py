@@ -68,21 +68,23 @@ def ingest_manifest(
     """Load CSV files into Parquet tables below ``target``.
 
     ``manifest`` maps a path to ``(table, schema)``. A missing or unreadable
-    file does not stop the others. Rows ``(table_name, n_rows, status)``.
+    file does not stop the others, and leaves a table of an earlier load alone:
+    rows are read and staged before the table is replaced. Rows
+    ``(table_name, n_rows, status, message)``.
     """
     results = []
     for path, (name, schema) in manifest.items():
         try:
             counted = Observation()
             rows = read_csv(spark, path, schema, multiline).observe(counted, F.count(F.lit(1)).alias("n"))
-            write_table(rows, f"{target}/{name}")
-            results.append((name, counted.get["n"], "loaded"))
+            write_table(materialize(rows, f"staged-{name}"), f"{target}/{name}")
+            results.append((name, counted.get["n"], "loaded", None))
         except AnalysisException as problem:
             missing = problem.getCondition() == "PATH_NOT_FOUND"
-            results.append((name, None, "missing" if missing else "failed"))
-        except Exception:
-            results.append((name, None, "failed"))
-    return spark.createDataFrame(results, "table_name string, n_rows long, status string")
+            results.append((name, None, "missing" if missing else "failed", str(problem)[:500]))
+        except Exception as problem:
+            results.append((name, None, "failed", str(problem)[:500]))
+    return spark.createDataFrame(results, "table_name string, n_rows long, status string, message string")
 
 
 def run_sql(spark: SparkSession, text: str, views: dict[str, DataFrame], **args) -> DataFrame:

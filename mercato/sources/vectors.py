@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def recreate_collection(rows: DataFrame, path: str) -> str:
@@ -13,8 +14,9 @@ def recreate_collection(rows: DataFrame, path: str) -> str:
 
 
 def add_to_collection(rows: DataFrame, path: str) -> str:
-    """Create the collection if need be and add the rows whose id is new to it."""
-    fresh = rows.dropDuplicates(["id"])
+    """Create the collection if need be and add the rows whose id is new to it; of equal ids the least row."""
+    others = [c for c in rows.columns if c != "id"]
+    fresh = rows.groupBy("id").agg(F.min(F.struct(*others)).alias("_row")).select("id", "_row.*").select(*rows.columns)
     try:
         known = rows.sparkSession.read.parquet(path).select("id")
         fresh = fresh.join(known, "id", "left_anti")

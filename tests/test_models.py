@@ -138,3 +138,28 @@ def test_embeddings_are_unit_vectors_and_find_their_text(spark):
     asked = vectors.select(F.col("doc_id").alias("query_id"), F.lit(0).alias("variant"), "embedding")
     best = retrieval.retrieve_dedupe(asked, vectors.drop("text"), 1).collect()
     assert {(r["query_id"], r["doc_id"]) for r in best} == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_a_column_without_values_is_prepared(spark):
+    df = spark.createDataFrame([(1.0, None, 1), (3.0, None, 0)], "x double, y double, b int")
+    for scaling in ("standard", "robust"):
+        stage = preprocess.FeaturePreparer(["x", "y"], ["b"], scaling=scaling).fit(df)
+        assert [r["y_prepared"] for r in stage.transform(df).collect()] == [0.0, 0.0]
+
+
+def test_unknown_orders_and_missing_models_are_errors(spark, tmp_path):
+    columns = [*delivery.FEATURES, *delivery.BINARY_FEATURES]
+    good = [(i, *[float(i % 7 + n) for n in range(len(delivery.FEATURES))], i % 2, i % 2) for i in range(40)]
+    kinds = ", ".join(f"{c} double" for c in delivery.FEATURES) + ", " + ", ".join(f"{c} int" for c in delivery.BINARY_FEATURES)
+    train = spark.createDataFrame(good, f"order_id long, {kinds}, {delivery.LABEL} int")
+    model = delay.train_delay_classifier(train, delay.boosted_trees(trees=2, depth=2))
+    asked = spark.createDataFrame([(1, *good[1][1:-1], True), (2, *[None] * len(columns), True), (3, *good[3][1:-1], False)],
+                                  f"order_id long, {kinds}, valid boolean")
+    found = {r["order_id"]: r for r in delay.score_delay(model, asked).collect()}
+    assert found[1]["status"] == "success" and found[1]["risk_level"] is not None
+    for i in (2, 3):
+        assert (found[i]["status"], found[i]["probability_delayed"], found[i]["risk_level"]) == ("error", None, None)
+    path = delay.save_model(model, str(tmp_path / "model"))
+    assert {r["order_id"]: r["status"] for r in delay.score_saved(path, asked).collect()} == {1: "success", 2: "error", 3: "error"}
+    missing = delay.score_saved(str(tmp_path / "none"), asked).collect()
+    assert {(r["status"], r["message"]) for r in missing} == {("error", delay.NO_MODEL)}

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from shop import store
 
+from mercato import schemas
 from mercato.plans import churn, chunking, delivery, demand, evaluation, metrics, retrieval
 
 
@@ -142,6 +143,7 @@ def test_scenarios(spark):
         (5, 1.0, None, 10.0, 1, 1, 0, 0.5, False), (11, 20.0, 1000.0, 10.0, 6, 2, 1, 0.08, True)]
 
 
+ACME = chunking.footer_pattern("Acme")
 POLICY_PAGES = [
     "Acme Internal Document - Strictly Confidential - Page 1\n1.0 Intro about nothing in particular, long enough to stay.\nTitle: Returns Policy \nmore",
     "still the same section, second page\n2.0\nShipping rules apply to all sellers of the marketplace, always.\nPolicy ID: X-1 short\n",
@@ -151,7 +153,7 @@ POLICY_PAGES = [
 
 def plain_chunks(pages, default):
     """The rules of chunking written down for one document in memory."""
-    whole = re.sub(chunking.FOOTER, "", "".join(p + "\n" for p in pages))
+    whole = re.sub(ACME, "", "".join(p + "\n" for p in pages))
     title, out = default, []
     for raw in re.split(r"(?=\n[1-9]\.0\s+|\nPolicy ID:)", whole):
         piece = raw.strip()
@@ -167,7 +169,7 @@ def plain_chunks(pages, default):
 @pytest.mark.parametrize("pages", [POLICY_PAGES, ["\n".join(POLICY_PAGES)], ["1.0 " + "x" * 60], ["short"]])
 def test_policy_chunks(spark, pages):
     df = spark.createDataFrame([(7, n, p) for n, p in enumerate(pages)], "doc_id long, page_no long, text string")
-    found = chunking.chunk_documents(df).orderBy("chunk_no").collect()
+    found = chunking.chunk_documents(df, ACME).orderBy("chunk_no").collect()
     assert [(r["title"], r["text"]) for r in found] == plain_chunks(pages, chunking.DEFAULT_TITLE)
     assert [r["chunk_no"] for r in found] == list(range(len(found)))
 
@@ -177,15 +179,64 @@ def test_chunks_of_a_document_too_large_for_one_window(spark, monkeypatch):
 
     pages = [f"filler line {i}\n{1 + i % 9}.0 Section {i} " + "y" * 60 + (f"\nTitle: T{i}" if i % 7 == 0 else "") for i in range(60)]
     df = spark.createDataFrame([(7, n, p) for n, p in enumerate(pages)], "doc_id long, page_no long, text string")
-    levels_for = scan.levels_for
-    monkeypatch.setattr(scan, "levels_for", lambda span, block_rows=8: levels_for(span, 8))
-    found = chunking.chunk_documents(df).orderBy("chunk_no").collect()
+    monkeypatch.setattr(scan.running_total, "__defaults__", (8, 2))
+    monkeypatch.setattr(scan.carry_forward, "__defaults__", (8, 2))
+    monkeypatch.setattr(scan.dense_index, "__defaults__", (8, 2))
+    found = chunking.chunk_documents(df, ACME).orderBy("chunk_no").collect()
     assert [(r["title"], r["text"]) for r in found] == plain_chunks(pages, chunking.DEFAULT_TITLE)
 
 
 def test_reviews(spark, shop):
-    assert rows(chunking.prepare_reviews(shop.order_reviews.withColumn("review_id", F.substring("review_id", 2, 1).cast("long"))), "id") == [
-        ("doc_0", "Title: \nMessage: good", 5, "1"), ("doc_1", "Title: hm\nMessage:  late", 1, "2")]
+    """Ids are strings, as declared."""
+    assert rows(chunking.prepare_reviews(shop.order_reviews), "id") == [
+        ("doc_0", "Title: \nMessage: good", 5, "r1"), ("doc_1", "Title: hm\nMessage:  late", 1, "r2")]
+
+
+def test_words_before_a_footer_stay(spark):
+    page = "1.0 These are the rules for the return of a damaged shipment.Acme Internal Document - Strictly Confidential - Page 2"
+    found = chunking.chunk_documents(spark.createDataFrame([(1, 0, page)], "doc_id long, page_no long, text string"), ACME)
+    assert "shipment." in found.first()["text"] and "Acme" not in found.first()["text"]
+
+
+def test_a_page_without_a_number_is_an_error(spark):
+    df = spark.createDataFrame([(1, 0, "x"), (1, None, "y")], "doc_id long, page_no long, text string")
+    for broken in (lambda: chunking.chunk_documents(df, ACME).collect(), lambda: chunking.src_text_docs(df).collect()):
+        with pytest.raises(Exception, match="a page has no number"):
+            broken()
+
+
+def test_contexts_hold_every_chunk(spark):
+    best = spark.createDataFrame([(1, i, f"t{i}") for i in range(1, 11)], "query_id int, position int, text string")
+    assert retrieval.build_context(best).first()["context"].count("--- Document Excerpt") == 10
+    assert retrieval.plain_context(best.select("query_id").distinct(), best).first()["context"].count("\n") == 9
+
+
+def test_failed_cases_are_no_traps(spark):
+    cases = spark.createDataFrame(
+        [(1, evaluation.TRAP, "x", 3), (2, evaluation.TRAP, evaluation.DEFLECTION, 0), (3, "truth", "answer", 1)],
+        "id int, expected_ground_truth string, generated_answer string, n_chunks int").selectExpr("*", "'q' AS query", "'c' AS collection")
+    replies = spark.createDataFrame([(2, (1, 1, 1, "r")), (3, (9, 8, 7, "s"))],
+                                    "id int, judge struct<context_relevance:int,faithfulness:int,answer_relevance:int,reasoning:string>")
+    history = spark.createDataFrame([], schemas.RUN_HISTORY)
+    report, history = evaluation.eval_run(cases, replies, history, "2026-01-02 03:04:05")
+    assert [r["id"] for r in report.orderBy("id").collect()] == [2, 3]
+    run = history.first()
+    assert (run["guardrail_accuracy"], run["total_test_cases"], run["avg_faithfulness"]) == (100.0, 3, 3.0)
+    assert str(run["execution_time"]) == str(report.first()["timestamp"]) == "2026-01-02 03:04:05"
+
+
+def test_metrics_that_fire(spark, shop):
+    """A seller's third January, a customer's fourth basket, and a category that ended long ago."""
+    month = lambda m, v, c: (dt.date(2020 + (m - 1) // 12, (m - 1) % 12 + 1, 5), c, 1, float(v))
+    falling = [month(m, 100 - m, "falling") for m in range(1, 13)]
+    ended = [month(m, 100 - 10 * m, "ended") for m in range(1, 7)]
+    gap = [month(m, v, "gap") for m, v in ((8, 50), (10, 40), (11, 30), (12, 20))]
+    daily = spark.createDataFrame(falling + ended + gap, "sale_date date, category string, units_sold long, daily_revenue double")
+    found = {r["category"]: r["falling_months"] for r in metrics.declining_categories(daily).collect()}
+    assert found == {"falling": 11}
+    n, total, squares = F.lit(2), F.lit(30).cast("decimal(18,4)"), F.lit(500).cast("decimal(38,8)")
+    mean, spread = metrics._moments(n, total, squares)
+    assert spark.range(1).select(mean, spread).first() == (15.0, pytest.approx(50 ** 0.5))
 
 
 def test_rerank_ties_short_and_unreadable_replies(spark):

@@ -3,7 +3,6 @@
 import datetime as dt
 import json
 
-import pytest
 
 from mercato import schemas, session
 from mercato.sources import files, history, vectors
@@ -26,7 +25,7 @@ def test_manifest_goes_on_after_a_bad_file(spark, tmp_path):
         str(tmp_path / "c.csv"): ("c", "id int, name string"),
     }
     found = files.ingest_manifest(spark, manifest, str(tmp_path / "tables")).collect()
-    assert [tuple(r) for r in found] == [("a", 2, "loaded"), ("b", None, "failed"), ("c", None, "missing")]
+    assert [tuple(r)[:3] for r in found] == [("a", 2, "loaded"), ("b", None, "failed"), ("c", None, "missing")]
     assert spark.read.parquet(str(tmp_path / "tables" / "a")).count() == 2
 
 
@@ -83,3 +82,19 @@ def test_without_a_setting_the_warehouse_is_shared():
         conf = Conf()
 
     assert session.shared_root(Cluster()) == "hdfs://store/warehouse"
+
+
+def test_a_bad_reload_leaves_the_table_alone(spark, tmp_path):
+    good, bad, target = str(tmp_path / "good.csv"), str(tmp_path / "bad.csv"), str(tmp_path / "tables")
+    files.write_csv(spark.createDataFrame([(1, "a")], "id int, name string"), good)
+    files.write_csv(spark.createDataFrame([("x", "y")], "id string, name string"), bad)
+    first = files.ingest_manifest(spark, {good: ("t", "id int, name string")}, target).first()
+    second = files.ingest_manifest(spark, {bad: ("t", "id int, name string")}, target).first()
+    assert (first["status"], second["status"]) == ("loaded", "failed") and second["message"]
+    assert spark.read.parquet(f"{target}/t").collect() == [(1, "a")]
+
+
+def test_of_equal_ids_the_least_row_is_added(spark, tmp_path):
+    rows = spark.createDataFrame([("a", [2.0], "t2"), ("a", [1.0], "t1"), ("b", [0.0], "t")], "id string, embedding array<double>, text string")
+    path = vectors.add_to_collection(rows, str(tmp_path / "c"))
+    assert sorted((r["id"], r["text"]) for r in vectors.read_collection(spark, path).collect()) == [("a", "t1"), ("b", "t")]
