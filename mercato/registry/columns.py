@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato import schemas
@@ -348,11 +349,27 @@ def cast_schema(spark, d):
     ))
 
 
-@query("check_primary_key", """
-SELECT order_id, order_item_id, count(*) AS n_rows FROM r_items GROUP BY 1, 2 HAVING count(*) > 1
-""")
+KEYED_PARTS = {
+    "customers": "r_customers", "orders": "r_orders", "products": "r_products", "sellers": "r_sellers",
+    "product_category_name_translation": "r_translation", "order_items": "r_items", "order_payments": "r_payments",
+}
+
+
+@query("check_primary_key", "\nUNION ALL\n".join(
+    f"SELECT '{name}' AS table_name, concat_ws('|', {', '.join(schemas.PRIMARY_KEYS[name])}) AS key, count(*) AS n_rows "
+    f"FROM {rows} GROUP BY {', '.join(schemas.PRIMARY_KEYS[name])} "
+    f"HAVING count(*) > 1 OR {' OR '.join(f'{c} IS NULL' for c in schemas.PRIMARY_KEYS[name])}"
+    for name, rows in KEYED_PARTS.items()
+))
 def check_primary_key(spark, d):
-    return quality.check_primary_key(bind(spark, d).order_items, schemas.PRIMARY_KEYS["order_items"])
+    """The declared keys of all tables."""
+    r = bind(spark, d)
+    found = [
+        quality.check_primary_key(getattr(r, name.replace("product_category_name_", "")), keys).select(
+            F.lit(name).alias("table_name"), F.concat_ws("|", *keys).alias("key"), "n_rows")
+        for name, keys in schemas.PRIMARY_KEYS.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 KEY_RULES = [

@@ -92,12 +92,28 @@ def encode_onehot(spark, d):
     )
 
 
-@query("assemble_features")
+_COLUMNS = delivery.FEATURES
+_MEDIANS = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS fill_{c}" for c in _COLUMNS)
+_FILLED = ", ".join(f"coalesce(CAST({c} AS DOUBLE), fill_{c}) AS {c}" for c in _COLUMNS)
+_WIDTHS = ", ".join(
+    f"quantile_cont({c}, 0.5) AS mid_{c}, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS wide_{c}" for c in _COLUMNS)
+_SCALED = ", ".join(f"round(({c} - mid_{c}) / CASE WHEN wide_{c} = 0 THEN 1 ELSE wide_{c} END, 8) AS {c}" for c in _COLUMNS)
+
+
+@query("assemble_features", f"""
+WITH medians AS (SELECT {_MEDIANS} FROM features),
+common AS (SELECT is_interstate AS mode FROM features WHERE is_interstate IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+filled AS (SELECT order_id, {_FILLED}, CAST(coalesce(is_interstate, mode) AS DOUBLE) AS is_interstate FROM features, medians, common),
+widths AS (SELECT {_WIDTHS} FROM filled)
+SELECT order_id, {_SCALED}, is_interstate FROM filled, widths
+""")
 def assemble_features(spark, d):
-    """The prepared feature vector of every training row."""
+    """The prepared features of every training row, column by column."""
     rows = materialize(delivery.delivery_features(bind(spark, d)), "features")
     preparer = preprocess.FeaturePreparer(delivery.FEATURES, delivery.BINARY_FEATURES)
-    return preparer.fit(rows).transform(rows).select("order_id", F.array(*preparer.outputs).alias("features"))
+    prepared = preparer.fit(rows).transform(rows)
+    names = zip([*delivery.FEATURES, *delivery.BINARY_FEATURES], preparer.outputs)
+    return prepared.select("order_id", *[F.round(out, 8).alias(name) for name, out in names])
 
 
 # A prediction by rule: late if the seller is late more often than the average.

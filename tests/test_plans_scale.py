@@ -67,7 +67,7 @@ def test_items_are_summed_before_they_move(stored):
 
 def test_top_k_is_cut_before_the_shuffle(spark, stored):
     sample = sampling.random_sample(stored.order_items, "seller_id", "order_id", 3)
-    assert plan(sample).count("WindowGroupLimit") == 2
+    assert plan(sample).count("WindowGroupLimit") == 4
     scored = spark.createDataFrame([(1, "a", 0, 5)], "query_id int, doc_id string, seen int, score int")
     assert plan(retrieval.rerank(scored)).count("WindowGroupLimit") == 2
 

@@ -3,9 +3,13 @@
 import datetime as dt
 import json
 
+from pyspark.sql import functions as F
+from shop import store
 
 from mercato import schemas, session
+from mercato.plans import churn, delivery, metrics
 from mercato.sources import files, history, vectors
+from mercato.sources.store import ingest_store, open_store
 
 
 def test_csv_keeps_quotes_breaks_and_blanks_and_reads_empty_as_null(spark, tmp_path):
@@ -98,3 +102,19 @@ def test_of_equal_ids_the_least_row_is_added(spark, tmp_path):
     rows = spark.createDataFrame([("a", [2.0], "t2"), ("a", [1.0], "t1"), ("b", [0.0], "t")], "id string, embedding array<double>, text string")
     path = vectors.add_to_collection(rows, str(tmp_path / "c"))
     assert sorted((r["id"], r["text"]) for r in vectors.read_collection(spark, path).collect()) == [("a", "t1"), ("b", "t")]
+
+
+def test_from_csv_to_a_mart(spark, tmp_path):
+    """All eight declared tables, with their string keys, through CSV and Parquet to features and metrics."""
+    shop, paths = store(spark), {}
+    for name, schema in schemas.TABLES.items():
+        known = {"product_category_name_translation": "translation"}.get(name, name)
+        rows = getattr(shop, known, spark.createDataFrame([], schema))
+        typed = rows.select(*[
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+        paths[name] = files.write_csv(typed, str(tmp_path / f"{name}.csv"))
+    loaded = ingest_store(spark, paths, str(tmp_path / "tables")).collect()
+    assert {r["status"] for r in loaded} == {"loaded"} and len(loaded) == 8
+    opened = open_store(spark, str(tmp_path / "tables"))
+    for build in (delivery.delivery_features, churn.churn_profile, metrics.top_categories_revenue):
+        assert sorted(map(repr, build(opened).collect())) == sorted(map(repr, build(shop).collect()))
