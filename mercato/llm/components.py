@@ -11,19 +11,30 @@ from mercato.llm.common import stored
 def components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` of all nodes of ``edges (a, b)``; the label is the component's least node.
 
-    Every round each node takes the least label around it, and then the label
-    of its label, so that long chains shrink by halves. Labels are written to
-    the shared folder every round; a round moves a row per edge and node. A
-    label that very many nodes share is the only hot key, in a join of two
-    written tables that adaptive execution can split.
+    In every round each node hooks on to the least node around it, and hooks are
+    followed to their ends by doubling. Edges are renamed to the ends that their
+    nodes reach; loops and repeats go. At least half of the nodes vanish, so the
+    rounds shrink quickly and move a few rows per edge in all. Hooks and edges
+    are written to the shared folder. An end that very many nodes share is the
+    only hot key, in joins of two written tables that adaptive execution can split.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
-    while True:
-        around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = stored(labels.join(around, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("before")), "labels")
-        target = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = stored(lower.join(target, "label").select("node", F.col("next").alias("label"), "before"), "labels")
-        if after.where("label <> before").isEmpty():
-            return after.select("node", "label")
-        labels = after.select("node", "label")
+    a, b = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    left = stored(edges.where("a <> b").select(a, b).distinct(), "edges")
+    labels = stored(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")), "labels")
+    while not left.isEmpty():
+        ends = F.explode(F.array(F.struct(F.col("a").alias("node")), F.struct(F.col("b").alias("node")))).alias("end")
+        hooks = stored(left.select("a", ends).groupBy(F.col("end.node").alias("node")).agg(F.min("a").alias("hook")), "hooks")
+        while True:
+            above = hooks.select(F.col("node").alias("hook"), F.col("hook").alias("top"))
+            hooks = stored(hooks.join(above, "hook").select("node", F.col("top").alias("hook"), F.col("hook").alias("before")), "hooks")
+            if hooks.where("hook <> before").isEmpty():
+                break
+            hooks = hooks.drop("before")
+        at_a, at_b = (hooks.select(F.col("node").alias(c), F.col("hook").alias(f"{c}_hook")) for c in "ab")
+        named = stored(left.join(at_a, "a").select("a_hook", "b"), "renamed")
+        named = named.join(at_b, "b").where("a_hook <> b_hook").select(
+            F.least("a_hook", "b_hook").alias("a"), F.greatest("a_hook", "b_hook").alias("b")).distinct()
+        left = stored(named, "edges")
+        moved = hooks.select(F.col("node").alias("label"), F.col("hook").alias("new"))
+        labels = stored(labels.join(moved, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+    return labels

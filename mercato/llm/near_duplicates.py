@@ -29,7 +29,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH, LEAST_DEPTH, RECALL = 32, 8, 4, 0.9999
 # A block of a component has about so many words and classes; two blocks meet in a task.
-BLOCK_WORDS, BLOCK_CLASSES = 300_000, 1500
+BLOCK_WORDS, BLOCK_CLASSES = 200_000, 750
 RUN = 1 << 18
 
 
