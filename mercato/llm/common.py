@@ -78,10 +78,11 @@ def runs(rows: Iterator, key) -> Iterator[tuple[object, list]]:
 
 
 def keep_rows(docs: DataFrame, verdicts: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows of ``docs`` that ``verdicts`` ``(key, mark, kept)`` keeps, as often as it keeps them.
+    """The rows of ``docs`` that ``verdicts`` ``(key, mark, kept)`` keeps.
 
-    ``mark`` is the hash of the text; with the key it names a document. Only
-    the dropped names are joined, usually the smaller part by far.
+    ``mark`` is the hash of the text; with the key it names a document. Of rows
+    that repeat both, all stay, none, or one: the one with the largest values.
+    Only the names of dropped rows are joined, usually the smaller part by far.
     """
     name, columns = free_name(docs, "_mark"), docs.columns
     marked = docs.withColumn(name, F.xxhash64(text))
@@ -98,5 +99,5 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame, key: str, text: str) -> Data
     if partly.isEmpty():
         return whole
     found = marked.join(partly, same(partly)).groupBy("_v_id", "_v_mark").agg(
-        F.max("stay").alias("stay"), F.sort_array(F.collect_list(F.struct(*[marked[c] for c in columns])), asc=False).alias("rows"))
-    return whole.unionByName(found.select(F.explode(F.slice("rows", 1, F.col("stay").cast("int")))).select("col.*"))
+        F.max(F.struct(*[marked[c] for c in columns])).alias("row"))
+    return whole.unionByName(found.select("row.*"))

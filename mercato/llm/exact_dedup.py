@@ -200,18 +200,19 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", bits:
     asked = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     written = stored(recipes(asked, bits), "recipes")
     groups = stored(
-        written.groupBy("recipe", "variants").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        written.groupBy("recipe", "variants").agg(
+            F.max(F.struct("id", "mark")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1"), "groups")
-    # Rows that repeat the key within a group, in whatever case their letters are, take turns: the first may stay.
-    rows = written.groupBy("id", "recipe", "variants").agg(
-        F.sort_array(F.collect_list("mark")).alias("marks"), F.first("text_sha256").alias("text_sha256"))
+    rows = written.groupBy("id", "recipe", "variants", "mark").agg(
+        F.count(F.lit(1)).alias("n"), F.first("text_sha256").alias("text_sha256"))
+    alone = F.struct("id", "mark")
     judged = rows.join(groups, ["recipe", "variants"], "left").select(
-        "id", "text_sha256", "keep_id", F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.posexplode("marks").alias("nth", "mark"))
-    alone = F.col("group_size") == 1
+        "id", "mark", "text_sha256", F.coalesce("keep", alone).alias("keep"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth"))
+    stays = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("mark") == F.col("keep.mark")) & (F.col("nth") == 1)
     return judged.select(
-        F.col("id").alias(key), F.when(alone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), "group_size",
-        ((alone | F.col("id").eqNullSafe(F.col("keep_id"))) & (F.col("nth") == 0)).alias("kept"), "text_sha256", "mark")
+        F.col("id").alias(key), F.col("keep.id").alias("keep_id"), "group_size", stays.alias("kept"), "text_sha256", "mark")
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 64) -> DataFrame:
