@@ -27,7 +27,7 @@ from mercato.llm.shingles import sequence_key, shingles, word_hashes
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORDS, SIMILARITY = 5, 0.8
-TREES, DEPTH, LEAST_DEPTH, RECALL = 32, 8, 4, 0.9999
+TREES, DEPTH, RECALL = 32, 8, 0.9999
 # A block of a component has about so many words and classes; two blocks meet in a task.
 BLOCK_WORDS, BLOCK_CLASSES = 200_000, 750
 RUN = 1 << 18
@@ -73,45 +73,49 @@ def signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # ---------------------------------------------------------------- the forest
 
-def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between neighbours of a sorted partition with the length of their common prefix.
+def neighbours(least: int):
+    """Edges between neighbours of a sorted partition with the length of their common prefix, ``least`` or more.
 
     ``path`` is the tree's number and its values. The ends of the partition come
     as rows without ``b``, to be tied to the ends of the next one.
     """
+
     def ends(path: bytes, cls: bytes) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [pa.array([cls], pa.binary()), pa.array([None], pa.binary()), pa.array([None], pa.int32()), pa.array([path], pa.binary())],
             ["a", "b", "depth", "path"])
 
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        paths, classes = batch.column("path").to_pylist(), batch.column("cls").to_pylist()
-        if last is None:
-            yield ends(paths[0], classes[0])
-        else:
-            paths, classes = [last[0], *paths], [last[1], *classes]
-        raw = np.frombuffer(b"".join(paths), np.uint8).reshape(len(paths), 1 + 2 * DEPTH)
-        same = raw[1:] == raw[:-1]
-        pairs = same[:, 1::2] & same[:, 2::2] & same[:, :1]
-        depth = np.logical_and.accumulate(pairs, axis=1).sum(axis=1)
-        found = [i for i in np.flatnonzero(depth >= LEAST_DEPTH).tolist() if classes[i] != classes[i + 1]]
-        yield pa.RecordBatch.from_arrays([
-            pa.array([min(classes[i], classes[i + 1]) for i in found], pa.binary()),
-            pa.array([max(classes[i], classes[i + 1]) for i in found], pa.binary()),
-            pa.array([int(depth[i]) for i in found], pa.int32()), pa.nulls(len(found), pa.binary()),
-        ], ["a", "b", "depth", "path"])
-        last = paths[-1], classes[-1]
-    if last is not None:
-        yield ends(*last)
-
-
-def forest(classes: DataFrame) -> DataFrame:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            paths, classes = batch.column("path").to_pylist(), batch.column("cls").to_pylist()
+            if last is None:
+                yield ends(paths[0], classes[0])
+            else:
+                paths, classes = [last[0], *paths], [last[1], *classes]
+            raw = np.frombuffer(b"".join(paths), np.uint8).reshape(len(paths), 1 + 2 * DEPTH)
+            same = raw[1:] == raw[:-1]
+            pairs = same[:, 1::2] & same[:, 2::2] & same[:, :1]
+            depth = np.logical_and.accumulate(pairs, axis=1).sum(axis=1)
+            found = [i for i in np.flatnonzero(depth >= least).tolist() if classes[i] != classes[i + 1]]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([min(classes[i], classes[i + 1]) for i in found], pa.binary()),
+                pa.array([max(classes[i], classes[i + 1]) for i in found], pa.binary()),
+                pa.array([int(depth[i]) for i in found], pa.int32()), pa.nulls(len(found), pa.binary()),
+            ], ["a", "b", "depth", "path"])
+            last = paths[-1], classes[-1]
+        if last is not None:
+            yield ends(*last)
+
+    return meet
+
+
+def forest(classes: DataFrame, least: int) -> DataFrame:
     """``(a, b, depth)`` from ``(cls, signature)``: the tries' edges, with the longest prefix they were seen with.
 
-    At most one edge per class and tree. Classes with equal prefixes are
+    Prefixes shorter than ``least`` make no edge. At most one edge per class and tree. Classes with equal prefixes are
     connected by edges of at least that depth, however many there are; as the
     class is part of the order, they may spread over many partitions.
     """
@@ -122,10 +126,10 @@ def forest(classes: DataFrame) -> DataFrame:
     rows = stored(classes.select("cls", F.explode(paths).alias("path")), "paths")
     spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(spread, "path", "cls").sortWithinPartitions("path", "cls")
-    seen = stored(ordered.select("path", "cls").mapInArrow(neighbours, "a binary, b binary, depth int, path binary"), "neighbours", rows=20_000)
+    seen = stored(ordered.select("path", "cls").mapInArrow(neighbours(least), "a binary, b binary, depth int, path binary"), "neighbours", rows=20_000)
     # Two rows per partition: those with a common prefix are tied to the least of them, at every depth.
     tips = seen.where("b IS NULL").select(F.col("a").alias("cls"), "path")
-    deep = tips.select("cls", F.explode(F.sequence(F.lit(LEAST_DEPTH), F.lit(DEPTH))).alias("depth"), "path")
+    deep = tips.select("cls", F.explode(F.sequence(F.lit(least), F.lit(DEPTH))).alias("depth"), "path")
     deep = deep.withColumn("path", F.expr("substring(path, 1, 1 + 2 * depth)"))
     least = deep.groupBy("path", "depth").agg(F.min("cls").alias("a"))
     tied = deep.join(least, ["path", "depth"]).where("a <> cls").select("a", F.col("cls").alias("b"), "depth")
@@ -150,21 +154,25 @@ def compare_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         ], ["similarity", "depth"])
 
 
+def sure_depth(similarity: float, recall: float) -> int:
+    """The longest prefix that even pairs right at the threshold share often enough."""
+    return max((k for k in range(1, DEPTH + 1) if found_at(k, similarity) >= recall), default=1)
+
+
 def enough_depth(edges: DataFrame, classes: DataFrame, similarity: float, recall: float) -> int:
-    """The longest prefix whose expected recall reaches the target.
+    """The longest prefix whose expected recall reaches the target; never shorter than is sure.
 
     Of the pairs seen that are similar by their signatures, those found at a
     depth are held against all that there should be: a pair that is found with
-    probability ``p`` at the least depth stands for ``1 / p`` pairs. Depths at
-    which even pairs right at the threshold are found often enough need no look.
+    probability ``p`` at the least depth stands for ``1 / p`` pairs.
     """
-    sure = max((k for k in range(LEAST_DEPTH, DEPTH + 1) if found_at(k, similarity) >= recall), default=LEAST_DEPTH)
+    sure = sure_depth(similarity, recall)
     x = classes.select(F.col("cls").alias("a"), F.col("signature").alias("x"))
     y = classes.select(F.col("cls").alias("b"), F.col("signature").alias("y"))
     pairs = stored(
         edges.join(x, "a").join(y, "b").select("x", "y").mapInArrow(compare_signatures, "similarity double, depth int"), "pairs")
     near = pairs.where(F.col("similarity") >= similarity)
-    p = 1 - F.pow(1 - F.pow("similarity", F.lit(LEAST_DEPTH)), F.lit(TREES))
+    p = 1 - F.pow(1 - F.pow("similarity", F.lit(sure)), F.lit(TREES))
     found = [F.sum((F.col("depth") >= k).cast("double")).alias(f"d{k}") for k in range(sure, DEPTH + 1)]
     got = near.agg(F.sum(1 / p).alias("all"), *found).first()
     if not got["all"]:
@@ -330,7 +338,7 @@ def similar_texts(
     classes = stored(
         signed.where("n_words > 0").groupBy("cls").agg(
             first, F.count(F.lit(1)).alias("n_docs"), F.first("n_words").alias("n_words"), F.first("signature").alias("signature")), "classes")
-    edges = forest(classes.select("cls", "signature"))
+    edges = forest(classes.select("cls", "signature"), sure_depth(similarity, recall))
     depth = enough_depth(edges, classes, similarity, recall)
     comps = components(edges.where(F.col("depth") >= depth).select("a", "b"))
     members = classes.join(comps.select(F.col("node").alias("cls"), F.col("label").alias("comp")), "cls").select(

@@ -128,6 +128,7 @@ def test_signatures_estimate_similarity():
 
 def test_expected_recall():
     assert op.found_at(6, 0.8) > 0.9999 > op.found_at(7, 0.8)
+    assert (op.sure_depth(0.8, 0.9999), op.sure_depth(0.5, 0.999), op.sure_depth(0.95, 0.99)) == (6, 2, 8)
 
 
 @pytest.mark.parametrize("seed", range(3))
