@@ -132,15 +132,16 @@ def latest_run(spark, d):
 
 
 def collection(spark, d):
-    return table(spark, d, "embeddings").join(
-        table(spark, d, "documents"), F.col("vec_id") == F.col("doc_id")
+    """Every document, with its vector where there is one."""
+    return table(spark, d, "documents").join(
+        table(spark, d, "embeddings"), F.col("vec_id") == F.col("doc_id"), "left"
     ).select(
         F.concat(F.lit("policy_chunk_"), F.col("doc_id").cast("string")).alias("id"),
         "embedding", "text", F.struct("source", F.col("lang").alias("header")).alias("metadata"),
     )
 
 
-COLLECTION_SQL = "FROM embeddings JOIN documents ON vec_id = doc_id"
+COLLECTION_SQL = "FROM documents LEFT JOIN embeddings ON vec_id = doc_id"
 
 
 @query("sink_vectors", f"SELECT 'policy_chunk_' || doc_id AS id, text, source, lang AS header, len(embedding)::INTEGER AS dims {COLLECTION_SQL}")
@@ -151,7 +152,7 @@ def sink_vectors(spark, d):
     vectors.recreate_collection(rows.where(F.col("metadata.header") != "en"), path)
     vectors.add_to_collection(rows, path)
     return vectors.read_collection(spark, path).select(
-        "id", "text", "metadata.source", "metadata.header", F.size("embedding").alias("dims")
+        "id", "text", "metadata.source", "metadata.header", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dims")
     )
 
 
