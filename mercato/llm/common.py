@@ -9,7 +9,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.sources.files import materialize
+from mercato.session import scratch_path
+from mercato.sources.files import write_table
 
 # A word is a run of characters other than these six.
 BLANKS = " \t\n\x0b\f\r"
@@ -67,8 +68,20 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
 
 def stored(df: DataFrame, purpose: str, rows: int = BATCH_ROWS) -> DataFrame:
     """Written once to the shared folder and read back. Python functions in ``df`` get small batches."""
-    with small_batches(df.sparkSession, rows):
-        return materialize(df, f"llm-{purpose}")
+    spark = df.sparkSession
+    path = scratch_path(spark, f"llm-{purpose}")
+    with small_batches(spark, rows):
+        write_table(df, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` returned, once everything that reads them has been written itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def runs(rows: Iterator, key) -> Iterator[tuple[object, list]]:

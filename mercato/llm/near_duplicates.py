@@ -20,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import keep_rows, stored
+from mercato.llm.common import discard, keep_rows, stored
 from mercato.llm.components import components
 from mercato.llm.shingles import sequence_key, shingles, word_hashes
 
@@ -127,6 +127,7 @@ def forest(classes: DataFrame, least: int) -> DataFrame:
     spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(spread, "path", "cls").sortWithinPartitions("path", "cls")
     seen = stored(ordered.select("path", "cls").mapInArrow(neighbours(least), "a binary, b binary, depth int, path binary"), "neighbours", rows=20_000)
+    discard(rows)
     # Two rows per partition: those with a common prefix are tied to the least of them, at every depth.
     tips = seen.where("b IS NULL").select(F.col("a").alias("cls"), "path")
     deep = tips.select("cls", F.explode(F.sequence(F.lit(least), F.lit(DEPTH))).alias("depth"), "path")
@@ -134,7 +135,9 @@ def forest(classes: DataFrame, least: int) -> DataFrame:
     least = deep.groupBy("path", "depth").agg(F.min("cls").alias("a"))
     tied = deep.join(least, ["path", "depth"]).where("a <> cls").select("a", F.col("cls").alias("b"), "depth")
     every = seen.where("b IS NOT NULL").select("a", "b", "depth").unionByName(tied)
-    return stored(every.groupBy("a", "b").agg(F.max("depth").alias("depth")), "forest")
+    edges = stored(every.groupBy("a", "b").agg(F.max("depth").alias("depth")), "forest")
+    discard(seen)
+    return edges
 
 
 def found_at(depth: int, similarity):
@@ -311,7 +314,9 @@ def verified(members: DataFrame, docs: DataFrame, similarity: float) -> DataFram
         "cls", "n_docs", "block", "shingles",
         F.concat_ws("|", F.hex("comp"), F.least("block", "other"), F.greatest("block", "other")).alias("grp"))
     grouped = dealt.repartition("grp").sortWithinPartitions("grp")
-    return stored(grouped.mapInArrow(verifier(similarity), "cls binary, other binary, docs long, texts long"), "links")
+    links = stored(grouped.mapInArrow(verifier(similarity), "cls binary, other binary, docs long, texts long"), "links")
+    discard(sizes, placed, sets)
+    return links
 
 
 # ---------------------------------------------------------------- the join
@@ -355,6 +360,7 @@ def similar_texts(
         known.join(firsts, "grp").select(
             F.col("cls").alias("_cls"), "head", (F.col("n_docs") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"),
             F.coalesce("texts", F.lit(0)).alias("n_texts")), "known")
+    discard(classes, edges, links)
     rows = signed.select("id", "mark", "cls").join(known, F.col("cls") == F.col("_cls"), "left")
     counted = rows.groupBy("id", "mark").agg(
         F.count(F.lit(1)).alias("n"), F.first("head").alias("head"), F.first("n_links").alias("n_links"), F.first("n_texts").alias("n_texts"))
