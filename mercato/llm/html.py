@@ -50,6 +50,7 @@ TOKEN = re.compile(
     re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
 WORDS = re.compile(r"[a-z0-9]+")
+LETTERS = re.compile(r"[^\W\d_]+")
 DEPTH = 150
 
 
@@ -288,23 +289,37 @@ class References:
         return self.kept[host]
 
 
+def alike(a: str, b: str) -> bool:
+    """Whether half of the words of two texts are the same; numbers are no words."""
+    x, y = Counter(LETTERS.findall(a)), Counter(LETTERS.findall(b))
+    return 2 * (x & y).total() >= max(x.total(), y.total())
+
+
+def copied(reference: Reference, found: list[tuple[int, Node]], page: Node) -> bool:
+    """Whether a page says nothing of its own: all its leaves are matched with alike ones, and all of the reference's."""
+    if not all(n.text == reference.texts[i] or alike(n.text, reference.texts[i]) for i, n in found):
+        return False
+    own, other = {i for i, _ in found}, {id(n) for _, n in found}
+    rest = [t for i, t in enumerate(reference.texts) if i not in own] + [n.text for n in body(page) if id(n) not in other]
+    return not any(map(LETTERS.search, rest))
+
+
 def count_constant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(host, leaf, pages, same)``: pages with that slot, and those with the reference's text in it.
 
-    A page that repeats half of the reference's text or more tells nothing
-    about the template, for it may be a copy.
+    Copies of the reference tell nothing about the template. They are known by
+    what differs, never by how much is equal.
     """
     references = References()
     for batch in batches:
         pages, same = Counter(), Counter()
         for host, page, model in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference"))):
-            reference = references.get(host, model)
-            texts, found = reference.texts, reference.aligned(parse(page))
-            equal = [i for i, n in found if n.text == texts[i]]
-            if 2 * sum(len(texts[i]) for i in equal) >= sum(map(len, texts)):
+            reference, root = references.get(host, model), parse(page)
+            found = reference.aligned(root)
+            if copied(reference, found, root):
                 continue
             pages.update((host, i) for i, _ in found)
-            same.update((host, i) for i in equal)
+            same.update((host, i) for i, n in found if n.text == reference.texts[i])
         keys = list(pages)
         yield pa.RecordBatch.from_arrays([
             pa.array([h for h, _ in keys], pa.string()), pa.array([i for _, i in keys], pa.int32()),

@@ -92,6 +92,30 @@ def test_copies_are_no_template(spark):
     assert {r["text"] for r in got} == {"Same text of all copies"}
 
 
+def texts_of(spark, pages):
+    rows = [(i, u, p, "", 0) for i, (u, p) in enumerate(pages)]
+    found = {r["page_id"]: r["text"] for r in op.extract(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    return [found[i] for i in range(len(rows))]
+
+
+def varied(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n))
+
+
+def test_long_boilerplate_is_template(spark):
+    rng = random.Random(5)
+    legal, teasers, stories = varied(rng, 80), varied(rng, 60), [varied(rng, rng.randint(2, 9)) for _ in range(20)]
+    pages = [(f"http://long.org/{i}", f"<div><p>{legal}</p></div><div><p>{s}</p></div><div><p>{teasers}</p></div>") for i, s in enumerate(stories)]
+    assert texts_of(spark, pages) == stories
+
+
+def test_near_copies_are_no_template(spark):
+    rng = random.Random(6)
+    lead, story = varied(rng, 30).split(), varied(rng, 60)
+    pages = [(f"http://near.org/{i}", f"<p>{' '.join([*lead[:i], 'other', *lead[i + 1:]])}</p><p>{story}</p><p>{i} 7</p>") for i in range(20)]
+    assert all(story in t for t in texts_of(spark, pages))
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "<p>x", None, None), (None, "http://h/1", None, "", 0), (2, "no host", "", "", 0), (1, None, "<p>x", None, None)]
     got = op.extract(spark.createDataFrame(rows, SCHEMA))
