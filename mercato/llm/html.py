@@ -1,8 +1,8 @@
 """Main text of pages by wrapper induction.
 
-Pages of a host are made from one template. One page per host is the
-reference; every other page's DOM tree is aligned with it by simple tree
-matching. Reference nodes whose text comes back on nearly all pages are
+Pages of a host are made from few templates. One page per host, and one per
+layout of a host that has several, is the reference; every other page's DOM
+tree is aligned with it by simple tree matching. Reference nodes whose text comes back on nearly all pages are
 template, the rest are slots whose varying text is content. What a page says
 about itself (menus, forms, adverts, comments by tag, role or class) is left
 out first.
@@ -10,6 +10,7 @@ out first.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import sys
@@ -327,63 +328,125 @@ def count_constant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         ], ["host", "leaf", "pages", "same"])
 
 
-def main_text(page: str | None, reference: Reference | None = None, template: frozenset[int] = frozenset()) -> str:
-    """Text of a page; leaves that match the host's template go, unless nothing would be left."""
+def main_text(page: str | None, *known: tuple[Reference, frozenset[int]]) -> str:
+    """Text of a page; leaves that match a template of its host or layout go, unless nothing would be left."""
     root = parse(page or "")
     kept = body(root)
-    if reference is not None:
-        gone = {id(n) for i, n in reference.aligned(root) if i in template and n.text == reference.texts[i]}
-        kept = [n for n in kept if id(n) not in gone] or kept
-    return " ".join(n.text for n in kept)
+    gone = {id(n) for reference, template in known for i, n in reference.aligned(root) if i in template and n.text == reference.texts[i]}
+    return " ".join(n.text for n in [n for n in kept if id(n) not in gone] or kept)
 
 
 def extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    references = References()
+    references = {kind: References() for kind in KINDS}
     for batch in batches:
         texts = []
-        for host, page, model, template in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference", "template"))):
-            texts.append(main_text(page, references.get(host, model), frozenset(template)) if model is not None else main_text(page))
+        models = [batch.column(c).to_pylist() for kind in KINDS for c in (kind, f"{kind}_reference", f"{kind}_template")]
+        for page, *row in zip(batch.column("html").to_pylist(), *models):
+            parts = zip(KINDS, row[::3], row[1::3], row[2::3])
+            known = [(references[kind].get(name, model), frozenset(template)) for kind, name, model, template in parts if model is not None]
+            texts.append(main_text(page, *known))
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             ["id", "url", "text", "n_chars"])
 
 
+def layout(root: Node) -> int | None:
+    """A number that pages of one layout share; None for a page without text.
+
+    It names the elements around the text, as far as they have a class or stand
+    at the top of the page: those of an article rarely do.
+    """
+    wanted, paths = {id(n) for n in body(root)}, set()
+
+    def walk(node: Node, path: tuple[str, ...], top: bool) -> bool:
+        if node.tag == "#text":
+            return id(node) in wanted
+        telling = top or not node.label.endswith(".")
+        inner = (*path, node.label) if telling else path
+        found = [walk(kid, inner, top and node.tag in ("#root", "html", "body")) for kid in node.kids if not node.aside]
+        if any(found) and telling:
+            paths.add(inner)
+        return any(found)
+
+    if not walk(root, (), True):
+        return None
+    return int.from_bytes(hashlib.blake2b(repr(sorted(paths)).encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def add_layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        numbers = [None if page is None else layout(parse(page)) for page in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], [*batch.schema.names, "number"])
+
+
+def laid_out(pages: DataFrame) -> DataFrame:
+    """``pages`` with the name of each page's ``layout`` within its host, NULL for pages without text or host."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
+    numbered = pages.mapInArrow(add_layout, f"{kinds}, number long")
+    name = F.when((F.col("host") != "") & F.col("number").isNotNull(), F.concat_ws(" ", "number", "host"))
+    return numbered.withColumn("layout", name).drop("number")
+
+
+KINDS = ("host", "layout")
 LEAST_PAGES, LEAST_SHARE = 8, 0.8
 # References this long are taken only where a host has no shorter page.
 REFERENCE_CHARS = 65_536
 
 
-def wrappers(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """``(host, reference, template)`` of hosts that have a template: its leaves by number. One row per host.
+def wrappers(pages: DataFrame, chosen: DataFrame, models: DataFrame, kind: str, least_pages: int, least_share: float) -> DataFrame:
+    """``(kind, kind_reference, kind_template)`` of hosts or layouts that have a template: its leaves by number. One row each.
 
-    ``pages`` has ``host, html``. All pages of a host count. Counts are summed
-    in the tasks, so a host with a third of all pages is a few rows each.
+    ``pages`` has ``html`` and the column named ``kind``. All pages of a host
+    or layout count. Counts are summed in the tasks, so a host with a third of
+    all pages is a few rows each.
     """
-    asked = pages.where("host <> '' AND html IS NOT NULL")
-    rank = F.struct((F.length("html") > REFERENCE_CHARS).alias("long"), F.xxhash64("html").alias("mark"))
-    chosen = stored(asked.groupBy("host").agg(F.min(rank).alias("best")).select("host", F.col("best.mark").alias("mark")), "chosen")
-    marked = asked.withColumn("mark", F.xxhash64("html"))
-    references = stored(
-        marked.join(chosen, ["host", "mark"], "left_semi").dropDuplicates(["host", "mark"]).select(
-            "host", F.col("html").alias("reference")), "references")
+    references = stored(chosen.join(models, ["home", "mark"]).select(F.col("name").alias("host"), "reference"), f"references-{kind}")
+    asked = pages.select(F.col(kind).alias("host"), "html")
     counts = asked.join(references, "host").mapInArrow(count_constant, "host string, leaf int, pages long, same long")
     total = counts.groupBy("host", "leaf").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
     constant = total.where((F.col("pages") >= least_pages) & (F.col("same") >= F.col("pages") * least_share))
-    lists = stored(constant.groupBy("host").agg(F.collect_list("leaf").alias("template")), "templates")
-    return stored(references.join(lists, "host"), "wrappers")
+    lists = stored(constant.groupBy("host").agg(F.collect_list("leaf").alias("template")), f"templates-{kind}")
+    found = references.join(lists, "host").select(
+        F.col("host").alias(kind), F.col("reference").alias(f"{kind}_reference"), F.col("template").alias(f"{kind}_template"))
+    return stored(found, f"wrappers-{kind}")
+
+
+def choose(seen: DataFrame, kind: str, least_pages: int) -> DataFrame:
+    """``(home, name, mark)``: the reference of each host or layout that has more than ``least_pages`` different pages."""
+    groups = seen.groupBy("home", F.col(kind).alias("name")).agg(F.min(F.struct("long", "mark")).alias("best"), F.count(F.lit(1)).alias("n"))
+    return groups.where(F.col("n") > least_pages).select("home", "name", F.col("best.mark").alias("mark"))
 
 
-def extract(pages: DataFrame, **options) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """One row per page: ``(page_id, url, text, n_chars)``.
 
     Blocks are in page order, joined by one space. NULL and empty html give an
     empty text. Pages without a host, and hosts with too few pages to tell, are
-    read without a template. Equal and repeated pages have equal texts, one row
-    each. Other columns are ignored; an empty table gives an empty table.
+    read without a template. On a host with several layouts, each layout of
+    enough pages has a wrapper of its own besides the host's. Equal and
+    repeated pages have equal texts, one row each. Other columns are ignored;
+    an empty table gives an empty table.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
     host, _ = split_url(F.col("url"))
     rows = pages.select(F.col("page_id").alias("id"), "url", host.alias("host"), "html")
-    known = wrappers(rows.select("host", "html"), **options)
-    read = rows.join(known, "host", "left").mapInArrow(extractor, f"id {kind}, url string, text string, n_chars long")
+    marked = rows.where("host <> '' AND html IS NOT NULL").select("host", "html", F.xxhash64("html").alias("mark"))
+    named = laid_out(marked.withColumn("long", F.length("html") > REFERENCE_CHARS)).where("layout IS NOT NULL")
+    seen = stored(named.select(F.col("host").alias("home"), "host", "layout", "mark", "long").distinct(), "seen")
+    several = seen.select("home", "layout").distinct().groupBy("home").count().where("count > 1").select("home")
+    by_host = stored(choose(seen, "host", least_pages), "chosen")
+    by_layout = stored(choose(seen.join(several, "home", "left_semi"), "layout", least_pages), "chosen-layouts")
+    wanted = by_host.select("home", "mark").unionByName(by_layout.select("home", "mark"))
+    models = marked.withColumnRenamed("host", "home").join(wanted, ["home", "mark"], "left_semi").dropDuplicates(["home", "mark"])
+    models = stored(models.select("home", "mark", F.col("html").alias("reference")), "models")
+    rows = rows.join(wrappers(marked, by_host, models, "host", least_pages, least_share), "host", "left")
+    if by_layout.isEmpty():
+        missing = {"layout": "string", "layout_reference": "string", "layout_template": "array<int>"}
+        rows = rows.withColumns({name: F.lit(None).cast(t) for name, t in missing.items()})
+    else:
+        # Only hosts with several layouts are read again.
+        again = laid_out(marked.join(by_layout.select(F.col("home").alias("host")).distinct(), "host", "left_semi"))
+        known = wrappers(again, by_layout, models, "layout", least_pages, least_share)
+        rows = laid_out(rows).join(known, "layout", "left")
+    read = rows.mapInArrow(extractor, f"id {kind}, url string, text string, n_chars long")
     return stored(read, "texts").withColumnRenamed("id", "page_id")

@@ -116,6 +116,24 @@ def test_near_copies_are_no_template(spark):
     assert all(story in t for t in texts_of(spark, pages))
 
 
+def test_each_layout_has_a_template(spark):
+    rng = random.Random(7)
+    stories = [[varied(rng, rng.randint(5, 20)) for _ in range(rng.randint(1, 4))] for _ in range(60)]
+    tops, ends = [varied(rng, 6) for _ in range(3)], [varied(rng, 12) for _ in range(3)]
+    pages = []
+    for i, story in enumerate(stories):
+        k, inner = i % 3, "".join(f"<p>{p}</p>" for p in story)
+        pages.append((f"http://mixed.org/{i}", f"<body><div class=top{k}><p>{tops[k]}</p></div><div class=in{k}>{inner}</div><section><i>{ends[k]}</i></section>"))
+    assert texts_of(spark, pages) == [" ".join(s) for s in stories]
+
+
+def test_empty_pages_are_no_reference(spark):
+    pages = [(u, p) for u, p, _ in site(20, "gaps.org", 8)]
+    blank = ["", " ", "<p></p>", "<body><nav>menu</nav></body>", "<!-- -->", "\n", "<br>", "<div> </div>"] + [f"<i id={i}></i>" for i in range(60)]
+    found = texts_of(spark, [(f"http://gaps.org/blank{i}", p) for i, p in enumerate(blank)] + [(u.replace("https", "http"), p) for u, p in pages])
+    assert found == [op.main_text(p) for p in blank] + [t for *_, t in site(20, "gaps.org", 8)]
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "<p>x", None, None), (None, "http://h/1", None, "", 0), (2, "no host", "", "", 0), (1, None, "<p>x", None, None)]
     got = op.extract(spark.createDataFrame(rows, SCHEMA))
