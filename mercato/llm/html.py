@@ -305,27 +305,42 @@ def copied(reference: Reference, found: list[tuple[int, Node]], page: Node) -> b
     return not any(map(LETTERS.search, rest))
 
 
-def count_constant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(host, leaf, pages, same)``: pages with that slot, and those with the reference's text in it.
+def words_mark(root: Node) -> int:
+    """A number that pages with equal words share; numbers are no words."""
+    words = " ".join(LETTERS.findall(" ".join(n.text for n in body(root))))
+    return int.from_bytes(hashlib.blake2b(words.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def constant_counter(least: int):
+    """``(host, leaf, pages, same, marks)``: pages with that slot, those with the reference's text in it, marks of the former.
 
     Copies of the reference tell nothing about the template. They are known by
-    what differs, never by how much is equal.
+    what differs, never by how much is equal. The least ``least`` marks tell
+    whether there are so many pages that are no copies of each other.
     """
-    references = References()
-    for batch in batches:
-        pages, same = Counter(), Counter()
-        for host, page, model in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference"))):
-            reference, root = references.get(host, model), parse(page)
-            found = reference.aligned(root)
-            if copied(reference, found, root):
-                continue
-            pages.update((host, i) for i, _ in found)
-            same.update((host, i) for i, n in found if n.text == reference.texts[i])
-        keys = list(pages)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([h for h, _ in keys], pa.string()), pa.array([i for _, i in keys], pa.int32()),
-            pa.array([pages[k] for k in keys], pa.int64()), pa.array([same[k] for k in keys], pa.int64()),
-        ], ["host", "leaf", "pages", "same"])
+
+    def count_constant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        references = References()
+        for batch in batches:
+            pages, same, marks = Counter(), Counter(), {}
+            for host, page, model in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "reference"))):
+                reference, root = references.get(host, model), parse(page)
+                found = reference.aligned(root)
+                if copied(reference, found, root):
+                    continue
+                pages.update((host, i) for i, _ in found)
+                same.update((host, i) for i, n in found if n.text == reference.texts[i])
+                mark = words_mark(root)
+                for i, _ in found:
+                    marks[host, i] = sorted({mark, *marks.get((host, i), ())})[:least]
+            keys = list(pages)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([h for h, _ in keys], pa.string()), pa.array([i for _, i in keys], pa.int32()),
+                pa.array([pages[k] for k in keys], pa.int64()), pa.array([same[k] for k in keys], pa.int64()),
+                pa.array([marks[k] for k in keys], pa.list_(pa.int64())),
+            ], ["host", "leaf", "pages", "same", "marks"])
+
+    return count_constant
 
 
 def main_text(page: str | None, *known: tuple[Reference, frozenset[int]]) -> str:
@@ -388,7 +403,8 @@ def laid_out(pages: DataFrame) -> DataFrame:
 
 
 KINDS = ("host", "layout")
-LEAST_PAGES, LEAST_SHARE = 8, 0.8
+# So many different pages beside the reference make a template; three pages in all may be one text and its versions.
+LEAST_PAGES, LEAST_SHARE = 3, 0.8
 # References this long are taken only where a host has no shorter page.
 REFERENCE_CHARS = 65_536
 
@@ -402,9 +418,10 @@ def wrappers(pages: DataFrame, chosen: DataFrame, models: DataFrame, kind: str,
     """
     references = stored(chosen.join(models, ["home", "mark"]).select(F.col("name").alias("host"), "reference"), f"references-{kind}")
     asked = pages.select(F.col(kind).alias("host"), "html")
-    counts = asked.join(references, "host").mapInArrow(count_constant, "host string, leaf int, pages long, same long")
-    total = counts.groupBy("host", "leaf").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    constant = total.where((F.col("pages") >= least_pages) & (F.col("same") >= F.col("pages") * least_share))
+    counts = asked.join(references, "host").mapInArrow(constant_counter(least_pages), "host string, leaf int, pages long, same long, marks array<long>")
+    different = F.size(F.array_distinct(F.flatten(F.collect_list("marks"))))
+    total = counts.groupBy("host", "leaf").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"), different.alias("different"))
+    constant = total.where((F.col("different") >= least_pages) & (F.col("same") >= F.col("pages") * least_share))
     lists = stored(constant.groupBy("host").agg(F.collect_list("leaf").alias("template")), f"templates-{kind}")
     found = references.join(lists, "host").select(
         F.col("host").alias(kind), F.col("reference").alias(f"{kind}_reference"), F.col("template").alias(f"{kind}_template"))

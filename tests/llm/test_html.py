@@ -134,6 +134,13 @@ def test_empty_pages_are_no_reference(spark):
     assert found == [op.main_text(p) for p in blank] + [t for *_, t in site(20, "gaps.org", 8)]
 
 
+def test_small_hosts_have_templates(spark):
+    small, copies = site(4, "small.org", 9), site(3, "twice.org", 10)
+    again = [(f"{u}?{k}", p, t) for u, p, t in copies for k in range(9)]
+    found = texts_of(spark, [(u, p) for u, p, _ in small + again])
+    assert found == [t for *_, t in small] + [op.main_text(p) for _, p, _ in again]
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "<p>x", None, None), (None, "http://h/1", None, "", 0), (2, "no host", "", "", 0), (1, None, "<p>x", None, None)]
     got = op.extract(spark.createDataFrame(rows, SCHEMA))
