@@ -1,7 +1,8 @@
 """URL filters by rules, and by trust that spreads over links between hosts.
 
 Hosts whose pages a rule allows are trusted, hosts whose pages a rule blocks
-are distrusted, each by the share of their pages. Trust follows links (a page
+are distrusted, each by the share of their pages; of a host without pages, the
+targets of the links to it count instead. Trust follows links (a page
 vouches for what it links to), distrust follows them backwards (who links to
 bad hosts is suspect). Both are personalised PageRanks over the host graph. A
 host is blocked when its distrust exceeds its trust by the threshold.
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from mercato.llm.common import stored
 
 DAMPING, STEPS, ENOUGH = 0.85, 40, 1e-6
-# Host of an absolute link, with or without a scheme.
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
+# Host and path of an absolute link, with or without a scheme.
+LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+(?:/[^?#"'\s>]*)?)"""
 
 
 def lower_ascii(text: Column) -> Column:
@@ -42,13 +43,32 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
     return found
 
 
+def target_host(target: Column) -> Column:
+    return lower_ascii(F.regexp_extract(target, "^[^/]*", 0))
+
+
 def host_links(pages: DataFrame) -> DataFrame:
     """``(src, dst, n)``: pages of ``src`` that link to ``dst``. Pages of a hot host are counted on the map side."""
     found = pages.select("host", F.explode(F.array_distinct(F.transform(
-        F.regexp_extract_all("html", F.lit(LINK), 1), lower_ascii))).alias("dst"))
+        F.regexp_extract_all("html", F.lit(LINK), 1), target_host))).alias("dst"))
     return found.where("host <> '' AND dst <> host").groupBy(F.col("host").alias("src"), "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
+def target_seeds(pages: DataFrame, hosts: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """``(host, n, trust, distrust)`` of linked hosts that are not in ``hosts``: different targets, and those that rules allow and block."""
+    found = pages.where("host <> ''").select("host", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), 1))).alias("target"))
+    found = found.select(F.col("host").alias("src"), target_host(F.col("target")).alias("host"), F.regexp_extract("target", "^[^/]*(.*)", 1).alias("path"))
+    targets = found.where("src <> host").select("host", "path").distinct().join(hosts.select("host"), "host", "left_anti")
+    return counted(targets.withColumn("verdict", matched_rule(F.col("host"), F.col("path"), rules)["verdict"]))
+
+
+def counted(pages: DataFrame) -> DataFrame:
+    """``(host, n, trust, distrust)``: pages of each host, and those that rules allow and block."""
+    return pages.where("host <> ''").groupBy("host").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("verdict") == "allow").cast("int")).alias("trust"),
+        F.sum((F.col("verdict") == "block").cast("int")).alias("distrust"))
+
+
 def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, steps: int = STEPS, enough: float = ENOUGH) -> DataFrame:
     """``(kind, host, score)`` from ``seeds (kind, host, seed)`` and ``links (src, dst, n)``.
 
@@ -75,13 +95,12 @@ def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, steps:
     return scores
 
 
-def host_verdicts(pages: DataFrame, threshold: float = 1.0) -> DataFrame:
-    """``(host, trust, distrust, blocked)`` from ``pages (host, html, verdict)``, verdicts being those of rules."""
-    counted = pages.where("host <> ''").groupBy("host").agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("verdict") == "allow").cast("int")).alias("trust"),
-        F.sum((F.col("verdict") == "block").cast("int")).alias("distrust"))
+def host_verdicts(pages: DataFrame, rules: list[tuple[str, str]], threshold: float = 1.0) -> DataFrame:
+    """``(host, trust, distrust, blocked)`` from ``pages (host, html, verdict)``, verdicts being those of ``rules``."""
+    hosts = stored(counted(pages), "hosts")
+    known = hosts.unionByName(target_seeds(pages, hosts, rules))
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), (F.coalesce(k, F.lit(0)) / F.col("n")).alias("seed")) for k in ("trust", "distrust")])
-    seeds = counted.select("host", F.inline(kinds)).where("seed > 0")
+    seeds = known.select("host", F.inline(kinds)).where("seed > 0")
     scores = spread(seeds, host_links(pages))
     sums = [F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")]
     return scores.groupBy("host").agg(*sums).withColumn("blocked", F.col("distrust") > F.col("trust") * threshold)
@@ -100,6 +119,6 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], threshold: float
     rows = rows.withColumn("found", matched_rule(F.col("host"), F.col("path"), rules))
     rows = rows.select("page_id", "host", "path", "html", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("verdict"))
     # Only blocked hosts are looked up, one row each.
-    blocked = stored(host_verdicts(rows, threshold).where("blocked").select("host", F.lit("block").alias("by_links")), "blocked")
+    blocked = stored(host_verdicts(rows, rules, threshold).where("blocked").select("host", F.lit("block").alias("by_links")), "blocked")
     return rows.drop("html").join(blocked, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", "by_links", F.lit("allow")).alias("verdict"))

@@ -101,6 +101,14 @@ def test_scores(spark):
     assert found["distrust", "b"] > 0
 
 
+def test_linked_hosts_without_pages_are_seeds(spark):
+    links = {"x.net": ["http://Bad.com/de/1?q", "//bad.com/de/2#a"], "y.net": ["https://bad.com/none"], "z.net": ["http://good.com/fr/1"], "w.net": ["http://x.net/"]}
+    html = lambda ts: "".join(f"<a href='{t}'>t</a>" for t in ts)
+    rows = [(i, f"http://{h}/{i}", html(ts), 0, "") for i, (h, ts) in enumerate(links.items())] + [(9, "http://far.net/", "", 0, "")]
+    found = {r["host"]: r["verdict"] for r in op.judge_urls(spark.createDataFrame(rows, SCHEMA), URL_RULES).collect()}
+    assert found == {"x.net": "block", "y.net": "block", "z.net": "allow", "w.net": "block", "far.net": "allow"}
+
+
 def test_odd_urls(spark):
     urls = [None, "", "no scheme", "http://", "http://H?x/y", "ftp://Ä.Org/en", "a://b://c/d", "http://org/", "http://notorg/", "x://example.org/en/12"]
     rows = [(i, u, None, 0, "") for i, u in enumerate(urls)] + [(0, None, "x", 0, None), (None, "http://z.net/a", "", None, None)]
