@@ -223,12 +223,12 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return np.maximum(common, common.T)
 
 
-def linked(sets: list[np.ndarray], blocks: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs ``(i, j)`` with a Jaccard similarity of ``similarity`` or more; of two blocks only pairs across."""
+def linked(sets: list[np.ndarray], blocks: np.ndarray, across: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs ``(i, j)`` with a Jaccard similarity of ``similarity`` or more; with ``across`` only those of two blocks."""
     sizes = np.array([len(s) for s in sets], np.float64)
     common = intersections(sets)
     near = common * (1 + similarity) >= similarity * (sizes[:, None] + sizes[None, :]) - 1e-6
-    if blocks.min() != blocks.max():
+    if across:
         near &= blocks[:, None] != blocks[None, :]
     return np.nonzero(np.triu(near, 1))
 
@@ -255,13 +255,13 @@ def verifier(similarity: float):
     """Sorted rows of groups to ``(cls, other, docs, texts)``: links of each class in the group, and a spanning edge."""
 
     def send(group: list[tuple]) -> pa.RecordBatch | None:
-        seen = {cls: (docs, block, found) for _, cls, docs, block, found in group}
+        seen = {cls: (docs, block, found) for _, cls, docs, block, found, _ in group}
         classes = list(seen)
         if len(classes) < 2:
             return None
         weights = np.array([seen[c][0] for c in classes], np.int64)
         blocks = np.array([seen[c][1] for c in classes], np.int64)
-        i, j = linked([np.frombuffer(seen[c][2], np.uint64) for c in classes], blocks, similarity)
+        i, j = linked([np.frombuffer(seen[c][2], np.uint64) for c in classes], blocks, group[0][5], similarity)
         if not len(i):
             return None
         texts = np.bincount(i, minlength=len(classes)) + np.bincount(j, minlength=len(classes))
@@ -278,7 +278,7 @@ def verifier(similarity: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("grp", "cls", "n_docs", "block", "shingles")]
+            columns = [batch.column(c).to_pylist() for c in ("grp", "cls", "n_docs", "block", "shingles", "across")]
             for row in zip(*columns):
                 if row[0] != key and group:
                     if (out := send(group)) is not None:
@@ -311,7 +311,7 @@ def verified(members: DataFrame, docs: DataFrame, similarity: float) -> DataFram
             shingle_sets, "comp binary, cls binary, n_docs long, block int, blocks int, shingles binary"), "sets")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = sets.select("*", other).select(
-        "cls", "n_docs", "block", "shingles",
+        "cls", "n_docs", "block", "shingles", (F.col("block") != F.col("other")).alias("across"),
         F.concat_ws("|", F.hex("comp"), F.least("block", "other"), F.greatest("block", "other")).alias("grp"))
     grouped = dealt.repartition("grp").sortWithinPartitions("grp")
     links = stored(grouped.mapInArrow(verifier(similarity), "cls binary, other binary, docs long, texts long"), "links")

@@ -85,6 +85,19 @@ def test_links_and_classes(spark, seed, monkeypatch):
     assert sorted(((r["doc_id"], r["class_id"], r["n_links"], r["n_texts"]) for r in found), key=repr) == brute(rows)
 
 
+def test_empty_blocks_count_nothing_twice(spark, monkeypatch):
+    # Three or four texts in as many blocks or more: some blocks are empty.
+    monkeypatch.setattr(op, "BLOCK_WORDS", 60)
+    rng = random.Random(4)
+    rows = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for k in range(rng.randint(2, 4)):
+            rows.append((len(rows), " ".join([*base[:k], "x", *base[k + 1:]]), "", "", 0))
+    found = op.similar_texts(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"], r["n_texts"]) for r in found), key=repr) == brute(rows)
+
+
 def test_one_of_each_class_stays(spark):
     rows = corpus(3, 20)
     rows += [rows[0], rows[0], rows[1]]
