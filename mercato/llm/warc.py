@@ -146,9 +146,10 @@ def parse_record(data: bytes, at: int) -> Record:
         raise Bad("headers without end")
     headers: dict[str, str] = {}
     last = None
-    for line in data[version.end() : blank.start()].decode("utf-8", "replace").splitlines():
+    for raw in re.split(rb"\r?\n", data[version.end() : blank.start()]):
+        line = raw.decode("utf-8", "replace")
         if line[:1] in " \t" and last:
-            headers[last] += " " + line.strip()
+            headers[last] += " " + line.strip(" \t\r")
             continue
         name, colon, value = line.partition(":")
         if not colon or not name.strip():
@@ -157,7 +158,7 @@ def parse_record(data: bytes, at: int) -> Record:
         if last in headers and last != "warc-concurrent-to":
             # Two headers that ran into each other.
             raise Bad("repeated header")
-        headers[last] = value.strip()
+        headers[last] = value.strip(" \t\r")
     if not {"warc-type", "warc-record-id", "content-length"} <= headers.keys():
         raise Bad("missing header")
     if not re.fullmatch(r"\d{1,18}", headers["content-length"]):
@@ -296,10 +297,14 @@ def round_trip(pages: DataFrame) -> DataFrame:
     ``(page_id, payload_bytes, payload_digest, record_type, refers_to)``. NULL
     html is an empty payload and a NULL page stays NULL; repeated rows have a
     record each. Other columns are ignored, an empty table gives an empty table.
+    A gap in the archive just written is an error.
     """
     spark, kind = pages.sparkSession, pages.schema["page_id"].dataType.simpleString()
     path = write_warc(pages, scratch_path(spark, "warc"))
-    found = read_warc(spark, path, with_payload=False, pattern="part-*").where("kind = 'record'")
+    found = read_warc(spark, path, with_payload=False, pattern="part-*")
+    gap = found.where("kind = 'gap'").select("path", "start", "reason").first()
+    if gap is not None:
+        raise ValueError(f"the archive cannot be read back: {gap['reason']} at {gap['start']} of {gap['path']}")
     return found.select(
         F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to_page").cast(kind).alias("refers_to"))

@@ -66,6 +66,17 @@ def test_one_damaged_place_costs_one_record(pack, seed):
         assert gaps
 
 
+@pytest.mark.parametrize("mark", ["\x85", "\u2028", "\u2029"])
+def test_only_line_ends_end_a_header(mark):
+    found = list(op.salvage(record(1, b"x", f"WARC-Target-URI: http://h/a{mark}b{mark}\r\n")))
+    assert [f[0] for f in found] == ["record"] and found[0][3].headers["warc-target-uri"] == f"http://h/a{mark}b{mark}"
+
+
+def test_round_trip_of_odd_urls(spark):
+    rows = [(i, f"http://h/{c}/{c}", "page", 0, "") for i, c in enumerate("\x85\u2028\u2029\x0b\x1c a")]
+    assert sorted(r["page_id"] for r in op.round_trip(spark.createDataFrame(rows, SCHEMA)).collect()) == list(range(len(rows)))
+
+
 def test_bytes_are_records_or_gaps():
     parts = [record(i, b) for i, b in enumerate(bodies(6))]
     data = b"noise at the start" + parts[0] + b"\x1f\x8b\x08 no member" + parts[1] + gzip.compress(parts[2]) + parts[3][:-30]
