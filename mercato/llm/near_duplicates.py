@@ -5,7 +5,7 @@ form a class and are one node from here on. Each of 32 trees sorts the classes
 by its own sequence of 8 MinHash values; in such an order, classes that share
 a prefix stand together, so the common prefixes of neighbours describe the whole
 trie. Matched prefixes are shortened from 8 values on, until the expected
-recall of the pairs seen so far reaches the target. Classes connected by
+recall of the pairs seen so far reaches the target in every band of similarity. Classes connected by
 prefixes of that depth are compared exactly, all with all, in blocks.
 """
 
@@ -28,6 +28,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 32, 8, 0.9999
+# Width of the bands of similarity that each have the recall.
+BAND = 0.05
 # A block of a component has about so many words and classes; two blocks meet in a task.
 BLOCK_WORDS, BLOCK_CLASSES = 200_000, 750
 RUN = 1 << 18
@@ -163,11 +165,12 @@ def sure_depth(similarity: float, recall: float) -> int:
 
 
 def enough_depth(edges: DataFrame, classes: DataFrame, similarity: float, recall: float) -> int:
-    """The longest prefix whose expected recall reaches the target; never shorter than is sure.
+    """The longest prefix whose expected recall reaches the target in every band of similarity; never shorter than is sure.
 
     Of the pairs seen that are similar by their signatures, those found at a
     depth are held against all that there should be: a pair that is found with
-    probability ``p`` at the least depth stands for ``1 / p`` pairs.
+    probability ``p`` at the least depth stands for ``1 / p`` pairs. Each band
+    counts by itself: many near copies say nothing about pairs at the threshold.
     """
     sure = sure_depth(similarity, recall)
     x = classes.select(F.col("cls").alias("a"), F.col("signature").alias("x"))
@@ -177,10 +180,9 @@ def enough_depth(edges: DataFrame, classes: DataFrame, similarity: float, recall
     near = pairs.where(F.col("similarity") >= similarity)
     p = 1 - F.pow(1 - F.pow("similarity", F.lit(sure)), F.lit(TREES))
     found = [F.sum((F.col("depth") >= k).cast("double")).alias(f"d{k}") for k in range(sure, DEPTH + 1)]
-    got = near.agg(F.sum(1 / p).alias("all"), *found).first()
-    if not got["all"]:
-        return sure
-    return max((k for k in range(sure, DEPTH + 1) if got[f"d{k}"] >= recall * got["all"]), default=sure)
+    band = F.floor((F.col("similarity") - similarity) / BAND + 1e-9).alias("band")
+    got = near.groupBy(band).agg(F.sum(1 / p).alias("all"), *found).collect()
+    return max((k for k in range(sure, DEPTH + 1) if got and all(b[f"d{k}"] >= recall * b["all"] for b in got)), default=sure)
 
 
 # ---------------------------------------------------------------- verification

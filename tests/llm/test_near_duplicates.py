@@ -144,6 +144,20 @@ def test_expected_recall():
     assert (op.sure_depth(0.8, 0.9999), op.sure_depth(0.5, 0.999), op.sure_depth(0.95, 0.99)) == (6, 2, 8)
 
 
+def test_near_copies_do_not_hide_pairs_at_the_threshold(spark):
+    size = op.TREES * op.DEPTH
+    one = np.arange(size, dtype=">u2")
+    # Similar by 0.82 and with no common prefix of 7 in any tree, though of 6 in most.
+    two = one.reshape(op.TREES, op.DEPTH).copy()
+    two[:, 6] += 5000
+    two[:14, 7] += 5000
+    classes = spark.createDataFrame([(b"a", one.tobytes()), (b"b", one.tobytes()), (b"c", two.tobytes())], "cls binary, signature binary")
+    copies = spark.range(30000).selectExpr("cast('a' AS binary) AS a", "cast('b' AS binary) AS b", "8 AS depth")
+    pair = spark.createDataFrame([(b"a", b"c", 6)], "a binary, b binary, depth int")
+    assert op.enough_depth(copies, classes, 0.8, 0.9999) == 8
+    assert op.enough_depth(copies.unionByName(pair), classes, 0.8, 0.9999) == 6
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)
