@@ -10,6 +10,7 @@ host is blocked when its distrust exceeds its trust by the threshold.
 
 from __future__ import annotations
 
+import itertools
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from mercato.llm.common import stored
 
-DAMPING, STEPS, ENOUGH = 0.85, 40, 1e-6
+# Steps end when one moves no more than this share of the seeds, of trust and of distrust.
+DAMPING, ENOUGH = 0.85, 1e-6
 # Host and path of an absolute link, with or without a scheme.
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+(?:/[^?#"'\s>]*)?)"""
 
@@ -69,13 +71,15 @@ def counted(pages: DataFrame) -> DataFrame:
         F.sum((F.col("verdict") == "block").cast("int")).alias("distrust"))
 
 
-def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, steps: int = STEPS, enough: float = ENOUGH) -> DataFrame:
+def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, steps: int | None = None, enough: float = ENOUGH) -> DataFrame:
     """``(kind, host, score)`` from ``seeds (kind, host, seed)`` and ``links (src, dst, n)``.
 
     Kind ``trust`` follows links, kind ``distrust`` goes against them:
     ``score = (1 - damping) * seed + damping * sum of score * share of the link``.
     Each step is one join and one sum over the links, and is written to the
-    shared folder. It ends when scores move by less than ``enough`` in all.
+    shared folder. It ends when scores move by no more than ``enough`` times the
+    sum of their kind's seeds, which comes to pass as a step moves at most ``damping``
+    times what the one before moved; or after ``steps``, where they are given.
     """
     ways = links.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "n").unionByName(
         links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "n"))
@@ -84,13 +88,14 @@ def spread(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, steps:
     own = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
     own = stored(own, "seeds")
     scores = own
-    for _ in range(steps):
+    limits = {r["kind"]: enough * r["seed"] for r in seeds.groupBy("kind").agg(F.sum("seed").alias("seed")).collect()}
+    for _ in itertools.count() if steps is None else range(steps):
         sent = scores.join(ways, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
         new = stored(own.unionByName(sent).groupBy("kind", "host").agg(F.sum("score").alias("score")), "scores")
         both = new.select("kind", "host", "score").unionByName(scores.select("kind", "host", (-F.col("score")).alias("score")))
-        moved = both.groupBy("kind", "host").agg(F.abs(F.sum("score")).alias("d")).agg(F.sum("d")).first()[0] or 0.0
+        moved = both.groupBy("kind", "host").agg(F.abs(F.sum("score")).alias("d")).groupBy("kind").agg(F.sum("d").alias("d")).collect()
         scores = new
-        if moved < enough:
+        if all(r["d"] <= limits[r["kind"]] for r in moved):
             break
     return scores
 

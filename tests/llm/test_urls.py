@@ -109,6 +109,13 @@ def test_linked_hosts_without_pages_are_seeds(spark):
     assert found == {"x.net": "block", "y.net": "block", "z.net": "allow", "w.net": "block", "far.net": "allow"}
 
 
+def test_distrust_reaches_far(spark):
+    n = 60
+    links = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(n)], "src string, dst string, n long")
+    found = {r["host"]: r["score"] for r in op.spread(spark.createDataFrame([("distrust", f"h{n}", 1.0)], "kind string, host string, seed double"), links).collect()}
+    assert found["h0"] == pytest.approx(0.15 * 0.85**n, rel=1e-6) and found["h0"] > 0
+
+
 def test_odd_urls(spark):
     urls = [None, "", "no scheme", "http://", "http://H?x/y", "ftp://Ä.Org/en", "a://b://c/d", "http://org/", "http://notorg/", "x://example.org/en/12"]
     rows = [(i, u, None, 0, "") for i, u in enumerate(urls)] + [(0, None, "x", 0, None), (None, "http://z.net/a", "", None, None)]
