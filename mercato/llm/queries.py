@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mercato.llm import exact_dedup, html, mixing, near_duplicates, packing, passages, quality, sharding, urls, warc
-from mercato.llm.common import table, word_count
+from mercato.llm import (
+    exact_dedup, html, lines, mixing, near_duplicates, packing, passages, periodic, quality, sharding, spelling, urls, warc,
+)
+from mercato.llm.common import bind, table, word_count, words
 
 QUERIES, ORACLES = {}, {}
 
@@ -167,6 +169,98 @@ def op5_repeated_passages(spark, sf_dir):
     return passages.repeated_passages(table(spark, sf_dir, "documents")).drop("mark")
 
 
+# The SQL twin counts CRC-32 itself: a table of 256 entries, then byte by byte.
+CRC_BIT = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+
+
+@query("op11_spelling_variants", rf"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, _: {CRC_BIT}) AS c FROM (SELECT unnest(range(256)) AS i))),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+coded AS (
+  SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM coded, crc_table),
+words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n
+  FROM hashed),
+vocabulary AS (
+  SELECT word, sum(n)::BIGINT AS n FROM words WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+holes AS (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM vocabulary)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM holes a JOIN holes b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, v.word, v.n FROM holes a JOIN vocabulary v ON a.rest = v.word
+  UNION SELECT v.word, a.word, a.n FROM holes a JOIN vocabulary v ON a.rest = v.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top_n, arg_min(other, {{'minus': -n, 'other': other}}) AS top FROM near GROUP BY word),
+forms AS (
+  SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 5 * v.n THEN top END AS form, CASE WHEN top_n >= 5 * v.n THEN top_n END AS form_n
+  FROM vocabulary v LEFT JOIN best USING (word)),
+led AS (
+  SELECT word, form AS root, 1 AS step FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT led.word, forms.form, step + 1 FROM led JOIN forms ON led.root = forms.word WHERE forms.form IS NOT NULL)
+SELECT word, form, coalesce(r.root, word) AS root, n, n_near, form_n
+FROM forms LEFT JOIN (SELECT word, arg_max(root, step) AS root FROM led GROUP BY word) r USING (word)
+""")
+def op11_spelling_variants(spark, sf_dir):
+    def rewritten(run):
+        h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), run))
+        at = F.pmod(h, F.length(run)).cast("int")
+        without = F.concat(F.substr(run, F.lit(1), at), F.substr(run, at + 2, F.length(run)))
+        return F.when(h % 199 == 0, without).otherwise(run)
+
+    docs = table(spark, sf_dir, "documents")
+    return spelling.spelling_groups(spelling.word_counts(docs, r"[A-Za-z\u00C0-\u00FF]+", rewrite=rewritten, keep=["doc_id"]))
+
+
+@query("op12_line_dedup", rf"""
+WITH lines AS (
+  SELECT doc_id, i, line, length(key) >= 40 AS long, key FROM (
+    SELECT doc_id, i, line, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
+    FROM (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)))),
+shared AS (SELECT key, max(doc_id) AS keeper FROM lines WHERE long GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(keeper) FILTER (WHERE doc_id <> keeper) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE keeper IS NULL OR doc_id = keeper), '')) AS kept_sha256
+FROM lines LEFT JOIN shared USING (key) GROUP BY doc_id
+""")
+def op12_line_dedup(spark, sf_dir):
+    kept = lines.drop_shared_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def with_planted_runs(docs):
+    """Texts in which every tenth document, by its id's hash, goes on periodically from some word."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    g = F.floor(h / 10)
+
+    def planted(held):
+        n = F.size(held)
+        a = F.pmod(g, n).cast("int")
+        p = (F.floor((n - a) / (F.pmod(g, F.lit(8)) + 3)) + 1).cast("int")
+        return F.transform(held, lambda w, i: F.when(i >= a, F.get(held, a + F.pmod(i - a, p))).otherwise(w))
+
+    text = F.array_join(bind(words(F.col("text")), planted), " ")
+    return docs.select("doc_id", F.when(h % 10 == 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    found = periodic.find_periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    best = F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("minus"), r["start"].alias("start"), r["period"].alias("period"))))
+    length = -F.col("best.minus")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"),
+        F.col("best.period").alias("period"), F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
