@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+import dataclasses
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions import dates, numbers, text
+from mercato.ml import boosting
+from mercato.ml.boosting import BoostedModel
+from mercato.ml.trees import Settings
 from mercato.plans.demand import KEY
-from mercato.session import use_checkpoint_dir
 
 # Size of the models, and the names a forecast can be asked by.
-TREES, DEPTH, STEP, SEED = 200, 5, 0.05, 42
+MODEL = Settings(trees=200, depth=5, step=0.05, l2=1.0, least_weight=1.0, loss="squared", seed=42)
 UNIT_TYPES = ["inventory", "units", "stock"]
 WRONG_TYPE = "Invalid forecast type. Use 'revenue' or 'inventory'."
 
@@ -21,51 +22,32 @@ REVENUE = ("weekly_revenue", ["year", "week_of_year", "lag_1_revenue", "ewma_4_r
 UNITS = ("weekly_units", ["year", "week_of_year", "lag_1_units", "ewma_4_units"])
 
 
-def boosted_trees(trees: int = TREES, depth: int = DEPTH, step: float = STEP, seed: int = SEED) -> GBTRegressor:
-    return GBTRegressor(
-        featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed,
-        cacheNodeIds=True, checkpointInterval=10,
-    )
-
-
-def encode_onehot(column: str = KEY, out: str = "category_vector") -> list:
-    """Two stages; a category not seen in training becomes all zeros."""
-    return [
-        StringIndexer(inputCol=column, outputCol=f"{column}_index", handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCol=f"{column}_index", outputCol=out, dropLast=True),
-    ]
-
+def train_forecaster(train: DataFrame, target: str, features: list[str], settings: Settings = MODEL) -> BoostedModel:
+    """Boosted trees that start at the mean and split categories as sets.
 
-def train_forecaster(
-    train: DataFrame, target: str, features: list[str], regressor: Estimator | None = None
-) -> PipelineModel:
-    use_checkpoint_dir(train.sparkSession)
-    assembler = VectorAssembler(inputCols=["category_vector", *features], outputCol="raw_features")
-    scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=False)
-    model = (regressor or boosted_trees()).copy()
-    model.setLabelCol(target)
-    stages = [*encode_onehot(), assembler, scaler, model]
-    kept = train.select(KEY, target, *features).persist()
-    try:
-        return Pipeline(stages=stages).fit(kept)
-    finally:
-        kept.unpersist()
+    Categories are ordered by their gradients in every node, so a split may
+    send any of them to either side. One not seen in training goes the way of
+    missing values.
+    """
+    known = train.agg(F.round(F.avg(target), 4).alias("mean"), F.max(F.abs(F.col(target).cast("double"))).alias("most")).first()
+    fitted = dataclasses.replace(settings, base=float(known["mean"] or 0.0), largest=2.0 * float(known["most"] or 1.0))
+    return boosting.fit(train, target, features, [KEY], fitted)
 
 
-def train_revenue_model(train: DataFrame, regressor: Estimator | None = None) -> PipelineModel:
-    return train_forecaster(train, *REVENUE, regressor=regressor)
+def train_revenue_model(train: DataFrame, settings: Settings = MODEL) -> BoostedModel:
+    return train_forecaster(train, *REVENUE, settings=settings)
 
 
-def train_units_model(train: DataFrame, regressor: Estimator | None = None) -> PipelineModel:
-    return train_forecaster(train, *UNITS, regressor=regressor)
+def train_units_model(train: DataFrame, settings: Settings = MODEL) -> BoostedModel:
+    return train_forecaster(train, *UNITS, settings=settings)
 
 
-def predict(model: PipelineModel, rows: DataFrame, out: str) -> DataFrame:
-    return model.transform(rows).select(*rows.columns, F.col("prediction").alias(out))
+def predict(model: BoostedModel, rows: DataFrame, out: str) -> DataFrame:
+    return rows.withColumn(out, model.margin())
 
 
 def forecast_next_week(
-    requests: DataFrame, next_week: DataFrame, revenue_model: PipelineModel, units_model: PipelineModel
+    requests: DataFrame, next_week: DataFrame, revenue_model: BoostedModel, units_model: BoostedModel
 ) -> DataFrame:
     """Answers to ``(category, forecast_type)`` requests, all in one job.
 

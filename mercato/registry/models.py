@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from mercato.binding import bind, table
-from mercato.ml import delay, evaluate, forecast, preprocess, rfm
+from mercato.ml import boosting, delay, evaluate, forecast, preprocess, rfm
+from mercato.ml.trees import LEAST_GAIN, Settings, Tree
 from mercato.operators import sampling, series
 from mercato.plans import churn, delivery, demand
 from mercato.registry.base import part, query
@@ -84,7 +87,7 @@ SELECT p_partkey, CAST(CASE WHEN p_type = 'PROMO' THEN NULL ELSE
 def encode_onehot(spark, d):
     """Part types, fitted without one of them: the place of the 1, none for the unseen type."""
     parts = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("category"))
-    model = Pipeline(stages=forecast.encode_onehot()).fit(parts.where(F.col("category") != "PROMO"))
+    model = Pipeline(stages=preprocess.encode_onehot()).fit(parts.where(F.col("category") != "PROMO"))
     hot = vector_to_array("category_vector")
     place = F.array_position(hot, F.lit(1.0)).cast("int")
     return model.transform(parts).select(
@@ -205,32 +208,193 @@ def delay_parts(spark, d):
     return sampling.split_random(rows, "order_id")
 
 
+def boosted_sql(source: str, label: str, weight: str, numeric: list[str], categorical: list[str], s: Settings, unit: str, base: str) -> str:
+    """Parts ``margin_0`` (before the first tree) to ``margin_<trees>`` over ``source``, step by step in SQL.
+
+    The same method in other words: shares end where counts of values reach
+    them, sums of gradients per node, feature and bin, the split with the
+    largest gain. Categories are bins by name, put in order of gradient per weight.
+    """
+    names = [*numeric, *categorical]
+    longs = " UNION ALL ".join(
+        [f"SELECT rid, {i} AS f, CAST({c} AS DOUBLE) AS v, NULL AS name FROM rows" for i, c in enumerate(numeric)]
+        + [f"SELECT rid, {i}, NULL, {c} FROM rows" for i, c in enumerate(categorical, len(numeric))])
+    parts = [f"""
+rows AS MATERIALIZED (SELECT *, row_number() OVER () AS rid, CAST({label} AS DOUBLE) AS y FROM {source}),
+one AS MATERIALIZED (SELECT {unit} AS unit, {base} AS base, {weight} AS positive FROM rows),
+long AS MATERIALIZED ({longs}),
+counted AS (SELECT f, v, count(*) AS n FROM long WHERE v IS NOT NULL GROUP BY f, v),
+summed AS (SELECT f, v, n, sum(n) OVER (PARTITION BY f ORDER BY v) AS upto, sum(n) OVER (PARTITION BY f) AS total FROM counted),
+binned AS (
+  SELECT f, v, coalesce(sum(CASE WHEN least({boosting.BINS - 1}, upto * {boosting.BINS} // total) > (upto - n) * {boosting.BINS} // total THEN 1 ELSE 0 END)
+    OVER (PARTITION BY f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM summed),
+named AS (SELECT f, name, row_number() OVER (PARTITION BY f ORDER BY name) - 1 AS b FROM (SELECT DISTINCT f, name FROM long WHERE name IS NOT NULL)),
+cells AS MATERIALIZED (
+  SELECT rid, l.f, CAST(coalesce(q.b, k.b, -1) AS BIGINT) AS b, l.f >= {len(numeric)} AS sets
+  FROM long l LEFT JOIN binned q ON l.f = q.f AND l.v = q.v LEFT JOIN named k ON l.f = k.f AND l.name = k.name),
+margin_0 AS MATERIALIZED (SELECT rid, base AS m FROM rows, one)"""]
+    first = "1 / (1 + exp(-m))"
+    for t in range(1, s.trees + 1):
+        if s.loss == "logistic":
+            sums = f"""SELECT rid, round_even(w * (p - y) * unit, 0) AS g, round_even(w * (p * (1 - p)) * unit, 0) AS h
+  FROM (SELECT rid, y, {first} AS p, CASE WHEN y = 1 THEN positive ELSE 1 END AS w, unit FROM margin_{t - 1} JOIN rows USING (rid), one)"""
+        else:
+            sums = f"SELECT rid, round_even((m - y) * unit, 0) AS g, unit AS h FROM margin_{t - 1} JOIN rows USING (rid), one"
+        parts.append(f"grad_{t} AS MATERIALIZED ({sums})")
+        parts.append(f"at_{t}_0 AS (SELECT rid, 1 AS node FROM rows)")
+        for level in range(s.depth):
+            key = f"{t}_{level}"
+            parts.append(f"""
+hist_{key} AS MATERIALIZED (
+  SELECT node, f, sets, b, CAST(sum(CAST(g AS BIGINT)) AS DOUBLE) / any_value(unit) AS g, CAST(sum(CAST(h AS BIGINT)) AS DOUBLE) / any_value(unit) AS h
+  FROM at_{key} JOIN grad_{t} USING (rid) JOIN cells USING (rid), one GROUP BY node, f, sets, b),
+nodes_{key} AS (SELECT node, sum(g) AS tg, sum(h) AS th FROM hist_{key} WHERE f = 0 GROUP BY node),
+ranked_{key} AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY node, f ORDER BY CASE WHEN sets THEN g / h END, b) AS place FROM hist_{key} WHERE b >= 0),
+cut_{key} AS (
+  SELECT r.node, r.f, r.place, way, tg, th,
+         sum(r.g) OVER (PARTITION BY r.node, r.f, way ORDER BY r.place) + way * coalesce(x.g, 0) AS gl,
+         sum(r.h) OVER (PARTITION BY r.node, r.f, way ORDER BY r.place) + way * coalesce(x.h, 0) AS hl
+  FROM ranked_{key} r JOIN nodes_{key} USING (node) LEFT JOIN (SELECT node, f, g, h FROM hist_{key} WHERE b = -1) x ON r.node = x.node AND r.f = x.f,
+       (SELECT unnest([0, 1]) AS way)),
+gain_{key} AS (
+  SELECT *, gl * gl / (hl + {s.l2}::DOUBLE) + (tg - gl) * (tg - gl) / (th - hl + {s.l2}::DOUBLE) - tg * tg / (th + {s.l2}::DOUBLE) AS gain
+  FROM cut_{key} WHERE hl >= {s.least_weight} AND th - hl >= {s.least_weight} AND th >= 2 * {s.least_weight}),
+split_{key} AS MATERIALIZED (
+  SELECT * FROM gain_{key} WHERE gain > {LEAST_GAIN}
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, place, way) = 1),
+at_{t}_{level + 1} AS MATERIALIZED (
+  SELECT rid, CASE WHEN s.node IS NULL THEN a.node WHEN coalesce(r.place <= s.place, s.way = 1) THEN 2 * a.node ELSE 2 * a.node + 1 END AS node
+  FROM at_{key} a LEFT JOIN split_{key} s USING (node) LEFT JOIN cells c USING (rid, f) LEFT JOIN ranked_{key} r ON r.node = a.node AND r.f = c.f AND r.b = c.b)""")
+        parts.append(f"""
+leaf_{t} AS (
+  SELECT node, -{s.step}::DOUBLE * (CAST(sum(CAST(g AS BIGINT)) AS DOUBLE) / any_value(unit)) / (CAST(sum(CAST(h AS BIGINT)) AS DOUBLE) / any_value(unit) + {s.l2}::DOUBLE) AS value
+  FROM at_{t}_{s.depth} JOIN grad_{t} USING (rid), one GROUP BY node),
+margin_{t} AS MATERIALIZED (
+  SELECT rid, m + value AS m FROM margin_{t - 1} JOIN at_{t}_{s.depth} USING (rid) JOIN leaf_{t} USING (node))""")
+    assert names
+    return "WITH " + ",".join(parts)
+
+
+WEIGHT = "CAST(count(*) FILTER (WHERE is_delayed = 0) AS DOUBLE) / count(*) FILTER (WHERE is_delayed = 1)"
+SHORT_DELAY = dataclasses.replace(delay.UNTUNED, trees=2, depth=2)
+DELAY_SQL = boosted_sql(
+    "features", "is_delayed", WEIGHT, delivery.FEATURES, delivery.BINARY_FEATURES, SHORT_DELAY,
+    f"pow(2, 26 - ceil(log2(greatest(1, {WEIGHT}))))", "0::DOUBLE")
+
+
+@query("boosting_histogram", DELAY_SQL + """
+SELECT f AS feature, b AS bin, CAST(g * unit AS BIGINT) AS gradient, CAST(h * unit AS BIGINT) AS weight FROM hist_1_0, one
+""")
+def boosting_histogram(spark, d):
+    """The sums that the first split of the delay classifier is found with; bin -1 holds missing values."""
+    rows = materialize(delivery.delivery_features(bind(spark, d)), "features")
+    columns = boosting.learn_columns(rows, delay.INPUTS)
+    state = boosting.binned_rows(rows, delivery.LABEL, columns).withColumn("margins", F.lit(bytearray(8)))
+    settings = delay.weighted(rows, delay.UNTUNED)
+    sums = boosting._level_sums(state, [(0, 0, Tree(settings.depth), [1])], [(settings, None)], [[]], columns)
+    width = columns.shape.width
+    at = F.pmod("cell", F.lit(width))
+    return sums.select(
+        F.floor(F.col("cell") / width).cast("int").alias("feature"), F.when(at == width - 1, -1).otherwise(at).cast("long").alias("bin"),
+        F.col("g").alias("gradient"), F.col("h").alias("weight"))
+
+
+@query("boosting_two_trees", DELAY_SQL + """
+SELECT order_id, round(1 / (1 + exp(-m)), 9) AS probability FROM margin_2 JOIN rows USING (rid)
+""")
+def boosting_two_trees(spark, d):
+    """Probabilities after two small trees, grown level by level over all tasks."""
+    rows = materialize(delivery.delivery_features(bind(spark, d)), "features")
+    model = boosting.fit(rows, delivery.LABEL, delay.INPUTS, settings=delay.weighted(rows, SHORT_DELAY), one_task=0)
+    return rows.select("order_id", F.round(model.probability(), 9).alias("probability"))
+
+
+SHORT_DEMAND = dataclasses.replace(forecast.MODEL, trees=2, depth=2)
+
+
+def demand_sql(target: str, features: list[str]) -> str:
+    top = f"2 * max(abs(CAST({target} AS DOUBLE)))"
+    return boosted_sql(
+        "train_rows", target, "1::DOUBLE", features, [demand.KEY], SHORT_DEMAND,
+        f"pow(2, 26 - ceil(log2(greatest(1, {top}))))", f"round(avg({target}), 4)")
+
+
+def two_demand_trees(spark, d, target, features):
+    daily = demand.daily_category_sales(bind(spark, d, fine_categories=True))
+    rows = materialize(demand.weekly_features(daily), "weekly")
+    model = forecast.train_forecaster(rows, target, features, SHORT_DEMAND)
+    return rows.select(demand.KEY, demand.WEEK, F.round(model.margin(), 6).alias("predicted"))
+
+
+@query("boosting_revenue_trees", demand_sql(*forecast.REVENUE) + """
+SELECT category, week_ending_date, round(m, 6) AS predicted FROM margin_2 JOIN rows USING (rid)
+""")
+def boosting_revenue_trees(spark, d):
+    """Revenue by two small trees with sets of categories."""
+    return two_demand_trees(spark, d, *forecast.REVENUE)
+
+
+@query("boosting_units_trees", demand_sql(*forecast.UNITS) + """
+SELECT category, week_ending_date, round(m, 6) AS predicted FROM margin_2 JOIN rows USING (rid)
+""")
+def boosting_units_trees(spark, d):
+    return two_demand_trees(spark, d, *forecast.UNITS)
+
+
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored_model(spark, d: str, name: str, fit) -> str:
+    """Where the model of these tables lies; ``fit()`` is called only when no query of the session has stored it yet."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _stored:
+        _stored[key] = fit().save(spark, scratch_path(spark, name))
+    return _stored[key]
+
+
+def delay_model(spark, d: str) -> str:
+    return stored_model(spark, d, "delay-model", lambda: delay.train_delay_classifier(delay_parts(spark, d)[0]))
+
+
+def report(model, rows):
+    return evaluate.classification_report(evaluate.confusion_matrix(delay.predict(model, rows), delivery.LABEL, "prediction"))
+
+
 @query("train_delay_classifier")
 def train_delay_classifier(spark, d):
     """Report of the classifier on the test rows."""
     train, test = delay_parts(spark, d)
-    model = delay.train_delay_classifier(train)
-    return evaluate.classification_report(
-        evaluate.confusion_matrix(model.transform(test), delivery.LABEL, "prediction")
-    )
+    return report(delay.train_delay_classifier(train), test)
+
+
+@query("tune_random_search")
+def tune_random_search(spark, d):
+    """The twenty draws with their mean F1, and the F1 on the test rows of the best one and of the untuned model (draw -1)."""
+    train, test = delay_parts(spark, d)
+    search = delay.tune_random_search(train)
+    late = F.col("class") == "1"
+    untuned = delay.load_model(spark, delay_model(spark, d))
+    on_test = {i: report(m, test).where(late).select("f1").first() for i, m in ((search.best, search.model), (-1, untuned))}
+    rows = [(-1, delay.UNTUNED, None), *((i, s, f1) for i, (s, f1) in enumerate(zip(search.drawn, search.scores)))]
+    return spark.createDataFrame(
+        [(i, s.depth, s.step, s.subsample, s.trees, f1, i == search.best, on_test[i]["f1"] if on_test.get(i) else None) for i, s, f1 in rows],
+        "draw int, max_depth int, learning_rate double, subsample double, n_estimators int, mean_f1 double, best boolean, test_f1 double")
 
 
 @query("score_delay")
 def score_delay(spark, d):
-    """All what-if rows scored by a classifier trained on the training rows."""
-    train, _ = delay_parts(spark, d)
-    model = delay.train_delay_classifier(train)
+    """All what-if rows scored by the stored classifier."""
+    model = delay.load_model(spark, delay_model(spark, d))
     asked = delivery.scenario_defaults(scenarios(spark, d))
     return delay.score_delay(model, asked).select("order_id", "status", "delay_probability", "risk_level", "recommendation")
 
 
 @query("persist_model")
 def persist_model(spark, d):
-    """Scores of a classifier that was saved and loaded."""
-    train, test = delay_parts(spark, d)
-    model = delay.train_delay_classifier(train)
-    path = delay.save_model(model, scratch_path(spark, "delay-model"))
-    return delay.score_saved(path, test).select("order_id", "probability_delayed", "risk_level")
+    """Scores of the test rows by the classifier as it was stored."""
+    _, test = delay_parts(spark, d)
+    return delay.score_saved(delay_model(spark, d), test).select("order_id", "probability_delayed", "risk_level")
 
 
 @query("train_rfm_clusters")
@@ -247,29 +411,35 @@ def demand_models(spark, d):
     return daily, train, test
 
 
+def against_average(model, test, target, average):
+    """The error in the largest categories, beside that of the moving average."""
+    rows = forecast.predict(model, test, "predicted")
+    own = evaluate.segment_metrics(rows, demand.KEY, target, "predicted")
+    naive = evaluate.segment_metrics(rows, demand.KEY, target, average)
+    return own.join(naive.select(demand.KEY, F.col("mae").alias("ewma_mae"), F.col("error_pct").alias("ewma_error_pct")), demand.KEY)
+
+
 @query("train_revenue_model")
 def train_revenue_model(spark, d):
     _, train, test = demand_models(spark, d)
-    predicted = forecast.predict(forecast.train_revenue_model(train), test, "predicted")
-    return evaluate.segment_metrics(predicted, demand.KEY, "weekly_revenue", "predicted")
+    return against_average(forecast.train_revenue_model(train), test, "weekly_revenue", "ewma_4_revenue")
 
 
 @query("train_units_model")
 def train_units_model(spark, d):
     _, train, test = demand_models(spark, d)
-    predicted = forecast.predict(forecast.train_units_model(train), test, "predicted")
-    return evaluate.segment_metrics(predicted, demand.KEY, "weekly_units", "predicted")
+    return against_average(forecast.train_units_model(train), test, "weekly_units", "ewma_4_units")
 
 
 @query("forecast_next_week")
 def forecast_next_week(spark, d):
     """Revenue, units and a wrong type asked for every category, untranslated ones included."""
     daily, train, _ = demand_models(spark, d)
+    revenue, units = (
+        boosting.BoostedModel.load(spark, stored_model(spark, d, name, lambda fit=fit: fit(train)))
+        for name, fit in (("revenue-model", forecast.train_revenue_model), ("units-model", forecast.train_units_model)))
     kinds = F.explode(F.array(*[F.lit(k) for k in ("revenue", "inventory", "stock", "profit")]))
     asked = bind(spark, d).products.select(
         F.concat(F.col("product_category_name"), F.lit(" goods")).alias("category")
     ).distinct().withColumn("forecast_type", kinds)
-    return forecast.forecast_next_week(
-        asked, demand.next_week_features(daily),
-        forecast.train_revenue_model(train), forecast.train_units_model(train),
-    )
+    return forecast.forecast_next_week(asked, demand.next_week_features(daily), revenue, units)

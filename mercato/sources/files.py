@@ -95,6 +95,14 @@ def run_sql(spark: SparkSession, text: str, views: dict[str, DataFrame], **args)
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Write once to the shared folder and read back; cuts the lineage."""
+    """Write once to the shared folder and read back; cuts the lineage. ``written_to`` is the path, for ``remove``."""
     spark = df.sparkSession
-    return spark.read.schema(df.schema).parquet(write_table(df, session.scratch_path(spark, purpose)))
+    out = spark.read.schema(df.schema).parquet(path := write_table(df, session.scratch_path(spark, purpose)))
+    out.written_to = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table, once everything that reads it has been written itself."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -1,14 +1,14 @@
 """Training and scoring on small frames that can be learnt."""
 
+import dataclasses
 import datetime as dt
 import random
 
 import pytest
-from pyspark.ml import PipelineModel
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from mercato.ml import delay, embed, evaluate, forecast, preprocess, rfm
+from mercato.ml.boosting import BoostedModel
 from mercato.plans import churn, delivery, demand
 
 
@@ -29,11 +29,14 @@ def orders(spark):
         "is_interstate int, seller_historical_delay_rate double")
 
 
+SMALL = dataclasses.replace(delay.UNTUNED, trees=5, depth=3)
+
+
 def test_delay_classifier_learns_saves_and_scores(spark, orders, tmp_path):
-    model = delay.train_delay_classifier(orders, delay.boosted_trees(trees=5, depth=3))
-    auc = BinaryClassificationEvaluator(labelCol="is_delayed").evaluate(model.transform(orders))
-    assert auc > 0.9
-    loaded = PipelineModel.load(delay.save_model(model, str(tmp_path / "model")))
+    model = delay.train_delay_classifier(orders, SMALL)
+    told = [(r["prediction"], r["is_delayed"]) for r in delay.predict(model, orders).collect()]
+    assert sum(a == b for a, b in told) > 0.95 * len(told)
+    loaded = BoostedModel.load(spark, model.save(spark, str(tmp_path / "model")))
     first, second = [
         [r["probability_delayed"] for r in delay.score_delay(m, orders).orderBy("order_id").collect()] for m in (model, loaded)]
     assert first == second and all(0 <= p <= 1 for p in first)
@@ -42,18 +45,20 @@ def test_delay_classifier_learns_saves_and_scores(spark, orders, tmp_path):
     assert {r["status"] for r in delay.score_delay(model, what_if).collect()} == {"success"}
 
 
-
 def test_random_search(spark, orders):
-    bounds = {"maxDepth": (2, 4), "stepSize": (0.1, 0.3), "maxIter": (2, 4)}
-    classifier = delay.boosted_trees()
-    drawn = delay.draw_settings(classifier, 20, bounds)
-    assert drawn == delay.draw_settings(classifier, 20, bounds)
-    for setting in drawn:
-        values = {p.name: v for p, v in setting.items()}
-        assert values["maxDepth"] in (2, 3) and values["maxIter"] in (2, 3) and 0.1 <= values["stepSize"] <= 0.3
-    found = delay.tune_random_search(orders, draws=2, folds=2, bounds=bounds)
-    assert len(found.avgMetrics) == 2 and max(found.avgMetrics) > 0.5
-    assert found.bestModel.transform(orders).count() == 400
+    bounds = {"depth": (2, 4), "step": (0.1, 0.3), "subsample": (0.6, 1.0), "trees": (2, 5)}
+    drawn = delay.draw_settings(20, bounds)
+    assert drawn == delay.draw_settings(20, bounds)
+    for s in drawn:
+        assert s.depth in (2, 3) and s.trees in (2, 3, 4) and 0.1 <= s.step <= 0.3 and 0.6 <= s.subsample <= 1
+    full = delay.draw_settings()
+    assert len(full) == 20 and all(3 <= s.depth <= 9 and 100 <= s.trees <= 499 and 0.01 <= s.step <= 0.31 for s in full)
+    alone = delay.tune_random_search(orders, draws=3, folds=2, bounds=bounds)
+    spread = delay.tune_random_search(orders.repartition(3), draws=3, folds=2, bounds=bounds, one_task=0)
+    assert alone.scores == spread.scores and max(alone.scores) > 0.5
+    assert alone.scores[alone.best] == max(alone.scores)
+    a, b = ([r["p"] for r in orders.select(m.model.probability().alias("p")).collect()] for m in (alone, spread))
+    assert a == b
 
 
 def test_prepared_features(spark):
@@ -111,7 +116,7 @@ def test_forecasts_answer_every_request(spark):
         [(day + dt.timedelta(days=7 * w + o), c, 5 + w % 3, 100.0 * s + w) for c, s in (("toys", 1), ("health_beauty", 3)) for w in range(30) for o in (0, 2)],
         "sale_date date, category string, units_sold long, daily_revenue double")
     train = demand.weekly_features(daily)
-    small = forecast.boosted_trees(trees=5, depth=3, step=0.3)
+    small = dataclasses.replace(forecast.MODEL, trees=5, depth=3, step=0.3)
     revenue, units = forecast.train_revenue_model(train, small), forecast.train_units_model(train, small)
     asked = spark.createDataFrame(
         [("Health Beauty", "revenue"), ("toys", "stock"), ("toys", "profit"), ("ships", "revenue")], "category string, forecast_type string")
@@ -152,14 +157,14 @@ def test_unknown_orders_and_missing_models_are_errors(spark, tmp_path):
     good = [(i, *[float(i % 7 + n) for n in range(len(delivery.FEATURES))], i % 2, i % 2) for i in range(40)]
     kinds = ", ".join(f"{c} double" for c in delivery.FEATURES) + ", " + ", ".join(f"{c} int" for c in delivery.BINARY_FEATURES)
     train = spark.createDataFrame(good, f"order_id long, {kinds}, {delivery.LABEL} int")
-    model = delay.train_delay_classifier(train, delay.boosted_trees(trees=2, depth=2))
+    model = delay.train_delay_classifier(train, dataclasses.replace(SMALL, trees=2, depth=2))
     asked = spark.createDataFrame([(1, *good[1][1:-1], True), (2, *[None] * len(columns), True), (3, *good[3][1:-1], False)],
                                   f"order_id long, {kinds}, valid boolean")
     found = {r["order_id"]: r for r in delay.score_delay(model, asked).collect()}
     assert found[1]["status"] == "success" and found[1]["risk_level"] is not None
     for i in (2, 3):
         assert (found[i]["status"], found[i]["probability_delayed"], found[i]["risk_level"]) == ("error", None, None)
-    path = delay.save_model(model, str(tmp_path / "model"))
+    path = model.save(spark, str(tmp_path / "model"))
     assert {r["order_id"]: r["status"] for r in delay.score_saved(path, asked).collect()} == {1: "success", 2: "error", 3: "error"}
     missing = delay.score_saved(str(tmp_path / "none"), asked).collect()
     assert {(r["status"], r["message"]) for r in missing} == {("error", delay.NO_MODEL)}
