@@ -50,6 +50,7 @@ def with_parts(sql: str) -> str:
     body = sql.strip()
     if not parts:
         return body
-    if body.startswith("WITH "):
-        return f"WITH {parts},\n{body.removeprefix('WITH ')}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"{start}{parts},\n{body.removeprefix(start)}"
     return f"WITH {parts}\n{body}"

@@ -397,7 +397,61 @@ def persist_model(spark, d):
     return delay.score_saved(delay_model(spark, d), test).select("order_id", "probability_delayed", "risk_level")
 
 
-@query("train_rfm_clusters")
+_RFM = churn.FEATURES
+_D = lambda a, b: " + ".join(["0::DOUBLE"] + [f"({a}.x{i} - {b}.x{i}) * ({a}.x{i} - {b}.x{i})" for i in range(len(_RFM))])
+_X = ", ".join(f"x{i}" for i in range(len(_RFM)))
+_RACE = lambda nth: f"-ln((('0x' || substr(md5(concat_ws('|', id, s, '{nth}', '{rfm.SEED}')), 1, 13))::BIGINT::DOUBLE + 0.5) / pow(2, 52))"
+_SEEDS = ",".join(f"""
+seeds_{nth} AS MATERIALIZED (
+  {f"SELECT * FROM seeds_{nth - 1} UNION ALL " if nth else ""}
+  SELECT s, {nth} AS cl, unnest(x) FROM (
+    SELECT s, arg_min({{{", ".join(f"'x{i}': x{i}::DOUBLE" for i in range(len(_RFM)))}}}, {{'race': race, 'id': id}}) AS x FROM (
+      SELECT s, id, {_X}, {_RACE(nth)} / d AS race FROM (
+        {f"SELECT c.s, p.id, {', '.join(f'p.x{i}' for i in range(len(_RFM)))}, min({_D('p', 'c')}) AS d FROM points p, seeds_{nth - 1} c GROUP BY ALL"
+         if nth else f"SELECT s, id, {_X}, 1::DOUBLE AS d FROM points, (SELECT unnest(range({rfm.STARTS})) AS s)"})
+      WHERE d > 0) GROUP BY s))""" for nth in range(rfm.CLUSTERS))
+_MEANS = ", ".join(f"avg(f{i}) AS mean{i}, stddev_pop(f{i}) AS sd{i}" for i in range(len(_RFM)))
+
+
+@query("train_rfm_clusters", f"""
+WITH RECURSIVE fills AS (SELECT {", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS m{i}" for i, c in enumerate(_RFM))} FROM recency),
+filled AS (SELECT customer_unique_id AS id, {", ".join(f"coalesce(CAST({c} AS DOUBLE), m{i}) AS f{i}" for i, c in enumerate(_RFM))} FROM recency, fills),
+scales AS (SELECT {_MEANS} FROM filled),
+points AS MATERIALIZED (
+  SELECT id, {", ".join(f"CAST(round((f{i} - mean{i}) / CASE WHEN sd{i} = 0 THEN 1 ELSE sd{i} END * 1e6::DOUBLE) AS BIGINT) AS x{i}" for i in range(len(_RFM)))}
+  FROM filled, scales),
+{_SEEDS},
+lloyd AS (
+  SELECT 0 AS step, s, cl, {_X}, true AS moved FROM seeds_{rfm.CLUSTERS - 1}
+  UNION ALL
+  SELECT step + 1, s, cl, {", ".join(f"n{i}" for i in range(len(_RFM)))}, {" OR ".join(f"n{i} <> x{i}" for i in range(len(_RFM)))}
+  FROM (
+    SELECT l.*, {", ".join(f"coalesce(m{i}, l.x{i}) AS n{i}" for i in range(len(_RFM)))}
+    FROM lloyd l LEFT JOIN (
+      SELECT s, cl, {", ".join(f"CAST(sum(x{i}) AS DOUBLE) / count(*) AS m{i}" for i in range(len(_RFM)))} FROM (
+        SELECT l.s, p.id, {", ".join(f"p.x{i}" for i in range(len(_RFM)))}, arg_min(l.cl, {{'d': {_D("p", "l")}, 'cl': l.cl}}) AS cl
+        FROM points p, lloyd l GROUP BY ALL) GROUP BY s, cl) m ON l.s = m.s AND l.cl = m.cl
+    WHERE l.s IN (SELECT s FROM lloyd WHERE moved) AND step < 300)),
+centers AS MATERIALIZED (SELECT * FROM lloyd QUALIFY step = max(step) OVER (PARTITION BY s)),
+costs AS (
+  SELECT s, sum(CAST(round(d / 1e6::DOUBLE) AS BIGINT)) AS cost FROM (
+    SELECT c.s, p.id, min({_D("p", "c")}) AS d FROM points p, centers c GROUP BY ALL) GROUP BY s),
+chosen_start AS (
+  SELECT row_number() OVER (ORDER BY {_X}) - 1 AS cl, {_X} FROM centers WHERE s = (SELECT arg_min(s, {{'cost': cost, 's': s}}) FROM costs)),
+grouped AS MATERIALIZED (
+  SELECT r.*, cl AS cluster FROM recency r JOIN (
+    SELECT p.id, arg_min(b.cl, {{'d': {_D("p", "b")}, 'cl': b.cl}}) AS cl FROM points p, chosen_start b GROUP BY p.id) q ON r.customer_unique_id = q.id),
+means AS (
+  SELECT cluster, round(CAST(sum(CAST(total_spent AS DECIMAL(18,4))) AS DOUBLE) / count(total_spent), 2) AS total_spent,
+         round(CAST(sum(CAST(avg_review_score AS DECIMAL(18,4))) AS DOUBLE) / count(avg_review_score), 2) AS avg_review_score
+  FROM grouped GROUP BY cluster),
+unhappy AS (SELECT cluster FROM means ORDER BY avg_review_score, cluster LIMIT 1),
+loyal AS (SELECT cluster FROM means WHERE cluster <> (SELECT cluster FROM unhappy) ORDER BY total_spent DESC, cluster LIMIT 1)
+SELECT customer_unique_id, CAST(cluster AS INTEGER) AS cluster,
+       CASE WHEN cluster = (SELECT cluster FROM unhappy) THEN '{churn.HIGH_RISK}' WHEN cluster = (SELECT cluster FROM loyal) THEN '{churn.LOW_RISK}'
+            ELSE '{churn.MEDIUM_RISK}' END AS risk_profile
+FROM grouped
+""")
 def train_rfm_clusters(spark, d):
     """Every customer with cluster and risk profile, the best of ten starts."""
     profiles = materialize(churn.rfm_recency(churn.churn_profile(bind(spark, d))), "profiles")
