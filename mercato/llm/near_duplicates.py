@@ -176,7 +176,7 @@ def enough_depth(edges: DataFrame, classes: DataFrame, similarity: float, recall
     x = classes.select(F.col("cls").alias("a"), F.col("signature").alias("x"))
     y = classes.select(F.col("cls").alias("b"), F.col("signature").alias("y"))
     pairs = stored(
-        edges.join(x, "a").join(y, "b").select("x", "y").mapInArrow(compare_signatures, "similarity double, depth int"), "pairs")
+        edges.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("x", "y").mapInArrow(compare_signatures, "similarity double, depth int"), "pairs")
     near = pairs.where(F.col("similarity") >= similarity)
     p = 1 - F.pow(1 - F.pow("similarity", F.lit(sure)), F.lit(TREES))
     found = [F.sum((F.col("depth") >= k).cast("double")).alias(f"d{k}") for k in range(sure, DEPTH + 1)]
@@ -307,7 +307,8 @@ def verified(members: DataFrame, docs: DataFrame, similarity: float) -> DataFram
     sizes = stored(sizes.where("n > 1").select("comp", blocks.alias("blocks")), "sizes")
     placed = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks").cast("long")).cast("int"))
     placed = stored(placed.select("comp", "cls", F.col("id").alias("_id"), F.col("mark").alias("_mark"), "n_docs", "block", "blocks"), "members")
-    texts = docs.join(placed, docs["id"].eqNullSafe(placed["_id"]) & (docs["mark"] == placed["_mark"]))
+    # Texts and signatures meet by one plan at any size: where few of them would be broadcast, more would be shuffled.
+    texts = docs.join(placed.hint("merge"), docs["id"].eqNullSafe(placed["_id"]) & (docs["mark"] == placed["_mark"]))
     sets = stored(
         texts.select("comp", "cls", "n_docs", "block", "blocks", "text").mapInArrow(
             shingle_sets, "comp binary, cls binary, n_docs long, block int, blocks int, shingles binary"), "sets")
