@@ -43,6 +43,21 @@ def free_name(df: DataFrame, wish: str) -> str:
     return next(n for n in names if n.lower() not in taken)
 
 
+def column(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame) -> Column:
+    """A whole row as one struct; its fields have names that nothing clashes with."""
+    return F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+
+
+def unpacked(docs: DataFrame, row: str) -> list[Column]:
+    """The columns of ``docs`` again from the struct ``row`` of ``packed``."""
+    return [F.col(f"{row}.c{i}").alias(c) for i, c in enumerate(docs.columns)]
+
+
 def uniform(*parts: Column | int | str) -> Column:
     """A repeatable number in [0, 1) from the given values."""
     hashed = F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
@@ -94,23 +109,22 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame, key: str, text: str) -> Data
     """The rows of ``docs`` that ``verdicts`` ``(key, mark, kept)`` keeps.
 
     ``mark`` is the hash of the text; with the key it names a document. Of rows
-    that repeat both, all stay, none, or one: the one with the largest values.
-    Only the names of dropped rows are joined, usually the smaller part by far.
+    that repeat both, all stay, none, or one: the one whose values, written as
+    JSON, come last. Only the names of dropped rows are joined, usually the
+    smaller part by far. Columns may have any names and types.
     """
-    name, columns = free_name(docs, "_mark"), docs.columns
-    marked = docs.withColumn(name, F.xxhash64(text))
-    named = verdicts.groupBy(F.col(key).alias("_v_id"), F.col("mark").alias("_v_mark")).agg(
+    mark, told_id, told_mark = (free_name(docs, wish) for wish in ("_mark", "_told_id", "_told_mark"))
+    marked = docs.withColumn(mark, F.xxhash64(column(text)))
+    named = verdicts.groupBy(column(key).alias(told_id), F.col("mark").alias(told_mark)).agg(
         F.sum(F.col("kept").cast("int")).alias("stay"), F.count(F.lit(1)).alias("n"))
     # Names of which some rows stay and some go: rows that repeat key and text.
-    partly = stored(named.where("stay > 0 AND stay < n"), "partly")
-    gone = stored(named.where("stay = 0 OR stay < n").select("_v_id", "_v_mark"), "gone")
-
-    def same(other: DataFrame) -> Column:
-        return marked[key].eqNullSafe(other["_v_id"]) & (marked[name] == other["_v_mark"])
-
-    whole = marked.join(gone, same(gone), "left_anti").select(*columns)
+    partly = stored(named.where("stay > 0 AND stay < n").select(told_id, told_mark), "partly")
+    gone = stored(named.where("stay = 0 OR stay < n").select(told_id, told_mark), "gone")
+    same = column(key).eqNullSafe(F.col(told_id)) & (F.col(mark) == F.col(told_mark))
+    whole = marked.join(gone, same, "left_anti").select(*[column(c) for c in docs.columns])
     if partly.isEmpty():
         return whole
-    found = marked.join(partly, same(partly)).groupBy("_v_id", "_v_mark").agg(
-        F.max(F.struct(*[marked[c] for c in columns])).alias("row"))
-    return whole.unionByName(found.select("row.*"))
+    row = packed(docs)
+    found = marked.join(partly, same).select(F.col(told_id), F.col(told_mark), row.alias("row")).groupBy(told_id, told_mark).agg(
+        F.max_by("row", F.to_json("row")).alias("row"))
+    return whole.unionByName(found.select(*unpacked(docs, "row")))

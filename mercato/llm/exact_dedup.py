@@ -70,59 +70,6 @@ def pieces(data: bytes) -> list[bytes]:
     return out
 
 
-def chunk_hash(piece: bytes) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(piece)).astype(np.int64))
-
-
-def chunk_hash(piece: bytes, bits: int) -> int:
-    """The leading ``bits`` of the chunk's hash; fewer than 64 only serve to provoke collisions."""
-    return xxhash.xxh3_64_intdigest(piece) - 2**63 >> 64 - bits
-
-
-def chunker(bits: int):
-    """Rows ``(id, mark, nth, hash, piece)`` of the chunks of each text."""
-
-    def send(batch: pa.RecordBatch, own: list[int], nth: list[int], parts: list[bytes]) -> pa.RecordBatch:
-        taken = pa.array(own, pa.int64())
-        return pa.RecordBatch.from_arrays([
-            batch.column("id").take(taken), batch.column("mark").take(taken), pa.array(nth, pa.int32()),
-            pa.array([chunk_hash(p, bits) for p in parts], pa.int64()), pa.array(parts, pa.binary()),
-        ], ["id", "mark", "nth", "hash", "piece"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, nth, parts, held = [], [], [], 0
-            for row, text in enumerate(batch.column("text")):
-                for i, piece in enumerate(pieces(normalised(text.as_py()))):
-                    own.append(row)
-                    nth.append(i)
-                    parts.append(piece)
-                    held += len(piece)
-                if held >= BLOCK:
-                    yield send(batch, own, nth, parts)
-                    own, nth, parts, held = [], [], [], 0
-            yield send(batch, own, nth, parts)
-
-    return cuts
-
-
-def normalised(text: str | None) -> bytes:
-    """UTF-8 bytes with A-Z in lower case; other letters stay. NULL counts as empty."""
-    return (text or "").encode("utf-8", "surrogatepass").lower()
-
-
-def pieces(data: bytes) -> list[bytes]:
-    start, out = 0, []
-    for end in cut_points(data):
-        out.append(data[start:end])
-        start = end
-    return out
-
-
-def chunk_hash(piece: bytes) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(piece)).astype(np.int64))
-
-
 def chunk_hash(piece: bytes, bits: int) -> int:
     """The leading ``bits`` of the chunk's hash; fewer than 64 only serve to provoke collisions."""
     return xxhash.xxh3_64_intdigest(piece) - 2**63 >> 64 - bits

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.llm.common import stored, uniform, word_count
+from mercato.llm.common import packed, stored, uniform, unpacked, word_count
 from mercato.llm.hypergeometric import splitting_tree
 
 MOST_PASSES = 3
@@ -163,6 +163,6 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     times = stored(
         mixed.groupBy("pos").agg(F.first("id").alias("_t_id"), F.first("mark").alias("_t_mark"), F.count(F.lit(1)).alias("times"))
         .groupBy("_t_id", "_t_mark").agg(F.max("times").cast("int").alias("times")), "times")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"))
+    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"))
     met = rows.join(times, rows["id"].eqNullSafe(times["_t_id"]) & (rows["mark"] == times["_t_mark"]))
-    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*unpacked(docs, "row"))

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.llm.common import BLANK_RUN, bind, stored, words
+from mercato.llm.common import bind, BLANK_RUN, packed, stored, unpacked, words
 from mercato.llm.hypergeometric import ln_choose
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -178,5 +178,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: flo
     """
     chosen = cutoffs(calibrate(measured(docs), labels, risk, error))
     whole = docs.select(
-        F.struct(*docs.columns).alias("row"), stratum(F.col("lang")).alias("stratum"), features(F.col("text")).alias("f"))
-    return judge(whole.select("row", "stratum", "f.*"), chosen).where("kept").select("row.*")
+        packed(docs).alias("row"), stratum(F.col("lang")).alias("stratum"), features(F.col("text")).alias("f"))
+    # As a generator's output the counts are computed once; as plain columns the filter would compute them again.
+    counted = whole.select("row", "stratum", F.inline(F.array("f")))
+    return judge(counted, chosen).where("kept").select(*unpacked(docs, "row"))
