@@ -105,21 +105,21 @@ def runs(rows: Iterator, key) -> Iterator[tuple[object, list]]:
         yield value, list(group)
 
 
-def keep_rows(docs: DataFrame, verdicts: DataFrame, key: str, text: str) -> DataFrame:
+def keep_rows(docs: DataFrame, verdicts: DataFrame, key: str, *named: str) -> DataFrame:
     """The rows of ``docs`` that ``verdicts`` ``(key, mark, kept)`` keeps.
 
-    ``mark`` is the hash of the text; with the key it names a document. Of rows
+    ``mark`` is the hash of the columns ``named``; with the key it names a document. Of rows
     that repeat both, all stay, none, or one: the one whose values, written as
     JSON, come last. Only the names of dropped rows are joined, usually the
     smaller part by far. Columns may have any names and types.
     """
     mark, told_id, told_mark = (free_name(docs, wish) for wish in ("_mark", "_told_id", "_told_mark"))
-    marked = docs.withColumn(mark, F.xxhash64(column(text)))
-    named = verdicts.groupBy(column(key).alias(told_id), F.col("mark").alias(told_mark)).agg(
+    marked = docs.withColumn(mark, F.xxhash64(*[column(c) for c in named]))
+    told = verdicts.groupBy(column(key).alias(told_id), F.col("mark").alias(told_mark)).agg(
         F.sum(F.col("kept").cast("int")).alias("stay"), F.count(F.lit(1)).alias("n"))
     # Names of which some rows stay and some go: rows that repeat key and text.
-    partly = stored(named.where("stay > 0 AND stay < n").select(told_id, told_mark), "partly")
-    gone = stored(named.where("stay = 0 OR stay < n").select(told_id, told_mark), "gone")
+    partly = stored(told.where("stay > 0 AND stay < n").select(told_id, told_mark), "partly")
+    gone = stored(told.where("stay = 0 OR stay < n").select(told_id, told_mark), "gone")
     same = column(key).eqNullSafe(F.col(told_id)) & (F.col(mark) == F.col(told_mark))
     whole = marked.join(gone, same, "left_anti").select(*[column(c) for c in docs.columns])
     if partly.isEmpty():

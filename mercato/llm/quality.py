@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.llm.common import bind, BLANK_RUN, packed, stored, unpacked, words
+from mercato.llm.common import BLANK_RUN, bind, keep_rows, stored, words
 from mercato.llm.hypergeometric import ln_choose
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -173,12 +173,11 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, risk: float = 0.05, err
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns.
 
-    The texts stay where they are: they are counted again and filtered in
-    place, which is cheaper at scale than to shuffle them to their verdicts.
+    Texts are counted once; the names of the rows that go are joined to the
+    table. Rows that repeat id, text and language are judged alike.
     """
-    chosen = cutoffs(calibrate(measured(docs), labels, risk, error))
-    whole = docs.select(
-        packed(docs).alias("row"), stratum(F.col("lang")).alias("stratum"), features(F.col("text")).alias("f"))
-    # As a generator's output the counts are computed once; as plain columns the filter would compute them again.
-    counted = whole.select("row", "stratum", F.inline(F.array("f")))
-    return judge(counted, chosen).where("kept").select(*unpacked(docs, "row"))
+    rows = docs.select(
+        F.col("doc_id"), F.xxhash64("text", "lang").alias("mark"), stratum(F.col("lang")).alias("stratum"), features(F.col("text")).alias("f"))
+    found = stored(rows.select("doc_id", "mark", "stratum", "f.*"), "features")
+    chosen = cutoffs(calibrate(found, labels, risk, error))
+    return keep_rows(docs, judge(found, chosen).select("doc_id", "mark", "kept"), "doc_id", "text", "lang")
