@@ -1,7 +1,7 @@
 """Exact nearest neighbours by squared Euclidean distance, for any number of queries.
 
-Corpus vectors belong to the cell of their nearest pivot, and there are about
-as many cells as a cell has vectors. A query first searches the cells next to
+Corpus vectors belong to the cell of their nearest pivot. A cell has as many
+vectors as there are cells, or a block if that is more. A query first searches the cells next to
 it, which bounds how far its ``k``-th neighbour can be, and then only those
 cells that the triangle inequality does not rule out. Cells are cut into blocks
 of limited size; a block is held by one task while the queries that visit it
@@ -139,7 +139,8 @@ def knn_topk(
     known = materialize(corpus.where(F.col(vector).isNotNull()).select(doc, vector), "vectors")
     rows = known.count()
     if pivots is None:
-        pivots = math.ceil(math.sqrt(rows))
+        # Smaller cells than a block would only add visits: a block is one matrix product.
+        pivots = min(math.ceil(math.sqrt(rows)), math.ceil(rows / block_rows))
     first = known.select(vector).orderBy(F.xxhash64(doc), doc).limit(max(1, pivots)).toPandas()
     cells = Cells(_matrix(first[vector]) if len(first) else np.zeros((1, 1)))
 
@@ -205,7 +206,11 @@ def knn_topk(
                     keys = visitors[query_keys].reset_index(drop=True)
                     yield _hits(keys, _matrix(visitors[vector]), ids, points, k, doc)
 
-    near = materialize(search(asked.mapInPandas(to_near, visit)), "near")
+    near = search(asked.mapInPandas(to_near, visit))
+    if len(cells.names) < 2:
+        # There is no other cell.
+        return _keep_best(near, query_keys, doc, k)
+    near = materialize(near, "near")
     order = Window.partitionBy(*query_keys).orderBy("dist", doc)
     bound = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(*query_keys, F.col("dist").alias("bound"))
     bounded = asked.join(bound, query_keys, "left")

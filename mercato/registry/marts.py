@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from mercato.binding import bind
 from mercato.functions import numbers
 from mercato.operators import series
-from mercato.plans import churn, delivery, demand, metrics
+from mercato.plans import churn, delivery, demand, metrics, refresh
 from mercato.registry.base import query
+from mercato.session import scratch_path
 from mercato.sources.files import materialize
 
 
@@ -204,6 +205,19 @@ def daily_category_sales(spark, d):
     return demand.daily_category_sales(bind(spark, d, fine_categories=True))
 
 
+@query("refresh_daily_sales", "SELECT * FROM daily")
+def refresh_daily_sales(spark, d):
+    """The daily mart built without some orders and with others in an earlier state, then refreshed from the changes."""
+    r = bind(spark, d, fine_categories=True)
+    names = r.products.select("product_id", "product_category_name").join(r.translation, "product_category_name").select(
+        "product_id", F.col("product_category_name_english").alias(demand.KEY))
+    part = F.pmod(F.xxhash64("order_id"), F.lit(10))
+    known = r.orders.where(part != 0).withColumn("order_status", F.when(part == 1, "shipped").otherwise(F.col("order_status")))
+    mart = refresh.DailyMart(spark, scratch_path(spark, "daily-mart")).build(known, r.order_items, names)
+    mart.refresh(r.orders.where(part <= 1), r.order_items, names)
+    return mart.daily.drop(refresh.MONTH)
+
+
 @query("rfm_recency", "SELECT customer_unique_id, last_purchase_date, recency_days FROM recency")
 def rfm_recency(spark, d):
     return churn.rfm_recency(churn.churn_profile(bind(spark, d))).select(

@@ -8,8 +8,8 @@ from mercato import schemas
 from mercato.binding import bind, table
 from mercato.functions import scores
 from mercato.ml import embed
-from mercato.operators import knn, sampling
-from mercato.plans import chunking, evaluation, retrieval
+from mercato.operators import ann, knn, lexical, sampling
+from mercato.plans import chunking, evaluation, retrieval, summary
 from mercato.plans.delivery import is_delivered
 from mercato.registry.base import part, query
 
@@ -94,6 +94,12 @@ def chunk_header_summary(spark, d):
     return chunking.chunk_header_summary(table(spark, d, "documents").select("doc_id", "text"))
 
 
+@query("chunk_central_summary")
+def chunk_central_summary(spark, d):
+    """Every document with its two central sentences."""
+    return summary.central_summary(table(spark, d, "documents").select("doc_id", "text"))
+
+
 @query("prepare_reviews", """
 SELECT 'doc_' || (row_number() OVER (ORDER BY review_id) - 1) AS id,
        'Title: ' || coalesce(review_comment_title, '') || chr(10) || 'Message: ' || review_comment_message AS text,
@@ -135,6 +141,24 @@ def cross_vectors(spark, d):
     return hits.withColumn("dist", F.round("dist", 6))
 
 
+@query("knn_approx")
+def knn_approx(spark, d):
+    """About the nearest vectors of every fiftieth vector, by codes."""
+    index = ann.build_index(vectors(spark, d, "doc_id"), "doc_id")
+    asked = vectors(spark, d, "query_id").where("query_id % 50 = 0")
+    return ann.knn_approx(asked, index, ["query_id"]).withColumn("dist", F.round("dist", 6))
+
+
+@query("knn_approx_recall", """
+SELECT count(*) * least(10, (SELECT count(*) FROM embeddings)) AS wanted, true AS enough FROM embeddings WHERE vec_id % 50 = 0
+""")
+def knn_approx_recall(spark, d):
+    """Whether nine of ten neighbours that the exact search finds are found by codes too."""
+    asked = vectors(spark, d, "query_id").where("query_id % 50 = 0")
+    exact = knn.knn_topk(asked, vectors(spark, d, "doc_id"), ["query_id"], "doc_id", 10)
+    return ann.recall(knn_approx(spark, d), exact, ["query_id"], "doc_id").select("wanted", (F.col("found") >= 0.9 * F.col("wanted")).alias("enough"))
+
+
 # Each vector is a question; the two vectors after it are its reworded variants.
 part("variant_hits", """
 SELECT q.query_id, v.variant, e.doc_id, e.d2,
@@ -340,6 +364,73 @@ def expand_queries(spark, d):
     return retrieval.expand_queries(asked, synonyms)
 
 
+WORDS_SQL = r"unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> ''))"
+part("bm25_tf", f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {WORDS_SQL} AS term FROM documents) GROUP BY 1, 2")
+part("bm25_lengths", "SELECT doc_id, sum(tf) AS length FROM bm25_tf GROUP BY 1")
+part("bm25_df", "SELECT term, count(*) AS df FROM bm25_tf GROUP BY 1")
+part("bm25_postings", f"""
+SELECT doc_id, term, CAST(round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))
+       * (tf * {lexical.K1 + 1}::DOUBLE / (tf + {lexical.K1}::DOUBLE * ({1 - lexical.B}::DOUBLE + {lexical.B}::DOUBLE * length / mean))) * 1e9::DOUBLE) AS BIGINT) AS impact
+FROM bm25_tf JOIN bm25_lengths USING (doc_id) JOIN bm25_df USING (term),
+     (SELECT count(*)::DOUBLE AS n, sum(length)::DOUBLE / count(*) AS mean FROM bm25_lengths)
+""")
+
+
+def text_index(spark, d):
+    return lexical.build_index(table(spark, d, "documents"))
+
+
+@query("rerank_bm25", """
+SELECT query_id, doc_id, CAST(seen AS INTEGER) AS seen, round(score, 6) AS score, CAST(position AS INTEGER) AS position FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS position FROM (
+    SELECT h.query_id, h.doc_id, seen, coalesce(CAST(sum(impact) AS BIGINT), 0) / 1e9::DOUBLE AS score
+    FROM first_hits h LEFT JOIN bm25_tf q ON q.doc_id = h.query_id LEFT JOIN bm25_postings p ON p.doc_id = h.doc_id AND p.term = q.term
+    GROUP BY 1, 2, 3))
+WHERE position <= 5
+""")
+def rerank_bm25(spark, d):
+    """The retrieved texts by their BM25 score for the whole text of the question."""
+    candidates = retrieved(spark, d).select("query_id", "doc_id", "seen")
+    scored = lexical.bm25_scores(candidates, questions(spark, d), text_index(spark, d))
+    return retrieval.rerank(scored, above=-1).select("query_id", "doc_id", "seen", F.round("score", 6).alias("score"), "position")
+
+
+part("asked", "SELECT conv_id || '-' || turn AS query_id, text FROM conversations WHERE role = 'user'")
+part("asked_terms", f"SELECT DISTINCT query_id, term FROM (SELECT query_id, {WORDS_SQL} AS term FROM asked)")
+part("bm25_hits", """
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT query_id, doc_id, CAST(sum(impact) AS BIGINT) / 1e9::DOUBLE AS score FROM asked_terms JOIN bm25_postings USING (term) GROUP BY 1, 2)
+QUALIFY rank <= 5
+""")
+part("feedback", """
+SELECT query_id, string_agg(term, ' ' ORDER BY place) AS added FROM (
+  SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY sum(impact) DESC, term) AS place
+  FROM bm25_hits JOIN bm25_postings USING (doc_id) ANTI JOIN asked_terms USING (query_id, term) GROUP BY 1, 2)
+WHERE place <= 6 GROUP BY 1
+""")
+
+
+def user_turns(spark, d):
+    return table(spark, d, "conversations").where(F.col("role") == "user").select(
+        F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
+
+
+@query("search_bm25", "SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM bm25_hits")
+def search_bm25(spark, d):
+    """The five best documents for every user turn."""
+    return lexical.search(user_turns(spark, d), text_index(spark, d), 5).withColumn("score", F.round("score", 6))
+
+
+@query("expand_feedback", """
+SELECT query_id, 0 AS variant, text AS query FROM asked
+UNION ALL SELECT query_id, 1, text || ' ' || added FROM asked JOIN feedback USING (query_id)
+UNION ALL SELECT query_id, 2, added FROM asked JOIN feedback USING (query_id)
+""")
+def expand_feedback(spark, d):
+    """User turns with two variants each, from the terms of their first hits."""
+    return lexical.feedback_variants(user_turns(spark, d), text_index(spark, d))
+
+
 @query("embed_text")
 def embed_text(spark, d):
     corpus = table(spark, d, "documents").select("doc_id", "text")

@@ -116,7 +116,7 @@ def brute_force(queries, corpus, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("pivots, block_rows", [(None, knn.BLOCK_ROWS), (8, 16), (1, 50)])
+@pytest.mark.parametrize("pivots, block_rows", [(None, knn.BLOCK_ROWS), (None, 16), (8, 16), (1, 50)])
 def test_nearest_neighbours_equal_brute_force(spark, pivots, block_rows):
     source = np.random.default_rng(5)
     # A third of the corpus is one and the same vector: one hot cell full of ties.
