@@ -52,6 +52,12 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
 WORDS = re.compile(r"[a-z0-9]+")
 LETTERS = re.compile(r"[^\W\d_]+")
+# Within the article a class may say a lot about its content ("social-science"), so only these words count there, where a name begins with them.
+WITHIN = frozenset(
+    "ad ads adv advert advertisement adbox adslot adsense sponsor sponsored promo promotion breadcrumb breadcrumbs sidebar cookie cookies "
+    "consent gdpr newsletter subscribe signup login share sharing related recommended recommendations comment comments disqus replies "
+    "respond pagination pager toolbar".split())
+# Elements nested deeper than this have no node of their own.
 DEPTH = 150
 
 
@@ -71,7 +77,11 @@ def named(attributes: str) -> dict[str, str]:
 
 
 def beside(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
-    """Whether an element stands beside the article; a header within the article belongs to it."""
+    """Whether an element stands beside the article; a header within the article belongs to it.
+
+    Within the article a class or id counts if it is one of the words of
+    ``ASIDE`` itself, or begins with one of ``WITHIN``.
+    """
     if tag in DROPPED or (tag == "header" and not in_main) or "hidden" in attributes:
         return True
     if not attributes:
@@ -82,16 +92,23 @@ def beside(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
         return True
     if tag in MAIN or tag in ("body", "html"):
         return False
-    return not ASIDE.isdisjoint(WORDS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
+    if in_main:
+        return any(n in ASIDE or (w := WORDS.match(n)) and w[0] in WITHIN for n in names.split())
+    return not ASIDE.isdisjoint(WORDS.findall(names))
 
 
 def parse(page: str) -> Node:
     """The tree of block elements; runs of text between them are ``#text`` leaves, with white space settled.
 
-    Elements nested deeper than ``DEPTH`` belong to the one at that depth.
+    Elements nested deeper than ``DEPTH`` belong to the one at that depth; those
+    that stand beside the article are left out there as well.
     """
     root = Node("#root")
     stack, pending, at, size = [root], [], 0, len(page)
+    # Deeper elements that are open, by tag; and one that is left out: its tag, and how many of them are open.
+    deeper: Counter = Counter()
+    left_out, open_ = "", 0
 
     def flush() -> None:
         if pending:
@@ -125,6 +142,15 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         ends, rest = token[1] or token[4], token[3] or token[6] or ""
+        if open_:
+            pending.clear()
+            if tag == left_out and not rest.rstrip().endswith("/"):
+                open_ += -1 if ends else 1
+            continue
+        if ends and deeper[tag]:
+            deeper[tag] -= 1
+            flush()
+            continue
         if ends:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
@@ -151,7 +177,7 @@ def parse(page: str) -> Node:
                     flush()
                     del stack[i:]
                     break
-        aside = beside(tag, attributes, tag == "header" and any(n.main for n in stack))
+        aside = beside(tag, attributes, any(n.main for n in stack))
         if tag in INLINE and not aside and not any(n.aside for n in stack):
             continue
         if tag not in INLINE:
@@ -163,9 +189,15 @@ def parse(page: str) -> Node:
             flush()
         main = tag in MAIN or attributes.get("role", "").lower() == "main" or attributes.get("itemprop", "").lower() == "articlebody"
         node = Node(tag, f"{tag}.{attributes.get('class', '')}", aside=aside, main=main and not aside)
-        stack[-1].kids.append(node)
-        if tag not in VOID and len(stack) < DEPTH:
+        if tag in VOID:
+            stack[-1].kids.append(node)
+        elif len(stack) < DEPTH:
+            stack[-1].kids.append(node)
             stack.append(node)
+        elif aside:
+            left_out, open_ = tag, 1
+        else:
+            deeper[tag] += 1
     flush()
     return root
 

@@ -156,3 +156,21 @@ def test_query(spark, sf_dir):
         inner = re.search(r"<article>(.*)</article>", text, re.S)[1]
         blocks = [" ".join(plain_html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1|br)>", inner)]
         assert got[page] == " ".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize("levels", [10, 145, 147, 160, 400])
+def test_deep_elements_end_where_they_end(levels):
+    down, up = "<div>" * levels, "</div>" * levels
+    aside = '<div class="sidebar">menu a<div class="menu">menu b</div><div>c</div></div>'
+    for page in (f"{down}{aside}{up}<p>real text</p>", f"{down}<p>real</p>{aside}{up}<p>text</p>", f'<div class="nav">{down}menu{up}</div><p>real text</p>'):
+        assert op.main_text(page) == "real text"
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<article><h1>T</h1><div class="elementor-widget elementor-widget-text"><p>Body.</p></div></article>', "T Body."),
+    ('<main><div class="post social-science"><p>Body.</p></div></main>', "Body."),
+    ('<article><p>A.</p><div class="share-buttons">Share</div><div id="ad-slot-2">Buy</div><div class="x widget">W</div><p>B.</p></article>', "A. B."),
+    ('<div class="site-widget">W</div><article><p>A.</p><div class="comments-list">C</div></article>', "A."),
+])
+def test_class_words_within_the_article(page, text):
+    assert op.main_text(page) == text
