@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import bind, uniform
+from mercato.llm.common import bind, stored, uniform
 
 
 def ln_factorial(x: Column) -> Column:
@@ -91,7 +91,8 @@ def splitting_tree(root: DataFrame, leaves: int, seed: int) -> DataFrame:
     of them each leaf gets; the sums must agree. Every node halves its leaves
     and draws how many of each kind go to the left half. The leaves together
     hold exactly ``counts``, distributed as after a uniform shuffle of all items.
-    Every level is one projection over one row per node.
+    Every level is one projection over one row per node, written before the
+    next one, so that the plan does not grow with the number of levels.
     """
     nodes = root.select(F.lit(0).alias("leaf"), "sizes", "counts")
     for level in range(max(0, leaves - 1).bit_length()):
@@ -109,5 +110,5 @@ def splitting_tree(root: DataFrame, leaves: int, seed: int) -> DataFrame:
             F.slice("sizes", F.col("half") + 1, F.greatest(F.lit(0), F.size("sizes") - F.col("half"))).alias("sizes"),
             F.zip_with("counts", "drawn", lambda a, b: a - b).alias("counts"))
         both = F.when(F.size("sizes") == 1, F.array(own)).otherwise(F.array(own, other))
-        nodes = split.select(F.explode(both).alias("node")).select("node.*")
+        nodes = stored(split.select(F.explode(both).alias("node")).select("node.*"), "split")
     return nodes.select("leaf", F.col("sizes")[0].alias("size"), "counts")
