@@ -1,12 +1,13 @@
 """Exact nearest neighbours by squared Euclidean distance, for any number of queries.
 
-Corpus vectors belong to the cell of their nearest pivot. A cell has as many
-vectors as there are cells, or a block if that is more. A query first searches the cells next to
-it, which bounds how far its ``k``-th neighbour can be, and then only those
-cells that the triangle inequality does not rule out. Cells are cut into blocks
-of limited size; a block is held by one task while the queries that visit it
-stream by. Corpus vectors are never copied, queries never pass the driver, and
-tasks send on the best ``k`` rows per query and block.
+Corpus vectors belong to the cell of their nearest pivot; cells are cut into
+blocks of limited size, and neighbouring blocks make up groups. A sample bounds
+how far a query's ``k``-th neighbour can be, and the query goes only to groups
+with a cell that the triangle inequality does not rule out. A task holds one
+group while one part of the queries streams by: both are bounded, so more rows
+mean more tasks, not longer ones. Within a task the bound shrinks from block to
+block; vectors beyond it are ruled out by one matrix product and a comparison.
+Tasks send on the best ``k`` rows per query and group.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.sources.files import materialize
@@ -26,47 +28,134 @@ from mercato.sources.files import materialize
 # The functions below travel with the tasks: executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Rows of a block; blocks of a group; queries of a part, in blocks; queries and pairs that are compared at once.
 BLOCK_ROWS = 8192
-TILE = 256
-SPARE = 8
+GROUP_BLOCKS = PART_BLOCKS = 4
+TILE, PAIRS = 256, 1 << 16
+# Values of the sample that bounds distances.
+SAMPLE_VALUES = 1 << 19
 
 
-def _matrix(vectors) -> np.ndarray:
-    rows = [np.asarray(v, dtype=np.float64) for v in vectors]
-    if len({len(r) for r in rows}) > 1:
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    sizes = np.diff(vectors.offsets.to_numpy())
+    if len(set(sizes.tolist())) > 1:
         raise ValueError("vectors have different lengths")
-    return np.array(rows)
+    values = pc.fill_null(vectors.flatten().cast(pa.float64()), float("nan"))
+    return values.to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
 
-def _best(queries: np.ndarray, ids: np.ndarray, corpus: np.ndarray, k: int):
-    """Best ``k`` corpus rows per query by (distance, id), as flat arrays.
+class Rough:
+    """Squared distances to fixed points in single precision, as one matrix product, and how far they can be off.
 
-    Yields ``(query rows, corpus rows, distances)`` per tile of queries. The
-    product form picks the rows that can be among the best; their distance is
-    then taken from the differences, so equal vectors tie exactly. Where more
-    rows than the spare ones tie with the last place, all of them are looked at.
+    The points are taken from their middle and in units of their spread, so neither counts.
     """
-    norms = (corpus * corpus).sum(axis=1)
-    place = np.unique(ids, return_inverse=True)[1]
-    keep, wide = min(k, len(ids)), min(k + SPARE, len(ids))
-    for start in range(0, len(queries), TILE):
-        tile = queries[start:start + TILE]
-        rough = (tile * tile).sum(axis=1)[:, None] + norms[None, :] - 2.0 * tile @ corpus.T
-        near = np.argpartition(rough, wide - 1, axis=1)[:, :wide]
-        near_rough = np.sort(np.take_along_axis(rough, near, axis=1), axis=1)
-        limit = near_rough[:, keep - 1]
-        limit = limit + 1e-9 * (1.0 + np.abs(limit))
-        exact = ((corpus[near] - tile[:, None, :]) ** 2).sum(axis=2)
-        order = np.lexsort((place[near], exact), axis=1)[:, :keep]
-        docs = np.take_along_axis(near, order, axis=1)
-        dists = np.take_along_axis(exact, order, axis=1)
-        if wide < len(ids):
-            for i in np.flatnonzero(near_rough[:, -1] <= limit):
-                every = np.flatnonzero(rough[i] <= limit[i])
-                far = ((corpus[every] - tile[i]) ** 2).sum(axis=1)
-                first = np.lexsort((place[every], far))[:keep]
-                docs[i], dists[i] = every[first], far[first]
-        yield np.repeat(np.arange(start, start + len(tile)), keep), docs.ravel(), dists.ravel()
+
+    def __init__(self, points: np.ndarray):
+        middle = points.mean(axis=0)
+        self.middle = np.where(np.isfinite(middle), middle, 0.0)
+        own = points - self.middle
+        largest = float(np.nanmax((own * own).sum(axis=1), initial=0.0))
+        self.unit = largest if 0 < largest < np.inf else 1.0
+        own = own / math.sqrt(self.unit)
+        with np.errstate(all="ignore"):
+            self.turned = np.ascontiguousarray(np.concatenate([-2.0 * own, (own * own).sum(axis=1)[:, None]], axis=1).T.astype(np.float32))
+
+    def less_own(self, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """In ``unit``, per row: distances less the row's own norm, that norm, and the error."""
+        own = (tile - self.middle) / math.sqrt(self.unit)
+        norms = (own * own).sum(axis=1)
+        with np.errstate(all="ignore"):
+            far = np.concatenate([own, np.ones((len(own), 1))], axis=1).astype(np.float32) @ self.turned
+        # Beyond single precision nothing is ruled out.
+        return far, norms, np.where(norms < 1e30, (own.shape[1] + 8) * 2.4e-7 * (norms + 1.0), np.inf)
+
+
+class Group:
+    """The corpus vectors of one task, block by block."""
+
+    def __init__(self, rows: pa.Table, doc: str, vector: str, k: int):
+        self.ids = rows.column(doc)
+        place = pc.rank(self.ids, sort_keys="ascending", tiebreaker="first").to_numpy().astype(np.int64)
+        points = _matrix(rows.column(vector))
+        # Of equal vectors only the first k by id can be among the nearest, as ties go by id.
+        equal = np.unique(np.ascontiguousarray(points).view(np.dtype((np.void, max(1, 8 * points.shape[1])))).ravel(), return_inverse=True)[1]
+        order = np.lexsort((place, equal))
+        first = np.concatenate([[True], np.diff(equal[order]) > 0])[: len(order)]
+        nth = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+        cell, block = (rows.column(c).to_numpy().astype(np.int64) for c in ("cell", "block"))
+        kept = order[nth < k]
+        kept = kept[np.lexsort((block[kept], cell[kept]))]
+        self.kept, self.place, self.points = kept, place[kept], points[kept]
+        at = np.stack([cell[kept], block[kept]])
+        cuts = np.flatnonzero((np.diff(at) != 0).any(axis=0)) + 1
+        self.blocks = [
+            (int(at[0, part[0]]), part[0], self.points[part], Rough(self.points[part]))
+            for part in np.split(np.arange(len(kept)), cuts) if len(part)]
+
+    def best(self, tile: np.ndarray, limit: np.ndarray, possible: np.ndarray, k: int):
+        """Rows of the tile, places in the group and distances of the best ``k`` within ``limit``, by (distance, id)."""
+        rows, docs, dists = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        limit = limit.copy()
+        for cell, start, points, rough in self.blocks:
+            visit = np.flatnonzero(possible[:, cell])
+            if not len(visit):
+                continue
+            far, norms, error = rough.less_own(tile[visit])
+            within = 1.000001 * limit[visit] / rough.unit - norms + error
+            # What is no number is kept, and compared exactly.
+            with np.errstate(over="ignore"):
+                hit, near = np.divmod(np.flatnonzero(~(far > within[:, None].astype(np.float32))), len(points))
+            if not len(hit):
+                continue
+            hit = visit[hit]
+            exact = np.concatenate([
+                ((points[near[i:i + PAIRS]] - tile[hit[i:i + PAIRS]]) ** 2).sum(axis=1) for i in range(0, len(hit), PAIRS)])
+            rows, docs, dists = np.concatenate([rows, hit]), np.concatenate([docs, start + near]), np.concatenate([dists, exact])
+            order = np.lexsort((self.place[docs], dists, rows))
+            rows, docs, dists = rows[order], docs[order], dists[order]
+            nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            kept = nth < k
+            last = nth == k - 1
+            limit[rows[last]] = np.fmin(limit[rows[last]], dists[last])
+            rows, docs, dists = rows[kept], docs[kept], dists[kept]
+        return rows, docs, dists
+
+
+class Cells:
+    """Pivots with the radius of the cell of each, groups of cells, and the sample: nothing that grows with the rows."""
+
+    def __init__(self, centers: np.ndarray, sample: np.ndarray):
+        middle = sample.mean(axis=0) if len(sample) else np.zeros(centers.shape[1])
+        self.middle = np.where(np.isfinite(middle), middle, 0.0)
+        self.centers, self.sample = centers - self.middle, sample
+        self.largest = np.sqrt(np.nanmax((self.centers * self.centers).sum(axis=1), initial=0.0))
+        self.radius = np.zeros(0)
+        self.groups: list[np.ndarray] = []
+
+    def distances(self, points: np.ndarray) -> np.ndarray:
+        points = points - self.middle
+        squared = (points * points).sum(axis=1)[:, None] + (self.centers * self.centers).sum(axis=1)[None, :]
+        return np.sqrt(np.maximum(squared - 2.0 * points @ self.centers.T, 0.0))
+
+    def bounds(self, points: np.ndarray, k: int) -> np.ndarray:
+        """At most so far away is the ``k``-th neighbour, squared."""
+        out = np.full(len(points), np.inf)
+        if len(self.sample) >= k:
+            rough = Rough(self.sample)
+            for start in range(0, len(points), TILE):
+                far, norms, error = rough.less_own(points[start:start + TILE])
+                out[start:start + TILE] = rough.unit * np.maximum(np.partition(far, k - 1, axis=1)[:, k - 1] + norms + 2 * error, 0.0)
+        return np.where(np.isnan(out), np.inf, out)
+
+    def possible(self, points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Per point and cell: whether the cell may hold a vector within the bound."""
+        limit = np.sqrt(bounds)
+        # The distances come from a product of matrices, so they are off by a share of the lengths.
+        own = np.sqrt(((points - self.middle) ** 2).sum(axis=1))
+        limit = limit + 1e-6 * (np.where(np.isinf(limit), 0, limit) + own + self.largest)
+        return ~(self.distances(points) - self.radius[None, :] > limit[:, None])
 
 
 def _keep_best(candidates: DataFrame, query_keys: list[str], doc: str, k: int) -> DataFrame:
@@ -78,50 +167,9 @@ def _keep_best(candidates: DataFrame, query_keys: list[str], doc: str, k: int) -
     )
 
 
-def _hits(keys: pd.DataFrame, points: np.ndarray, ids: np.ndarray, corpus: np.ndarray, k: int, doc: str):
-    rows, docs, dists = (np.concatenate(parts) for parts in zip(*_best(points, ids, corpus, k)))
-    return keys.iloc[rows].reset_index(drop=True).assign(**{doc: ids[docs], "dist": dists})
-
-
-class Cells:
-    """Pivots, and size and radius of the cell of each that has vectors: nothing that grows with the rows."""
-
-    def __init__(self, centers: np.ndarray):
-        self.centers = centers
-        self.names = self.sizes = self.radius = self.blocks = np.zeros(0)
-
-    def distances(self, points: np.ndarray, wanted=slice(None)) -> np.ndarray:
-        centers = self.centers[wanted]
-        squared = (points * points).sum(axis=1)[:, None] + (centers * centers).sum(axis=1)[None, :]
-        return np.sqrt(np.maximum(squared - 2.0 * points @ centers.T, 0.0))
-
-    def tiles(self, points: np.ndarray):
-        for start in range(0, len(points), TILE):
-            yield start, points[start:start + TILE]
-
-    def place(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = [(far.argmin(axis=1), far.min(axis=1)) for far in (self.distances(t) for _, t in self.tiles(points))]
-        return tuple(np.concatenate(x) for x in zip(*found))
-
-    def near(self, points: np.ndarray, k: int) -> list[np.ndarray]:
-        """Per point: the nearest cells that hold ``k`` vectors together."""
-        out = []
-        for _, tile in self.tiles(points):
-            order = np.argsort(self.distances(tile, self.names), axis=1, kind="stable")
-            held = np.cumsum(self.sizes[order], axis=1)
-            out += [row[: int(np.searchsorted(h, k)) + 1] for row, h in zip(order, held)]
-        return out
-
-    def possible(self, points: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
-        """Per point: the other cells that may hold a vector within its bound."""
-        done, out = self.near(points, k), []
-        for start, tile in self.tiles(points):
-            far = self.distances(tile, self.names) - self.radius[None, :]
-            limit = bounds[start:start + TILE]
-            for i, row in enumerate(far <= (limit + 1e-6 * (1.0 + np.where(np.isinf(limit), 0, limit)))[:, None]):
-                row[done[start + i]] = False
-                out.append(np.flatnonzero(row))
-        return out
+def _tiles(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for start in range(0, batch.num_rows, TILE):
+        yield batch.slice(start, TILE)
 
 
 def knn_topk(
@@ -141,78 +189,102 @@ def knn_topk(
     if pivots is None:
         # Smaller cells than a block would only add visits: a block is one matrix product.
         pivots = min(math.ceil(math.sqrt(rows)), math.ceil(rows / block_rows))
-    first = known.select(vector).orderBy(F.xxhash64(doc), doc).limit(max(1, pivots)).toPandas()
-    cells = Cells(_matrix(first[vector]) if len(first) else np.zeros((1, 1)))
-
-    def to_cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part):
-                cell, radius = cells.place(_matrix(part[vector]))
-                yield part.assign(cell=cell, radius=radius)
+    pivots = max(1, pivots)
+    wide = len((known.select(vector).first() or [[]])[0])
+    wanted = max(pivots, min(8 * math.ceil(math.sqrt(rows)), BLOCK_ROWS, SAMPLE_VALUES // max(1, wide)))
+    first = known.select(vector).orderBy(F.xxhash64(doc), doc).limit(wanted).toArrow()
+    sample = _matrix(first.column(vector)) if first.num_rows else np.zeros((1, 1))
+    cells = Cells(sample[:pivots], sample if first.num_rows else sample[:0])
+
+    def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tile in _tiles(batch):
+                far = cells.distances(_matrix(tile.column(vector)))
+                # What is no number belongs to a cell that reaches everywhere.
+                radius = np.where(np.isnan(far).any(axis=1), np.inf, far.min(axis=1))
+                yield pa.RecordBatch.from_arrays(
+                    [*tile.columns, pa.array(far.argmin(axis=1).astype(np.int32)), pa.array(radius)], [doc, vector, "cell", "radius"])
 
     doc_columns = f"`{doc}` {types[doc]}, `{vector}` {types[vector]}"
-    placed = materialize(known.mapInPandas(to_cells, f"{doc_columns}, cell int, radius double"), "placed")
-    counted = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("radius")).toPandas().sort_values("cell")
-    cells.names, cells.sizes, cells.radius = (counted[c].to_numpy() for c in ("cell", "n", "radius"))
-    cells.blocks = np.maximum(1, -(-cells.sizes // block_rows))
-    sizes = placed.sparkSession.createDataFrame(
-        [(int(c), int(b)) for c, b in zip(cells.names, cells.blocks)], "cell int, blocks int")
-    blocked = placed.drop("radius").join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64(doc), F.col("blocks")).cast("int"))
+    placed = materialize(known.mapInArrow(to_cells, f"{doc_columns}, cell int, radius double"), "placed")
+    counted = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("radius")).orderBy("cell").collect()
+    cells.radius = np.full(len(cells.centers), -np.inf)
+    dealt, room, members = [], 0, []
+    for cell, n, radius in counted:
+        cells.radius[cell] = radius
+        blocks = -(-n // block_rows)
+        for block in range(blocks):
+            if room < n / blocks:
+                members.append([])
+                room = GROUP_BLOCKS * block_rows
+            room -= n / blocks
+            members[-1].append(cell)
+            dealt.append((cell, blocks, block, len(members) - 1))
+    cells.groups = [np.unique(m) for m in members]
+    if not dealt:
+        dealt = [(-1, 1, 0, 0)]
+    # Every task has one group of the corpus and one part of the queries.
+    parts = max(1, math.ceil(asked.count() / (PART_BLOCKS * block_rows)))
+    tasks = max(1, len(members)) * parts
+    units = F.broadcast(placed.sparkSession.createDataFrame(dealt, "cell int, blocks int, block int, grp int"))
+    blocks = units.select("cell", "blocks").distinct()
+    blocked = placed.drop("radius").join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64(doc), F.col("blocks")).cast("int"))
+    every_part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    own = blocked.join(units.select("cell", "block", "grp"), ["cell", "block"]).select(
+        "cell", "block", doc, vector, "grp", every_part.alias("part"))
 
     key_types = ", ".join(f"`{c}` {types[c]}" for c in query_keys)
-    visit = f"{key_types}, `{vector}` {types[vector]}, visits array<struct<cell:int,blocks:int>>"
-
-    def listed(found: list[np.ndarray]) -> list[list[dict]]:
-        return [[{"cell": int(cells.names[i]), "blocks": int(cells.blocks[i])} for i in row] for row in found]
-
-    def to_near(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part) and len(cells.names):
-                yield part.assign(visits=listed(cells.near(_matrix(part[vector]), k)))
-
-    def to_possible(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part) and len(cells.names):
-                bounds = np.sqrt(part["bound"].fillna(np.inf).to_numpy(dtype=np.float64))
-                found = cells.possible(_matrix(part[vector]), bounds, k)
-                yield part.drop(columns="bound").assign(visits=listed(found))
-
-    def search(visits: DataFrame) -> DataFrame:
-        exploded = visits.select(*query_keys, vector, F.explode("visits").alias("v")).select(
-            *query_keys, vector, "v.cell", F.explode(F.sequence(F.lit(0), F.col("v.blocks") - 1)).alias("block"))
-        # What the other side lacks is filled, as NULLs would turn whole numbers into fractions in pandas.
-        def filled(names: list[str]) -> list[Column]:
-            return [F.lit("0").cast(types[c]).alias(c) for c in names]
-
-        sides = blocked.select("cell", "block", F.lit(0).alias("side"), doc, vector, *filled(query_keys)).unionByName(
-            exploded.select("cell", "block", F.lit(1).alias("side"), *filled([doc]), vector, *query_keys))
-        dealt = sides.repartition("cell", "block").sortWithinPartitions("cell", "block", "side")
-        return dealt.mapInPandas(compare, f"{key_types}, `{doc}` {types[doc]}, dist double")
-
-    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Blocks come first, then the queries that visit them, batch by batch."""
-        held_key, held = None, []
-        for part in parts:
-            for key, group in part.groupby(["cell", "block"], sort=True):
-                if key != held_key:
-                    held_key, held = key, []
-                own, visitors = group[group["side"] == 0], group[group["side"] == 1]
-                if len(own):
-                    held.append((own[doc].to_numpy(), _matrix(own[vector])))
-                if len(visitors) and held:
-                    if len(held) > 1:
-                        held = [tuple(np.concatenate(x) for x in zip(*held))]
-                    ids, points = held[0]
-                    keys = visitors[query_keys].reset_index(drop=True)
-                    yield _hits(keys, _matrix(visitors[vector]), ids, points, k, doc)
-
-    near = search(asked.mapInPandas(to_near, visit))
-    if len(cells.names) < 2:
-        # There is no other cell.
-        return _keep_best(near, query_keys, doc, k)
-    near = materialize(near, "near")
-    order = Window.partitionBy(*query_keys).orderBy("dist", doc)
-    bound = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select(*query_keys, F.col("dist").alias("bound"))
-    bounded = asked.join(bound, query_keys, "left")
-    more = search(bounded.mapInPandas(to_possible, visit))
-    return _keep_best(near.unionByName(more), query_keys, doc, k)
+
+    def to_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tile in _tiles(batch):
+                points = _matrix(tile.column(vector))
+                if not cells.groups or points.shape[1] != cells.centers.shape[1]:
+                    if cells.groups:
+                        raise ValueError("vectors have different lengths")
+                    continue
+                bounds = cells.bounds(points, k)
+                possible = cells.possible(points, bounds)
+                row, grp = np.nonzero(np.stack([possible[:, g].any(axis=1) for g in cells.groups], axis=1))
+                sent = tile.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays(
+                    [*sent.columns, pa.array(bounds[row]), pa.array(grp.astype(np.int32))], [*query_keys, vector, "bound", "grp"])
+
+    part = F.pmod(F.xxhash64(*query_keys), F.lit(parts)).cast("int").alias("part")
+    visits = asked.mapInArrow(to_groups, f"{key_types}, `{vector}` {types[vector]}, bound double, grp int").select("*", part)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A group's vectors come first, then the queries that visit it, batch by batch."""
+        at, held, group = None, [], None
+        for batch in batches:
+            task, side = (batch.column(c).to_numpy() for c in ("task", "side"))
+            cuts = np.flatnonzero(np.diff(task * 2 + side)) + 1
+            for start, end in zip([0, *cuts], [*cuts, len(task)]):
+                if start == end:
+                    continue
+                run = batch.slice(start, end - start)
+                if task[start] != at:
+                    at, held, group = task[start], [], None
+                if side[start] == 0:
+                    held.append(run.select(["cell", "block", doc, vector]))
+                    continue
+                if held:
+                    group, held = Group(pa.Table.from_batches(held), doc, vector, k), []
+                if group is None:
+                    continue
+                for tile in _tiles(run):
+                    points, limit = _matrix(tile.column(vector)), tile.column("bound").to_numpy()
+                    near, docs, dists = group.best(points, limit, cells.possible(points, limit), k)
+                    found = group.ids.take(pa.array(group.kept[docs])).combine_chunks()
+                    yield pa.RecordBatch.from_arrays(
+                        [*tile.select(query_keys).take(pa.array(near)).columns, found, pa.array(dists)], [*query_keys, doc, "dist"])
+
+    def filled(names: list[str]):
+        return [F.lit(None).cast(types.get(c, "double")).alias(c) for c in names]
+
+    task = (F.col("grp") * F.lit(parts) + F.col("part")).alias("task")
+    none = F.lit(None).cast("int")
+    sides = own.select(task, F.lit(0).alias("side"), "cell", "block", doc, vector, F.lit(None).cast("double").alias("bound"), *filled(query_keys)).unionByName(
+        visits.select(task, F.lit(1).alias("side"), none.alias("cell"), none.alias("block"), *filled([doc]), vector, "bound", *query_keys))
+    met = sides.repartitionById(tasks, F.col("task")).sortWithinPartitions("task", "side")
+    return _keep_best(met.mapInArrow(compare, f"{key_types}, `{doc}` {types[doc]}, dist double"), query_keys, doc, k)

@@ -60,13 +60,20 @@ def expand_queries(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 
 def retrieve_dedupe(
-    queries: DataFrame, corpus: DataFrame, chunks_per_query: int = CHUNKS_PER_QUERY
+    queries: DataFrame, corpus: DataFrame, chunks_per_query: int = CHUNKS_PER_QUERY, wordings: DataFrame | None = None
 ) -> DataFrame:
     """Nearest chunks of every variant, each chunk once per query.
 
     ``queries``: ``(query_id, variant, embedding)``; ``corpus``: ``(doc_id, embedding)``.
+    Queries that share wordings are ``(query_id, variant, wording)``, with one
+    row ``(wording, embedding)`` per wording; each is then searched once.
     """
-    hits = knn.knn_topk(queries, corpus, ["query_id", "variant"], "doc_id", chunks_per_query)
+    if wordings is None:
+        hits = knn.knn_topk(queries, corpus, ["query_id", "variant"], "doc_id", chunks_per_query)
+    else:
+        asked = wordings.join(queries.select("wording"), "wording", "left_semi")
+        found = knn.knn_topk(asked, corpus, ["wording"], "doc_id", chunks_per_query)
+        hits = queries.select("query_id", "variant", "wording").join(found, "wording").drop("wording")
     return sampling.dedupe_first_seen(hits, "query_id", "doc_id", ["variant", "rank"])
 
 

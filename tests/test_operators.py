@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions import dates, numbers, scores, text
 from mercato.operators import guards, knn, quality, quantiles, sampling, scan, series
+from mercato.plans import retrieval
 
 
 def rows(df, *order):
@@ -274,3 +275,43 @@ def test_judge_replies_keep_what_can_be_read(spark):
 def test_labels_of_no_number(spark):
     df = spark.createDataFrame([(12.7,), (float("nan"),), (None,)], "x double")
     assert [r[0] for r in df.select(numbers.units_label(F.col("x"))).collect()] == ["12 units", None, None]
+
+
+def test_a_task_has_a_bounded_share_of_corpus_and_queries(spark, monkeypatch):
+    source = np.random.default_rng(9)
+    points = source.normal(size=(600, 5)).astype(np.float32)
+    data = [(int(i), p.tolist()) for i, p in enumerate(points)]
+    corpus = spark.createDataFrame(data, "doc_id long, embedding array<float>").repartition(3)
+    asked = corpus.withColumnRenamed("doc_id", "query_id")
+    # A group has at most 64 vectors and a part about 64 queries, so nine tenths of the queries of a group are elsewhere.
+    monkeypatch.setattr(knn, "GROUP_BLOCKS", 4)
+    monkeypatch.setattr(knn, "PART_BLOCKS", 4)
+    found = knn.knn_topk(asked, corpus, ["query_id"], "doc_id", 4, block_rows=16)
+    got = [(q, c, round(d, 9), n) for q, c, d, n in rows(found, "query_id", "rank")]
+    assert sorted(got) == brute_force(data, data, 4)
+    plan = found._jdf.queryExecution().toString()
+    tasks = int(plan.split("RepartitionByExpression [", 1)[1].split("], ", 1)[1].split("\n")[0].split(",")[0])
+    assert tasks >= (600 // 64) ** 2
+
+
+def test_vectors_far_from_the_origin_and_of_any_size(spark):
+    source = np.random.default_rng(10)
+    for points in (source.normal(size=(200, 3)) + 1e6, source.normal(size=(200, 3)) * 1e25, source.normal(size=(200, 3)) * 1e-25):
+        data = [(int(i), p.tolist()) for i, p in enumerate(points)]
+        corpus = spark.createDataFrame(data, "doc_id long, embedding array<double>")
+        found = knn.knn_topk(corpus.withColumnRenamed("doc_id", "query_id"), corpus, ["query_id"], "doc_id", 3, block_rows=32)
+        got = {(q, n): c for q, c, _, n in rows(found, "query_id", "rank")}
+        exact = ((points[:, None] - points[None]) ** 2).sum(axis=2)
+        assert got == {(q, n + 1): int(c) for q in range(200) for n, c in enumerate(np.lexsort((np.arange(200), exact[q]))[:3])}
+
+
+def test_shared_wordings_are_searched_once(spark):
+    points = np.random.default_rng(11).normal(size=(60, 4))
+    corpus = spark.createDataFrame([(int(i), p.tolist()) for i, p in enumerate(points)], "doc_id long, embedding array<double>")
+    queries = spark.createDataFrame([(q, v, (q + v) % 70) for q in range(40) for v in range(3)], "query_id int, variant int, wording long")
+    wordings = corpus.withColumnRenamed("doc_id", "wording")
+    apart = queries.join(wordings, "wording").drop("wording")
+    known = retrieval.retrieve_dedupe(apart, corpus)
+    found = retrieval.retrieve_dedupe(queries, corpus, wordings=wordings)
+    assert found.columns == known.columns
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, known.collect()))
