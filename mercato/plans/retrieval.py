@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions import scores, text
 from mercato.operators import knn, sampling
+from mercato.sources.files import materialize
 
 # Chunks per search, chunks kept, and the score a kept chunk must exceed.
 CHUNKS_PER_QUERY = 5
@@ -80,14 +81,15 @@ def retrieve_dedupe(
 def lexical_scores(candidates: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Add ``score`` 0–10: the share of the query's words found in the chunk.
 
-    Texts are taken apart after the joins, so only texts that were found are.
+    Only texts that asked or were found are taken apart, each once.
     """
-    score = scores.lexical_score(text.words(F.col("query")), text.words(F.col("text")))
+    candidates = materialize(candidates, "candidates")
+    asked = queries.join(candidates.select("query_id"), "query_id", "left_semi").select("query_id", text.words(F.col("query")).alias("_asked"))
+    found = corpus.join(candidates.select("doc_id"), "doc_id", "left_semi").select("doc_id", text.words(F.col("text")).alias("_words"))
     return (
-        candidates.join(queries.select("query_id", "query"), "query_id")
-        .join(corpus.select("doc_id", "text"), "doc_id")
-        .withColumn("score", score)
-        .drop("query", "text")
+        candidates.join(asked, "query_id").join(found, "doc_id")
+        .withColumn("score", scores.lexical_score(F.col("_asked"), F.col("_words")))
+        .drop("_asked", "_words")
     )
 
 

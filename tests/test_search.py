@@ -161,3 +161,15 @@ def test_odd_vectors(spark):
     few = ann.build_index(spark.createDataFrame([(7, [1.0, 2.0]), (8, [1.0, 2.0]), (9, None), (10, [4.0, 6.0])], schema), "doc_id")
     found = [tuple(r) for r in ann.knn_approx(asked, few, ["query_id"], 2, visited=1.0).orderBy("rank").collect()]
     assert found == [(1, 7, 0.0, 1), (1, 8, 0.0, 2)]
+
+
+def test_blocks_and_parts_of_any_size_give_the_same(spark, texts, index, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK_POSTINGS", 300)
+    monkeypatch.setattr(lexical, "PART_VISITS", 20)
+    known = {(r["doc"], r["term"]): r["impact"] for r in index.postings.collect()}
+    asked = spark.createDataFrame(texts[1], "query_id long, query string").repartition(3)
+    found = {}
+    for r in lexical.search(asked, index, 5).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    for key, query in texts[1]:
+        assert found.get(key, []) == [(d, s / 1e9) for d, s in ranked(query, known, 5)], query
