@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mercato.operators.quantiles import exact_quantiles
 
+# Rows of the keys that one task counts, and parts of a frequent key.
+KEYED_ROWS, SALTS = 1 << 18, 64
+
 
 def cast_schema(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Rows with every value cast to ``schema``, and the rows where a cast fails."""
@@ -20,11 +25,20 @@ def cast_schema(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFra
 
 
 def check_primary_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Key values that occur more than once or contain a NULL, with their row count."""
+    """Key values that occur more than once or contain a NULL, with their row count.
+
+    Nearly all key values differ, so sums on the map side would hold all of a
+    task's rows: keys are dealt to more tasks where there are more rows. They
+    are dealt with a salt first, so a frequent value is no task of its own.
+    """
     null_part = F.lit(False)
     for key in keys:
         null_part = null_part | F.col(key).isNull()
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    asked = df.select(*keys)
+    tasks = max(1, math.ceil(asked.count() / KEYED_ROWS))
+    salted = asked.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).repartition(tasks, *keys, "_salt")
+    parts = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_rows"))
+    counted = parts.repartition(tasks, *keys).groupBy(*keys).agg(F.sum("_rows").alias("n_rows"))
     return counted.where((F.col("n_rows") > 1) | null_part)
 
 

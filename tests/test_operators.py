@@ -315,3 +315,14 @@ def test_shared_wordings_are_searched_once(spark):
     found = retrieval.retrieve_dedupe(queries, corpus, wordings=wordings)
     assert found.columns == known.columns
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, known.collect()))
+
+
+def test_more_keys_are_counted_by_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(quality, "KEYED_ROWS", 100, raising=False)
+    rows = [(i, i % 7) for i in range(1000)] + [(None, 1)] * 300 + [(5, 5)] * 200 + [(6, None), (7, 1)]
+    df = spark.createDataFrame(rows, "a int, b int").repartition(3)
+    found = quality.check_primary_key(df, ["a", "b"])
+    assert sorted(found.collect(), key=str) == sorted([(None, 1, 300), (5, 5, 201), (6, None, 1)], key=str)
+    counted = found.where("n_rows > 1").rdd.mapPartitions(lambda part: [1])
+    assert counted.count() >= 15
+    assert quality.check_primary_key(df.limit(0), ["a"]).collect() == []
