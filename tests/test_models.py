@@ -61,6 +61,16 @@ def test_random_search(spark, orders):
     assert a == b
 
 
+def test_random_search_weighs_the_late_orders_once(spark, orders, monkeypatch):
+    asked = []
+    monkeypatch.setattr(delay, "class_weight", lambda *a, f=delay.class_weight: asked.append(1) or f(*a))
+    bounds = {"depth": (2, 3), "step": (0.1, 0.3), "subsample": (0.6, 1.0), "trees": (1, 3)}
+    search = delay.tune_random_search(orders, draws=4, folds=2, bounds=bounds)
+    late = orders.groupBy("is_delayed").count().collect()
+    n = {r["is_delayed"]: r["count"] for r in late}
+    assert len(asked) == 1 and {s.positive for s in search.drawn} == {n[0] / n[1]}
+
+
 def test_prepared_features(spark):
     df = spark.createDataFrame([(1.0, 1), (2.0, 1), (3.0, 0), (10.0, None), (None, 0)], "x double, b int")
     stage = preprocess.FeaturePreparer(["x"], ["b"]).fit(df)
