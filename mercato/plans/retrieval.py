@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ CHUNKS_PER_QUERY = 5
 TOP_K = 5
 SCORE_ABOVE = 3
 
+# Candidates whose texts go to one task.
+PAIRS = 1 << 16
+
 # The answers when there is nothing to answer from.
 NOT_RELEVANT = "Information was found, but it was evaluated as not relevant to your specific question."
 NO_CONTEXT = "NO CONTEXT FOUND"
@@ -78,14 +83,25 @@ def retrieve_dedupe(
     return sampling.dedupe_first_seen(hits, "query_id", "doc_id", ["variant", "rank"])
 
 
+def _word_lists(texts: DataFrame, key: str, wanted: DataFrame, out: str, parts: int) -> DataFrame:
+    """``(key, out)``: the distinct words of the wanted texts, written once.
+
+    Texts are dealt anew first, as the wanted ones may lie in few files; and
+    words that are not written are found again for each row of a join.
+    """
+    kept = texts.join(wanted.select(key), key, "left_semi").repartition(parts, key)
+    return materialize(kept.select(key, text.words(F.col(next(c for c in texts.columns if c != key))).alias(out)), "words")
+
+
 def lexical_scores(candidates: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Add ``score`` 0–10: the share of the query's words found in the chunk.
 
     Only texts that asked or were found are taken apart, each once.
     """
     candidates = materialize(candidates, "candidates")
-    asked = queries.join(candidates.select("query_id"), "query_id", "left_semi").select("query_id", text.words(F.col("query")).alias("_asked"))
-    found = corpus.join(candidates.select("doc_id"), "doc_id", "left_semi").select("doc_id", text.words(F.col("text")).alias("_words"))
+    parts = max(4 * candidates.sparkSession.sparkContext.defaultParallelism, math.ceil(candidates.count() / PAIRS))
+    asked = _word_lists(queries.select("query_id", "query"), "query_id", candidates, "_asked", parts)
+    found = _word_lists(corpus.select("doc_id", "text"), "doc_id", candidates, "_words", parts)
     return (
         candidates.join(asked, "query_id").join(found, "doc_id")
         .withColumn("score", scores.lexical_score(F.col("_asked"), F.col("_words")))

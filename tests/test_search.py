@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mercato.operators import ann, knn, lexical
+from mercato.plans import retrieval
 
 
 def split(text):
@@ -173,3 +174,24 @@ def test_blocks_and_parts_of_any_size_give_the_same(spark, texts, index, monkeyp
         found.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
     for key, query in texts[1]:
         assert found.get(key, []) == [(d, s / 1e9) for d, s in ranked(query, known, 5)], query
+
+
+def test_texts_of_one_file_are_taken_apart_by_all_tasks_and_once(spark, monkeypatch):
+    texts = [(i, None if i == 7 else f"Alpha beta{i % 5} gamma{i % 3}, alpha") for i in range(40)]
+    corpus = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    queries = corpus.withColumnsRenamed({"doc_id": "query_id", "text": "query"})
+    pairs = [(q, (q * k) % 20) for q in range(20) for k in (1, 3, 7)]
+    candidates = spark.createDataFrame(sorted(set(pairs)), "query_id long, doc_id long")
+    written = []
+
+    def watched(df, purpose, f=retrieval.materialize):
+        out = f(df, purpose)
+        written.append((purpose, df.rdd.getNumPartitions(), out.count()))
+        return out
+
+    monkeypatch.setattr(retrieval, "materialize", watched)
+    found = {(r["query_id"], r["doc_id"]): r["score"] for r in retrieval.lexical_scores(candidates, queries, corpus).collect()}
+    words = {i: set(re.findall(r"\w+", t.lower())) if t else set() for i, t in texts}
+    assert found == {(q, d): len(words[q] & words[d]) * 10 // len(words[q]) if words[q] else 0 for q, d in pairs}
+    assert [(p, n) for p, _, n in written] == [("candidates", len(set(pairs))), ("words", 20), ("words", 20)]
+    assert all(n >= spark.sparkContext.defaultParallelism for p, n, _ in written if p == "words")
