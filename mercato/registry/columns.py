@@ -289,13 +289,16 @@ FROM features f JOIN (SELECT o_orderkey, o_orderpriority = '4-NOT SPECIFIED' AS
 """)
 
 
-def scenarios(spark, d):
+def scenarios(spark, d, rows=None):
+    """What-if rows out of the features of delivered orders, or of ``rows`` that hold these already."""
+    if rows is None:
+        rows = delivery.delivery_features(bind(spark, d))
     flags = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("order_id"),
         (F.col("o_orderpriority") == "4-NOT SPECIFIED").alias("gap"),
         (F.col("o_orderpriority") == "1-URGENT").alias("rush"),
     )
-    rows = delivery.delivery_features(bind(spark, d)).join(flags, "order_id")
+    rows = rows.join(flags, "order_id")
     gaps = {c: F.when(~F.col("gap"), F.col(c)) for c in delivery.SCENARIO_DEFAULTS}
     gaps["total_weight_g"] = F.when(~F.col("rush"), F.col("total_weight_g"))
     return rows.withColumns(gaps).select("order_id", *schemas.WHAT_IF.fieldNames())

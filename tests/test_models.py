@@ -178,3 +178,20 @@ def test_unknown_orders_and_missing_models_are_errors(spark, tmp_path):
     assert {r["order_id"]: r["status"] for r in delay.score_saved(path, asked).collect()} == {1: "success", 2: "error", 3: "error"}
     missing = delay.score_saved(str(tmp_path / "none"), asked).collect()
     assert {(r["status"], r["message"]) for r in missing} == {("error", delay.NO_MODEL)}
+
+
+def test_features_are_made_once_for_learning_and_for_scoring(spark, sf_dir, monkeypatch):
+    from mercato.registry import models
+
+    made = []
+    monkeypatch.setattr(delivery, "delivery_features", lambda *a, f=delivery.delivery_features: made.append(1) or f(*a))
+    monkeypatch.setattr(models, "_stored", {})
+    found = models.score_delay(spark, sf_dir)
+    assert len(made) == 1
+    plain = delay.score_delay(
+        delay.load_model(spark, *models._stored.values()), delivery.scenario_defaults(models.scenarios(spark, sf_dir))).select(*found.columns)
+    assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty() and found.count()
+    made.clear()
+    models._stored.clear()
+    models.persist_model(spark, sf_dir)
+    assert len(made) == 1
