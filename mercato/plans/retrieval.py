@@ -83,27 +83,31 @@ def retrieve_dedupe(
     return sampling.dedupe_first_seen(hits, "query_id", "doc_id", ["variant", "rank"])
 
 
-def _word_lists(texts: DataFrame, key: str, wanted: DataFrame, out: str, parts: int) -> DataFrame:
-    """``(key, out)``: the distinct words of the wanted texts, written once.
+def _word_lists(texts: DataFrame, key: str, wanted: DataFrame, out: str, parts: int, joined: bool = False) -> DataFrame:
+    """``(key, out)``: the distinct words of the wanted texts, written once; ``joined`` by blanks, or as an array.
 
     Texts are dealt anew first, as the wanted ones may lie in few files; and
     words that are not written are found again for each row of a join.
     """
     kept = texts.join(wanted.select(key), key, "left_semi").repartition(parts, key)
-    return materialize(kept.select(key, text.words(F.col(next(c for c in texts.columns if c != key))).alias(out)), "words")
+    found = text.words(F.col(next(c for c in texts.columns if c != key)))
+    return materialize(kept.select(key, (F.array_join(found, " ") if joined else found).alias(out)), "words")
 
 
 def lexical_scores(candidates: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Add ``score`` 0–10: the share of the query's words found in the chunk.
 
-    Only texts that asked or were found are taken apart, each once.
+    Only texts that asked or were found are taken apart, each once. The words of
+    a query go with each of its candidates to the texts, as one string: an array
+    adds an offset and padding to each word.
     """
     candidates = materialize(candidates, "candidates")
     parts = max(4 * candidates.sparkSession.sparkContext.defaultParallelism, math.ceil(candidates.count() / PAIRS))
-    asked = _word_lists(queries.select("query_id", "query"), "query_id", candidates, "_asked", parts)
+    asked = _word_lists(queries.select("query_id", "query"), "query_id", candidates, "_asked", parts, joined=True)
     found = _word_lists(corpus.select("doc_id", "text"), "doc_id", candidates, "_words", parts)
     return (
         candidates.join(asked, "query_id").join(found, "doc_id")
+        .withColumn("_asked", F.array_remove(F.split("_asked", " "), ""))
         .withColumn("score", scores.lexical_score(F.col("_asked"), F.col("_words")))
         .drop("_asked", "_words")
     )

@@ -195,3 +195,22 @@ def test_texts_of_one_file_are_taken_apart_by_all_tasks_and_once(spark, monkeypa
     assert found == {(q, d): len(words[q] & words[d]) * 10 // len(words[q]) if words[q] else 0 for q, d in pairs}
     assert [(p, n) for p, _, n in written] == [("candidates", len(set(pairs))), ("words", 20), ("words", 20)]
     assert all(n >= spark.sparkContext.defaultParallelism for p, n, _ in written if p == "words")
+
+
+def test_words_of_a_query_go_to_its_candidates_as_one_string(spark, monkeypatch):
+    texts = ["Alpha beta, GAMMA beta", None, "", "... -- !", "beta delta\tepsilon", "été naïve 42 4 2", "alpha"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    pairs = spark.createDataFrame([(a, b, b) for a in range(7) for b in range(7)], "query_id int, doc_id int, seen int")
+    kinds = {}
+
+    def watched(*a, f=retrieval._word_lists, **more):
+        out = f(*a, **more)
+        kinds[a[3]] = dict(out.dtypes)[a[3]]
+        return out
+
+    monkeypatch.setattr(retrieval, "_word_lists", watched)
+    found = retrieval.lexical_scores(pairs, rows.toDF("query_id", "query"), rows).collect()
+    words = [{w for w in re.split(r"[\W_]+", (t or "").lower()) if w} for t in texts]
+    assert {(r["query_id"], r["doc_id"]): r["score"] for r in found} == {
+        (a, b): len(words[a] & words[b]) * 10 // len(words[a]) if words[a] else 0 for a in range(7) for b in range(7)}
+    assert kinds == {"_asked": "string", "_words": "array<string>"}
