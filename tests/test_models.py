@@ -3,6 +3,7 @@
 import dataclasses
 import datetime as dt
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,41 @@ def test_random_search_weighs_the_late_orders_once(spark, orders, monkeypatch):
     assert len(asked) == 1 and {s.positive for s in search.drawn} == {n[0] / n[1]}
 
 
+def test_the_best_draw_is_fitted_on_all_rows_beside_the_other_draws(spark, orders, monkeypatch):
+    """The last draw to be judged waits until a fit on all rows has begun; a better draw that comes late is still the one taken."""
+    bounds = {"depth": (2, 5), "step": (0.1, 0.3), "subsample": (0.6, 1.0), "trees": (2, 7)}
+    drawn = delay.draw_settings(4, bounds)
+    last = min(range(4), key=lambda i: drawn[i].trees * drawn[i].depth)
+    begun, fitted, groups = threading.Event(), [], set()
+
+    def watched(binned, jobs, *rest, f=delay.boosting.fit_jobs, **options):
+        (s, fold), *_ = jobs
+        group = binned.sparkSession.sparkContext.getLocalProperty("spark.jobGroup.id")
+        if fold is None:
+            assert group and group not in groups
+            groups.add(group)
+            begun.set()
+            fitted.append((s.trees, s.depth))
+        else:
+            # Giving up a fit on all rows must not end the others.
+            assert group is None
+            if s.step == drawn[last].step:
+                assert begun.wait(60) and binned.sparkSession.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+        return f(binned, jobs, *rest, **options)
+
+    monkeypatch.setattr(delay.boosting, "fit_jobs", watched)
+    search = delay.tune_random_search(orders, draws=4, folds=2, bounds=bounds)
+    assert begun.is_set() and (search.drawn[search.best].trees, search.drawn[search.best].depth) in fitted
+    monkeypatch.undo()
+    late_best = iter([0.1, 0.2, 0.3, 0.4])
+    monkeypatch.setattr(delay, "mean_f1", lambda counted: next(late_best))
+    better = delay.tune_random_search(orders, draws=4, folds=2, bounds=bounds)
+    columns = delay.boosting.learn_columns(orders, delay.INPUTS)
+    binned = delay.boosting.binned_rows(orders, "is_delayed", columns, 2)
+    plain, = delay.boosting.fit_jobs(binned, [(better.drawn[better.best], None)], columns)
+    assert [delay.boosting.written(t) for t in better.model.trees] == [delay.boosting.written(t) for t in plain]
+
+
 def test_prepared_features(spark):
     df = spark.createDataFrame([(1.0, 1), (2.0, 1), (3.0, 0), (10.0, None), (None, 0)], "x double, b int")
     stage = preprocess.FeaturePreparer(["x"], ["b"]).fit(df)
