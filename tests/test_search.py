@@ -274,3 +274,41 @@ def test_feedback_sends_the_terms_of_a_hit_as_one_row(spark, texts, monkeypatch)
                         weight[t] = weight.get(t, 0) + impact
             best = sorted(weight, key=lambda t: (-weight[t], t))[:4]
             assert sorted(got.get(q, [])) == [(i, t, weight[t] / 1e9) for i, t in enumerate(best, 1)]
+
+
+@pytest.mark.parametrize("visits", [7, 1 << 16])
+def test_a_search_writes_no_copies_of_blocks_or_queries(spark, texts, monkeypatch, visits):
+    """More blocks and parts than tasks: a shuffle takes the best of each query in a group of blocks, and nothing else."""
+    docs, index = in_blocks(spark, texts, monkeypatch, 60)
+    monkeypatch.setattr(lexical, "PART_VISITS", visits)
+    assert index.count > 2 * spark.sparkContext.defaultParallelism
+    known = {(r["doc"], r["term"]): r["impact"] for r in index.postings.collect()}
+    asked = spark.createDataFrame(texts[1], "query_id long, query string").repartition(3)
+    best = lexical.search(asked, index, 5)
+    assert {re.sub(r",.*", "", keys) for keys in exchanged(best)} == {"hashpartitioning(query"}
+    found = {}
+    for r in best.orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    # NULL comes first among equals, as in SQL here.
+    first = sorted({d for d, _ in known}, key=lambda d: (d is not None, d or 0))
+    place = {d: i for i, d in enumerate(first)}
+    for key, query in texts[1]:
+        plain = ranked(query, {(place[d], t): v for (d, t), v in known.items()}, 5)
+        assert found.get(key, []) == [(first[d], s / 1e9) for d, s in plain], query
+
+
+def test_words_of_a_question_go_to_a_block_as_one_string(spark, texts, monkeypatch):
+    _, index = in_blocks(spark, texts, monkeypatch)
+    known = {(r["doc"], r["term"]): r["impact"] for r in index.postings.collect()}
+    sent = []
+    monkeypatch.setattr(lexical, "_meet", lambda index, visits, *rest, f=lexical._meet: sent.append((dict(visits.dtypes), visits.count())) or f(index, visits, *rest))
+    asked = spark.createDataFrame(texts[1], "query_id long, query string")
+    pairs = [(q, d) for q in (0, 1, 100, 101, 102, 103) for d in (3, 7, 200, 203, 204, 999)]
+    for visits in (2, 1 << 16):
+        monkeypatch.setattr(lexical, "PART_VISITS", visits)
+        found = lexical.bm25_scores(spark.createDataFrame(pairs, "query_id long, doc_id long"), asked, index)
+        by_id = dict(texts[1])
+        assert {(r["query_id"], r["doc_id"]): r["score"] for r in found.collect()} == {
+            (q, d): sum(known.get((d, t), 0) for t in set(split(by_id[q]))) / 1e9 for q, d in pairs}
+        assert not any("term" in keys for keys in exchanged(found))
+    assert all(kinds["words"] == "string" and n <= len(pairs) for kinds, n in sent)
